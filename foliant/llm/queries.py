@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngramjoin, suffix, tokens, topk
+from . import decontam, htmlmain, langid, mixing, ngramjoin, suffix, tokens, topk
 from .common import table
 
 END_ID = 1
@@ -41,6 +41,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -54,7 +58,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op4_suffix_dedup, op5_decontamination, op8_top_k, op9_mixing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op4_suffix_dedup, op5_decontamination, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
