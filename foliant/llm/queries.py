@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, mixing, ngramjoin, suffix, tokens, topk
+from . import decontam, htmlmain, langid, lines, mixing, ngramjoin, suffix, tokens, topk, warc
 from .common import table
 
 END_ID = 1
@@ -30,6 +30,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, files = warc.build(warc.responses(table(spark, sf_dir, "pages")))
+    pairs = warc.read_pairs(spark, path, files)
+    return pairs.withColumn("page_id", F.col("source").cast("long")).withColumn("n_chars", F.length("text").cast("long")).drop("source")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,6 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -58,7 +69,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op4_suffix_dedup, op5_decontamination, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_warc_derivatives, op4_suffix_dedup, op5_decontamination, op6_line_dedup, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
