@@ -3,8 +3,8 @@
 Texts are normalised to lower-case words with one space before, between and after them, so that a window is the byte
 string " w1 w2 ... wk ". Patterns are dealt into a few length classes, so that one short item does not shorten the
 shifts of the long ones. Within a class all patterns are searched by their first m bytes, m being the least length:
-a table over hashes of 3-byte blocks tells how far the search may move, at shift 0 a bucket by the hash of those
-m bytes' tail names the patterns, and a direct comparison of all bytes confirms.
+a table over hashes of blocks (12 bytes, fewer where m is small) tells how far the search may move, at shift 0 a
+bucket by the hash of those m bytes' suffix names the patterns, and a direct comparison of all bytes confirms.
 """
 
 from __future__ import annotations
@@ -17,14 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import raw, runs, slices
 
 WINDOW = 13
 #: What may be broadcast; beyond it the benchmark is searched in several passes, each within this bound.
 PASS_BYTES = 32 << 20
-_BITS = 16
-_B = 3
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[np.r_[0:48, 58:65, 91:97, 123:128]] = 32  # after lower-casing, what is no digit, letter or non-ASCII byte
@@ -43,8 +40,9 @@ def windows(text: bytes, size: int = WINDOW) -> Iterator[bytes]:
         yield b" " + b" ".join(w[k : k + size]) + b" "
 
 
-def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA77) ^ c.astype(np.uint32) * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - _BITS)
+def _block_size(m: int) -> int:
+    """Bytes of a block: enough that a block of other text is seldom one of the patterns', yet leaving long shifts."""
+    return max(b for b in (1, 2, 4, 8, 12) if b == 1 or 2 * b <= m or (b <= 4 and b <= m))
 
 
 class Searcher:
@@ -53,58 +51,80 @@ class Searcher:
     def __init__(self, patterns: list[bytes]):
         self.patterns = sorted(set(patterns))
         self.m = m = min(map(len, self.patterns))
+        self.b = b = _block_size(m)
         heads = np.frombuffer(b"".join(p[:m] for p in self.patterns), np.uint8).reshape(-1, m)
-        b = min(_B, m)
-        self.b = b
-        self.shift = np.full(1 << _BITS, m - b + 1, np.int32)
+        self.bits = min(24, max(12, (4 * len(self.patterns) * (m - b + 1)).bit_length()))
+        self.shift = np.full(1 << self.bits, m - b + 1, np.int32)
+        flat = _loadable(heads.reshape(-1))
+        ends = np.arange(len(heads)) * m
         for j in range(b, m + 1):  # the block that ends at j
-            h = self.block(heads, j)
-            np.minimum.at(self.shift, h, m - j)
-        tails = np.array([self.tail(x) for x in heads[:, max(0, m - 8) :]], np.uint64)
+            np.minimum.at(self.shift, self.block(flat, ends + j), m - j)
+        tails = self.tail(flat, ends + m)
         order = np.argsort(tails, kind="stable")
         self.tails, self.by_tail = tails[order], order
+        self.lengths = np.array([len(p) for p in self.patterns])
 
-    def block(self, rows: np.ndarray, j: int) -> np.ndarray:
-        cols = [rows[:, j - 1], rows[:, j - min(2, self.b)], rows[:, j - self.b]]
-        return _hash(*cols)
-
-    @staticmethod
-    def tail(x: np.ndarray) -> int:
-        return int.from_bytes(x.tobytes(), "little")
+    def block(self, flat: dict[int, np.ndarray], end: np.ndarray) -> np.ndarray:
+        """Table places of the blocks that end at these places."""
+        if self.b <= 8:
+            h = flat[self.b][end - self.b].astype(np.uint64)
+        else:
+            h = flat[8][end - 8] * np.uint64(0x9E3779B97F4A7C15) ^ flat[4][end - 12].astype(np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def tail(self, flat: dict[int, np.ndarray], end: np.ndarray) -> np.ndarray:
+        """Hashes of the last bytes of the heads, 24 of them if there are so many."""
+        out = np.zeros(len(end), np.uint64)
+        left = min(self.m, 24)
+        for width in (8, 8, 8, 4, 2, 1):
+            while left >= width and (width < 8 or left >= 8):
+                out = (out ^ flat[width][end - left].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+                out ^= out >> np.uint64(31)
+                left -= width
+        return out
 
     def find(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pattern, place) of all occurrences in text[start[i]:end[i]], for all i; the cursors of all texts step together."""
-        m, b, raw_bytes = self.m, self.b, text.tobytes()
-        at, stop = start + m, end  # one past the last byte of the place under test
+        m, raw_bytes = self.m, text.tobytes()
+        flat = _loadable(text)
         found: tuple[list[int], list[int]] = ([], [])
-        lengths = np.array([len(p) for p in self.patterns])
-        span = min(8, m)
-        limit = np.concatenate([text, np.zeros(8, np.uint8)])
+        # long texts are searched by several cursors, each of which owns the places where an occurrence may start
+        piece = 1 << 12
+        count = np.maximum(1, -(-(end - start) // piece))
+        who = np.repeat(np.arange(len(start)), count)
+        nth = runs(np.zeros(len(start), np.int64), count)
+        at = start[who] + nth * piece + m  # one past the last byte of the head under test
+        stop = np.minimum(end[who], start[who] + (nth + 1) * piece + m - 1)
+        limit = end[who]
         live = at <= stop
-        at, stop = at[live], stop[live]
+        at, stop, limit = at[live], stop[live], limit[live]
         while len(at):
-            h = _hash(text[at - 1], text[at - min(2, b)], text[at - b])
-            s = self.shift[h]
+            s = self.shift[self.block(flat, at)]
             zero = np.flatnonzero(s == 0)
             if len(zero):
-                z, ends = at[zero], stop[zero]
-                t = np.zeros(len(z), np.uint64)
-                for k in range(span):
-                    t |= limit[z - span + k].astype(np.uint64) << np.uint64(8 * k)
+                z, ends = at[zero], limit[zero]
+                t = self.tail(flat, z)
                 lo, hi = np.searchsorted(self.tails, t), np.searchsorted(self.tails, t, "right")
                 for i in np.flatnonzero(hi > lo):
                     place = int(z[i]) - m
                     for p in self.by_tail[lo[i] : hi[i]]:
-                        if place + lengths[p] <= ends[i] and raw_bytes.startswith(self.patterns[p], place):
+                        if place + self.lengths[p] <= ends[i] and raw_bytes.startswith(self.patterns[p], place):
                             found[0].append(int(p))
                             found[1].append(place)
             at = at + np.maximum(s, 1)
             live = at <= stop
             if not live.all():
-                at, stop = at[live], stop[live]
+                at, stop, limit = at[live], stop[live], limit[live]
         return np.array(found[0], np.int64), np.array(found[1], np.int64)
 
 
+def _loadable(text: np.ndarray) -> dict[int, np.ndarray]:
+    """Views that give the 1, 2, 4 or 8 bytes at any place as one number."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return {w: np.ndarray((len(padded) - w + 1,), f"<u{w}", padded, 0, (1,)) for w in (1, 2, 4, 8)}
+
+
 class Benchmark:
     """All windows of all items, by length class, and the items of each."""
 

@@ -29,8 +29,8 @@ from .common import raw, slices, work_dir
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 BLOCK = 256  # bytes that the parallel checksum takes at a time
-#: Words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 300_000
+#: Words whose ids a Python worker keeps; beyond it the cache starts anew, with those of the last one at hand.
+CACHED_WORDS = 600_000
 
 
 # ---- checksums -----------------------------------------------------------------------------------------------
@@ -182,12 +182,21 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.width = 2 if max(self.t.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
+        self.folds = self.ids("Az Q") == self.ids("az q") and all("<" in x.content for x in self.t.get_added_tokens_decoder().values())
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.t.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
+        older = self.older
+        new = []
+        for w in words:
+            if (got := older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = got
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             for w, e in zip(some, self.t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
@@ -195,14 +204,14 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Id bytes of each text, with the end id."""
-        split = [t.split() for t in texts]
+        # lower-casing ASCII first makes fewer words; only the strings of added tokens may tell cases apart
+        split = [(t.lower() if self.folds and b"<" not in t else t).split() for t in texts]
+        words = set().union(*split) if split else set()
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > CACHED_WORDS:  # words that are used again come back from the older half
+            self.older, self.known, new = self.known, {}, words
+        self.learn(new)
         known = self.known
-        new = {w for s in split for w in s if w not in known}
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                new = {w for s in split for w in s}
-            self.learn(new)
-            known = self.known
         return [b"".join(map(known.__getitem__, s)) + self.end for s in split]
 
 
