@@ -30,24 +30,25 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _majority(hashes: Column) -> Column:
     """For each of 64 bits, whether more than half of at most PIECE hashes have it; eight counts go in each of eight sums."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(8)])
+    zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0).cast("long").alias(f"s{k}") for k in range(8)])
 
     def add(a: Column, h: Column) -> Column:
-        return F.struct(*[(a[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(8)])
-
-    least = (F.lit(PIECE) - F.floor(F.size(hashes) / 2)).cast("long")
-
-    def above(x: Column) -> Column:  # bit 0 of each lane: whether its count is above half; the top lane apart, as a long has a sign
-        low = F.shiftrightunsigned(x.bitwiseAND(F.lit((1 << 56) - 1)) + least * F.lit(_LANES >> 8), 7).bitwiseAND(F.lit(_LANES >> 8))
-        return low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned(x, 56) + least, 7), 56))
+        return F.struct((a["n"] + 1).alias("n"), *[(a[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(8)])
 
     def bits(a: Column) -> Column:
-        got = [F.shiftleft(above(a[f"s{k}"]), k) for k in range(8)]
-        out = got[0]
-        for g in got[1:]:
-            out = out.bitwiseOR(g)
+        least = F.lit(PIECE).cast("long") - F.shiftrightunsigned(a["n"], 1)
+        out = None
+        for k in range(8):  # bit 0 of each lane: whether its count is above half; the top lane apart, as a long has a sign
+            low = F.shiftrightunsigned(a[f"s{k}"].bitwiseAND(F.lit((1 << 56) - 1)) + least * F.lit(_LANES >> 8), 7).bitwiseAND(F.lit(_LANES >> 8))
+            above = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned(a[f"s{k}"], 56) + least, 7), 56))
+            out = F.shiftleft(above, k) if out is None else out.bitwiseOR(F.shiftleft(above, k))
         return out
 
     return F.aggregate(hashes, zero, add, bits)
@@ -55,14 +56,17 @@ def _majority(hashes: Column) -> Column:
 
 def simhash(text: Column) -> Column:
     """SimHash of the words of a normalised line; a line of more than PIECE words has the majority of its pieces' (and so on)."""
-    words = F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
 
     def pieces(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(h) / PIECE).cast("int") - 1), lambda i: _majority(F.slice(h, i * PIECE + 1, F.lit(PIECE))))
+        at = F.sequence(F.lit(0), F.ceil(F.size(h) / PIECE).cast("int") - 1)
+        return F.transform(at, lambda i: _majority(F.slice(h, i * PIECE + 1, F.lit(PIECE))))
+
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        deep = lambda f: _let(pieces(h), f)
+        return F.when(n <= PIECE, _majority(h)).when(n <= PIECE * PIECE, deep(_majority)).otherwise(deep(lambda g: _let(pieces(g), _majority)))
 
-    small = F.size(F.split(text, " ")) <= PIECE
-    medium = F.size(F.split(text, " ")) <= PIECE * PIECE
-    return F.when(small, _majority(words)).when(medium, _majority(pieces(words))).otherwise(_majority(pieces(pieces(words))))
+    return _let(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), of)
 
 
 def layout(n: int) -> tuple[int, list[tuple[int, ...]]]:

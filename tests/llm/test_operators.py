@@ -190,7 +190,7 @@ def test_line_dedup(spark, none):
 
 def test_line_simhash(spark):
     texts = ["a", "a b", " ".join(WORDS[:127]), " ".join(WORDS[:129]), " ".join(w.strip("'") or "q" for w in WORDS)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines.simhash(F.col("t")).alias("s"), F.transform(F.split("t", " "), F.xxhash64).alias("h")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines.simhash(F.col("t")).alias("s"), F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h")).collect()
 
     def majority(hashes):
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
