@@ -157,7 +157,7 @@ def link_references(links: DataFrame, by: str = "doc_id", every: bool = False) -
     key = F.regexp_replace(F.regexp_replace("destination", r"^<|>$", ""), r"\\", "")
     used = links.withColumn("key", key).groupBy(by, "key").agg(F.count("*").alias("uses"), F.min("ord").alias("first"))
     used = used if every else used.where("uses > 1")
-    return used.withColumn("number", F.row_number().over(W.partitionBy(by).orderBy("first")))
+    return used.withColumn("number", F.row_number().over(W.partitionBy(by).orderBy("first", "key")))
 
 
 def pipe_tables(cells: DataFrame, by: list[str]) -> DataFrame:
