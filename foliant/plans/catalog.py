@@ -183,7 +183,7 @@ def style_chain_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _style_rows(spark, sf_dir)
-    return rel.cascade(s, rel.style_chains(s), ["size"]).select("name", F.col("size").cast("long").alias("size"))
+    return rel.cascade(s, rel.style_chains(s), ["size"]).select("name", F.coalesce("size", F.lit(-1)).cast("long").alias("size"))
 
 
 def run_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ def tab_stop_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last tab stop before and the first after a place."""
     p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("s"))
     stops = F.array(*[F.lit(x) for x in (5, 12, 20, 33, 47)])
-    return p.select("p_partkey", F.get(F.reverse(F.filter(stops, lambda x: x < F.col("s"))), F.lit(0)).cast("long").alias("before"), F.get(F.filter(stops, lambda x: x > F.col("s")), F.lit(0)).cast("long").alias("after"))
+    return p.select("p_partkey", F.get(F.reverse(F.filter(stops, lambda x: x < F.col("s"))), F.lit(0)).cast("long").alias("b"), F.get(F.filter(stops, lambda x: x > F.col("s")), F.lit(0)).cast("long").alias("a")).select("p_partkey", F.coalesce("b", F.lit(-1)).cast("long").alias("before"), F.coalesce("a", F.lit(-1)).cast("long").alias("after"))
 
 
 def corpus_block_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +292,7 @@ _SQL = {
         l AS (SELECT doc_id, ord, s.tag AS tag, s.text AS text, lag(s.tag) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM b)
         SELECT doc_id, string_agg(CASE WHEN prev IS NULL THEN '' WHEN tag = 'heading' OR prev = 'heading' THEN chr(10) WHEN tag = 'quote' AND prev = 'quote' THEN chr(10) || '>' || chr(10) ELSE chr(10) || chr(10) END || text, '' ORDER BY ord) || chr(10) AS text FROM l GROUP BY doc_id""",
     "style_chain_recursive": "WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey <= 60), c(name, depth, k) AS (SELECT 'S' || k, 0, k FROM s UNION ALL SELECT name, depth + 1, k // 2 FROM c WHERE k // 2 >= 1 AND k // 2 IN (SELECT k FROM s)) SELECT name, CAST(depth AS BIGINT) AS depth, 'S' || k AS ancestor FROM c",
-    "style_cascade": "WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey <= 60), c(name, depth, k) AS (SELECT 'S' || k, 0, k FROM s UNION ALL SELECT name, depth + 1, k // 2 FROM c WHERE k // 2 >= 1 AND k // 2 IN (SELECT k FROM s)) SELECT name, CAST(arg_min(CASE WHEN k % 3 = 1 THEN 2 * k END, depth) FILTER (WHERE k % 3 = 1) AS BIGINT) AS size FROM c GROUP BY name",
+    "style_cascade": "WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey <= 60), c(name, depth, k) AS (SELECT 'S' || k, 0, k FROM s UNION ALL SELECT name, depth + 1, k // 2 FROM c WHERE k // 2 >= 1 AND k // 2 IN (SELECT k FROM s)) SELECT name, CAST(coalesce(arg_min(CASE WHEN k % 3 = 1 THEN 2 * k END, depth) FILTER (WHERE k % 3 = 1), -1) AS BIGINT) AS size FROM c GROUP BY name",
     "run_merge_islands": "WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, min(l_returnflag) AS flag FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2), m AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER (PARTITION BY doc_id ORDER BY ord) THEN 1 ELSE 0 END AS c FROM r), i AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM m) SELECT doc_id, CAST(run AS BIGINT) AS run, flag, string_agg(ord::VARCHAR || ';', '' ORDER BY ord) AS text FROM i GROUP BY doc_id, run, flag",
     "visible_runs": "WITH i AS (SELECT user_id % 50 AS doc_id, event_id AS ord, CASE event_id % 7 WHEN 1 THEN 1 WHEN 3 THEN -1 WHEN 5 THEN -1 ELSE 0 END AS d, event_id % 7 IN (1, 3, 5) AS f FROM events), s AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY ord) AS s FROM i), t AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY ord)) AS depth FROM s) SELECT doc_id, count(*) AS n, min(ord) AS first FROM t WHERE NOT f AND depth = 0 GROUP BY doc_id",
     "interval_overlap_join": "SELECT l.p_partkey % 5 AS doc_id, l.p_partkey AS l_id, r.p_partkey AS r_id FROM part l JOIN part r ON l.p_partkey % 5 = r.p_partkey % 5 AND l.p_partkey * 10 < r.p_partkey * 9 + 25 AND r.p_partkey * 9 < l.p_partkey * 10 + l.p_size WHERE l.p_partkey <= 400 AND r.p_partkey <= 400 AND l.p_size > 0",
@@ -300,7 +300,7 @@ _SQL = {
     "md_repeated_links_having": "WITH u AS (SELECT l_orderkey % 100 AS doc_id, 'http://s.example/' || l_suppkey AS destination, count(*) AS uses, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) SELECT doc_id, destination, uses, row_number() OVER (PARTITION BY doc_id ORDER BY f, destination) AS number FROM u",
     "color_parse": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN printf('%02X%02X%02X', CAST(p_partkey % 256 AS INT), CAST(p_partkey % 7 AS INT), 9) ELSE printf('%06X', CAST(p_partkey AS INT)) END AS rgb FROM part",
     "unit_conversions": "SELECT p_partkey, round(p_size::DOUBLE * 0.05, 6) AS twip, round(p_size::DOUBLE * 0.5, 6) AS half_point, round(p_size::DOUBLE * 0.125, 6) AS eighth, round(p_size::DOUBLE * (72 / 25.4::DOUBLE), 6) AS mm, round(p_size::DOUBLE * 0.75, 6) AS pixel FROM part",
-    "tab_stop_asof": "SELECT p_partkey, CAST(list_max(list_filter([5, 12, 20, 33, 47], lambda x: x < p_size)) AS BIGINT) AS before, CAST(list_min(list_filter([5, 12, 20, 33, 47], lambda x: x > p_size)) AS BIGINT) AS after FROM part",
+    "tab_stop_asof": "SELECT p_partkey, CAST(coalesce(list_max(list_filter([5, 12, 20, 33, 47], lambda x: x < p_size)), -1) AS BIGINT) AS before, CAST(coalesce(list_min(list_filter([5, 12, 20, 33, 47], lambda x: x > p_size)), -1) AS BIGINT) AS after FROM part",
     "corpus_block_cube": f"WITH d AS (SELECT d.doc_id, any_value(d.lang) AS lang, any_value(d.source) AS source, count(p.ord) AS n FROM documents d LEFT JOIN {_LINES} p ON p.doc_id = d.doc_id GROUP BY d.doc_id) SELECT lang, source, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_docs FROM d GROUP BY CUBE (lang, source)",
 }
 _SQL["md_to_docx_roundtrip"] = _SQL["md_headings_from_nations"]
