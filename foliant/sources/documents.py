@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.doc import read_doc
 from foliant.functions.docx import read_docx, write_docx
 from foliant.functions.formats import load_format, reader_of
 from foliant.functions.markdown import read_markdown, read_text
@@ -47,6 +48,8 @@ def load(fmt: str, content: bytes, encoding: str = "utf-8", keep_empty: bool = F
         return read_markdown(content.decode(encoding, "replace"), keep_empty)
     if fmt == "text":
         return read_text(content.decode(encoding, "replace"))
+    if fmt in ("doc", "rtf"):
+        return read_doc(content)
     raise UnsupportedFormat(f"no reader for {fmt}")
 
 
