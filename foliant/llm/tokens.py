@@ -14,6 +14,10 @@ number of ids, each a signed 64-bit integer. A shuffled reader opens the index a
 
 from __future__ import annotations
 
+import gc
+import json
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +34,7 @@ MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 BLOCK = 256  # bytes that the parallel checksum takes at a time
 #: Words whose ids a Python worker keeps; beyond it the cache starts anew, with those of the last one at hand.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 
 
 # ---- checksums -----------------------------------------------------------------------------------------------
@@ -173,6 +177,9 @@ def records(stream, most: int = 8 << 20) -> Iterator[tuple[int | None, np.ndarra
 # ---- encoding ------------------------------------------------------------------------------------------------
 
 
+_SMALL = re.compile(r"[a-zß-öø-ÿ]+")
+
+
 class Encoder:
     """Ids of whole texts. ASCII white space always ends a token of the tokenizers this takes, so words encode alone and are kept."""
 
@@ -185,6 +192,28 @@ class Encoder:
         self.folds = self.ids("Az Q") == self.ids("az q") and all("<" in x.content for x in self.t.get_added_tokens_decoder().values())
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.plain = self._plain(path)
+        self.points = {c: self.pack(self.ids(c)) for c in ".,;:!?"} | {"": b""} if self.plain else {}
+
+    def _plain(self, path: str):
+        """The tokenizer without what leaves a run of small letters as it is, or None if another kind of tokenizer is given."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        kinds = lambda x, k: [y.get("type") for y in (x or {}).get(k, [])]
+        if not self.folds or kinds(form.get("normalizer"), "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds(form.get("pre_tokenizer"), "pretokenizers") != ["Split", "ByteLevel"]:
+            return None
+        if r"[\p{L}]+" not in str(form["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")) or form["pre_tokenizer"]["pretokenizers"][1]["use_regex"]:
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return plain
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def ids(self, text: str) -> list[int]:
         return self.t.encode(text, add_special_tokens=False).ids
@@ -197,13 +226,42 @@ class Encoder:
                 new.append(w)
             else:
                 self.known[w] = got
+        if self.plain:  # small letters, then perhaps a mark: the letters and the mark are tokens of their own
+            points, small, rest = self.points, _SMALL.fullmatch, []
+            simple, stems, ends = [], [], []
+            for w in new:
+                t = w.decode()
+                end = t[-1] if t[-1] in points else ""
+                stem = t[:-1] if end else t
+                if small(stem):
+                    simple.append(w)
+                    stems.append(stem)
+                    ends.append(end)
+                else:
+                    rest.append(w)
+            fresh = list(set(stems) - self.stems.keys())
+            if len(self.stems) + len(fresh) > CACHED_WORDS:
+                self.stems, fresh = {}, list(set(stems))
+            for k in range(0, len(fresh), 20_000):
+                some = fresh[k : k + 20_000]
+                self.stems.update(zip(some, [self.pack(e.ids) for e in self.plain.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+            known = self.stems
+            self.known.update(zip(simple, [known[t] + points[c] for t, c in zip(stems, ends, strict=True)], strict=True))
+            new = rest
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             for w, e in zip(some, self.t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+                self.known[w] = self.pack(e.ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Id bytes of each text, with the end id."""
+        gc.disable()  # it would walk the caches again and again
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         # lower-casing ASCII first makes fewer words; only the strings of added tokens may tell cases apart
         split = [(t.lower() if self.folds and b"<" not in t else t).split() for t in texts]
         words = set().union(*split) if split else set()
