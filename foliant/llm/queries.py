@@ -72,5 +72,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_warc_derivatives, op4_suffix_dedup, op5_decontamination, op6_line_dedup, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join)}
 
 
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL = {
+    "op5_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g, least(13, len(w)) AS n FROM b, unnest(range(1, greatest(2, len(w) - 11))) AS r(k) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT n FROM win),
+        dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS r(k)),
+        hit AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN win ON dw.g = win.g AND dw.n = win.n),
+        words AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM hit, unnest(range(0, n)) AS r(j) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages),
+        u AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM u""",
+    "op8_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op9_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (['5', '2', '1'])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS stop, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+        l AS (SELECT *, (budget - coalesce(sum(stop) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        t AS (SELECT source, source_size, budget, least(coalesce(max(CASE WHEN level * weight <= stop THEN level END) OVER () * weight, stop), stop) AS target FROM l),
+        r AS (SELECT d.*, source_size, target, budget, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT doc_id, source, size, h, k, budget, (cum + k * source_size) / target AS f FROM r, unnest([0, 1]) AS p(k) WHERE size > 0),
+        o AS (SELECT *, sum(size) OVER (ORDER BY f, source IS NULL, source, k, h, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+        n AS (SELECT doc_id, size, count(*) AS copies FROM o WHERE run <= budget GROUP BY doc_id, size)
+        SELECT r.doc_id, r.size, source_size, target, CAST(coalesce(copies, 0) * r.size AS BIGINT) AS taken FROM r LEFT JOIN n ON r.doc_id IS NOT DISTINCT FROM n.doc_id AND r.size = n.size""",
+    "op10_ngram_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 1))) AS r(k) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        c(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.reached = e.a)
+        SELECT c.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL over whole tables. Tokenizing, classifying, byte strings, WARC files and SimHash are held against brute force in tests."""
+    return dict(_SQL)
