@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import formats as fmt
+from foliant.functions import styles as st
 from foliant.functions import text as tx
 from foliant.operators import relational as rel
 from foliant.sources import documents as src
@@ -244,12 +245,32 @@ def tab_stop_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.get(F.reverse(F.filter(stops, lambda x: x < F.col("s"))), F.lit(0)).cast("long").alias("b"), F.get(F.filter(stops, lambda x: x > F.col("s")), F.lit(0)).cast("long").alias("a")).select("p_partkey", F.coalesce("b", F.lit(-1)).cast("long").alias("before"), F.coalesce("a", F.lit(-1)).cast("long").alias("after"))
 
 
+def style_names_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style names made of part keys, and what they say."""
+    p = _t(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("Heading "), (k % 11).cast("string"))).when(k % 5 == 1, F.concat(F.lit("Quote"), (k % 4).cast("string"))).when(k % 5 == 2, F.lit("FencedCode.python")).when(k % 5 == 3, F.lit("List Paragraph")).otherwise(F.lit("IndentedCode"))
+    s = st.parsed_style(name)
+    return p.select("p_partkey", *[s[c].cast("long").alias(c) for c in ("heading_level", "quote_level")], s["code_type"].alias("code_type"), s["code_language"].alias("code_language"), s["is_list_paragraph"].alias("is_list"))
+
+
+def list_items_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation")
+    level = F.col("n_nationkey") % 4
+    return n.select("n_nationkey", st.list_item(F.col("n_name"), level, st.bullet_marker(level)).alias("item"))
+
+
+def conditional_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.conv(F.col("p_partkey").cast("string"), 10, 2).alias("b"))
+    m = st.mask_from(F.right(F.col("b"), F.lit(12)))
+    return p.select("p_partkey", st.mask_to(m).alias("mask"), m["last_row"].alias("last_row"))
+
+
 def corpus_block_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("lang", "source", F.size(tx.split_lines(F.col("text"))).cast("long").alias("n"))
     return d.cube("lang", "source").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_docs"))
 
 
-_NATION_MD = "(SELECT n_regionkey, n_name FROM nation)"
 _SQL = {
     "text_stats_by_lang": f"SELECT lang, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_paragraphs, (SELECT CAST(sum(length(d.text)) AS BIGINT) FROM documents d WHERE d.lang = p.lang) AS n_chars FROM {_LINES} p GROUP BY lang",
     "text_paragraphs": f"SELECT doc_id, CAST(ord AS BIGINT) AS ord, text FROM {_LINES}",
@@ -301,13 +322,16 @@ _SQL = {
     "color_parse": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN printf('%02X%02X%02X', CAST(p_partkey % 256 AS INT), CAST(p_partkey % 7 AS INT), 9) ELSE printf('%06X', CAST(p_partkey AS INT)) END AS rgb FROM part",
     "unit_conversions": "SELECT p_partkey, round(p_size::DOUBLE * 0.05, 6) AS twip, round(p_size::DOUBLE * 0.5, 6) AS half_point, round(p_size::DOUBLE * 0.125, 6) AS eighth, round(p_size::DOUBLE * (72 / 25.4::DOUBLE), 6) AS mm, round(p_size::DOUBLE * 0.75, 6) AS pixel FROM part",
     "tab_stop_asof": "SELECT p_partkey, CAST(coalesce(list_max(list_filter([5, 12, 20, 33, 47], lambda x: x < p_size)), -1) AS BIGINT) AS before, CAST(coalesce(list_min(list_filter([5, 12, 20, 33, 47], lambda x: x > p_size)), -1) AS BIGINT) AS after FROM part",
+    "style_names_parsed": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 5 = 0 THEN least(6, p_partkey % 11) ELSE 0 END AS BIGINT) AS heading_level, CAST(CASE WHEN p_partkey % 5 = 1 THEN p_partkey % 4 ELSE 0 END AS BIGINT) AS quote_level, CASE p_partkey % 5 WHEN 2 THEN 'fenced' WHEN 4 THEN 'indented' ELSE '' END AS code_type, CASE p_partkey % 5 WHEN 2 THEN 'python' ELSE '' END AS code_language, p_partkey % 5 = 3 AS is_list FROM part",
+    "list_items_formatted": "SELECT n_nationkey, repeat('  ', n_nationkey % 4) || (['-', 'o', '+', '+'])[n_nationkey % 4 + 1] || ' ' || n_name AS item FROM nation",
+    "conditional_masks": "SELECT p_partkey, rpad(right(bin(p_partkey), 12), 12, '0') AS mask, substr(rpad(right(bin(p_partkey), 12), 12, '0'), 2, 1) = '1' AS last_row FROM part",
     "corpus_block_cube": f"WITH d AS (SELECT d.doc_id, any_value(d.lang) AS lang, any_value(d.source) AS source, count(p.ord) AS n FROM documents d LEFT JOIN {_LINES} p ON p.doc_id = d.doc_id GROUP BY d.doc_id) SELECT lang, source, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_docs FROM d GROUP BY CUBE (lang, source)",
 }
 _SQL["md_to_docx_roundtrip"] = _SQL["md_headings_from_nations"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (text_stats_by_lang, text_paragraphs, get_text, line_block_kinds, detect_format, escape_markdown, xml_escape, safe_text_latin1, html_blocks_from_pages, md_headings_from_nations, md_emphasis_runs, md_list_items, md_table_cells_orders, md_to_docx_roundtrip, text_to_pdf, pipe_table_render, html_table_render, list_labels_running, list_labels_roman, join_blocks, style_chain_recursive, style_cascade, run_merge_islands, visible_runs, interval_overlap_join, image_intern_dedupe, md_repeated_links_having, color_parse, unit_conversions, tab_stop_asof, corpus_block_cube)
+    found = (text_stats_by_lang, text_paragraphs, get_text, line_block_kinds, detect_format, escape_markdown, xml_escape, safe_text_latin1, html_blocks_from_pages, md_headings_from_nations, md_emphasis_runs, md_list_items, md_table_cells_orders, md_to_docx_roundtrip, text_to_pdf, pipe_table_render, html_table_render, list_labels_running, list_labels_roman, join_blocks, style_chain_recursive, style_cascade, run_merge_islands, visible_runs, interval_overlap_join, image_intern_dedupe, md_repeated_links_having, color_parse, unit_conversions, tab_stop_asof, style_names_parsed, list_items_formatted, conditional_masks, corpus_block_cube)
     return {f.__name__: f for f in found}
 
 
