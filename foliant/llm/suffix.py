@@ -163,9 +163,11 @@ def _cores(base: DataFrame, length: int, find) -> tuple[Bitmap, Bitmap]:
             for part in slices(batch, "text", 2 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 core, whole = find(Parse(data, off, length))
+                if not len(core):
+                    continue
                 order = np.lexsort((whole, core))
                 core, whole = core[order], whole[order]
-                edge = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]])) if len(core) else np.empty(0, int)
+                edge = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))
                 end = np.append(edge[1:], len(core))
                 yield pa.RecordBatch.from_arrays([pa.array(core[edge].view(np.int64)), pa.array(end - edge, pa.int64()), pa.array(whole[edge].view(np.int64)), pa.array(whole[end - 1].view(np.int64))], ["key", "n", "lo", "hi"])
 
@@ -176,6 +178,24 @@ def _cores(base: DataFrame, length: int, find) -> tuple[Bitmap, Bitmap]:
 
 UNIT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<i4"), ("sure", "<i4")])
 
+SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans by document and place; those that touch or overlap become one."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    lift = np.cumsum(first) * (1 << 42)  # a text is shorter than this, so no maximum passes to the next
+    reach = np.maximum.accumulate(end + lift) - lift
+    new = first.copy()
+    new[1:] |= start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1]
+
 
 def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, spans (of removed bytes, maximal), kept (the other bytes).
@@ -262,24 +282,27 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
         yes[1:] |= same
         yes[:-1] |= same
         u = u[order[yes]]
-        u = u[np.lexsort((u["start"], u["doc"]))]
-        start, end = u["start"], u["start"] + u["n"] - 1 + length
-        if not len(u):
+        doc, start, end = _joined(u["doc"], u["start"], u["start"] + u["n"] - 1 + length)
+        spans = np.empty(len(doc), SPAN)
+        spans["doc"], spans["start"], spans["end"] = doc, start, end
+        to = (doc.view(np.uint64) % U64(n)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edge = np.searchsorted(to[order], np.arange(n + 1))
+        full = np.flatnonzero(np.diff(edge))
+        spans = spans[order]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([spans[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary())], ["to", "spans"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column("spans").to_pylist()]
+        if not blobs:
             return
-        # runs of one text that touch or overlap become one; ends are not in order, but starts are
-        doc_edge = np.flatnonzero(np.concatenate([[True], u["doc"][1:] != u["doc"][:-1]]))
-        reach = np.maximum.accumulate(end + np.repeat(np.arange(len(doc_edge)), np.diff(np.append(doc_edge, len(u)))) * (1 << 42)) % (1 << 42)
-        new = np.ones(len(u), bool)
-        new[1:] = start[1:] > reach[:-1]
-        new[doc_edge] = True
-        at = np.flatnonzero(new)
-        spans = np.stack([start[at], reach[np.append(at[1:], len(u)) - 1]], 1).astype("<i8")
-        doc = u["doc"][at]
-        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        for k in range(0, len(edge), 10_000):
-            e = np.append(edge[k : k + 10_001], len(doc) if k + 10_001 > len(edge) else [])
-            e = np.unique(e).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), pa.array([spans[x:y].tobytes() for x, y in zip(e[:-1], e[1:], strict=True)], pa.binary())], ["doc", "spans"])
+        x = np.frombuffer(b"".join(blobs), SPAN)
+        doc, start, end = _joined(x["doc"], x["start"], x["end"])
+        pairs = np.stack([start, end], 1).astype("<i8")
+        edge = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc))
+        for k in range(0, len(edge) - 1, 10_000):
+            e = edge[k : k + 10_001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), pa.array([pairs[i:j].tobytes() for i, j in zip(e[:-1], e[1:], strict=True)], pa.binary())], ["doc", "found"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -289,13 +312,7 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
                 whole = data.tobytes()
                 out: tuple[list, list, list] = ([], [], [])
                 for a, b, found in zip(off[:-1].tolist(), off[1:].tolist(), part.column("found").to_pylist(), strict=True):
-                    merged: list[list[int]] = []
-                    if found:
-                        for x, y in sorted(map(tuple, np.concatenate([np.frombuffer(f, "<i8").reshape(-1, 2) for f in found]).tolist())):
-                            if merged and x <= merged[-1][1]:
-                                merged[-1][1] = max(merged[-1][1], y)
-                            else:
-                                merged.append([x, y])
+                    merged = np.frombuffer(found or b"", "<i8").reshape(-1, 2).tolist()
                     at, kept = a, []
                     for x, y in merged:
                         kept.append(whole[at : a + x])
@@ -307,7 +324,8 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], span), pa.array(out[2], pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     sent = base.select("key", "text").mapInArrow(emit, "to int, units binary").repartitionById(n, F.col("to"))
-    spans = sent.mapInArrow(settle, "doc long, spans binary").groupBy("doc").agg(F.collect_list("spans").alias("found"))
+    settled = sent.mapInArrow(settle, "to int, spans binary").repartitionById(n, F.col("to"))
+    spans = settled.mapInArrow(gather, "doc long, found binary")
     kind = docs.schema[id_col].dataType.simpleString()
     joined = base.join(spans, base["key"] == spans["doc"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
