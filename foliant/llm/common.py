@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,17 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_caches: dict[str, list] = {}
+
+
+def cache_of(name: str) -> list:
+    """What an operator keeps in a Python worker from task to task; the worker drops what other operators kept there."""
+    for other in [k for k in _caches if k != name]:
+        del _caches[other]
+        gc.collect()
+    return _caches.setdefault(name, [])
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `most` bytes in `column`; a longer value stands alone, whole."""
     _, off, _ = raw(batch.column(column))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, runs, slices
+from .common import cache_of, raw, runs, slices
 
 WINDOW = 13
 #: What may be broadcast; beyond it the benchmark is searched in several passes, each within this bound.
@@ -202,10 +202,11 @@ def _search(docs: DataFrame, items: DataFrame, window: int, origin: DataFrame, k
     ready: list[Benchmark] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("decontam")
         if not ready:
             ready.append(Benchmark(shared.value, window))
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20) if batch.num_rows else []:
+            for part in slices(batch, "text", 4 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 whole = data.tobytes()
                 texts = [normal(whole[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

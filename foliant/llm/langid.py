@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, raw, slices
+from .common import U64, cache_of, mix, slices
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -75,6 +75,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     block = min(buckets, 1 << 13)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("langid")
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
@@ -126,6 +127,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[st
     fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out[0], "string").add(out[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("langid")
         m = shared.value
         table = np.ascontiguousarray(m.log_prob.T)
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, cut, mix, parts, raw, runs, slices
+from .common import U64, Rolling, cache_of, cut, mix, parts, raw, runs, slices
 
 SLACK = 1
 _SPACE = np.zeros(256, bool)
@@ -176,9 +176,10 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
     num, den = threshold
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("ngramjoin")
         bands = Bands(num, den)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20) if batch.num_rows else []:
+            for part in slices(batch, "text", 1 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 h, edge = shingle_sets(data, off, n)
                 size = np.diff(edge)
@@ -206,9 +207,10 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
     spark = base.sparkSession
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("ngramjoin")
         bands, layout = _by_band(counts, num, den)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20) if batch.num_rows else []:
+            for part in slices(batch, "text", 1 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 h, edge = shingle_sets(data, off, n)
                 ids = np.asarray(part.column("doc_id"))
@@ -357,7 +359,7 @@ def _sets(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20) if batch.num_rows else []:
+            for part in slices(batch, "text", 1 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 h, edge = shingle_sets(data, off, n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 8).astype(np.int32)), pa.py_buffer(h)])], ["id", "set"])

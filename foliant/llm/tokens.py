@@ -28,13 +28,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, slices, work_dir
+from .common import cache_of, raw, slices, work_dir
 
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 BLOCK = 256  # bytes that the parallel checksum takes at a time
 #: Words whose ids a Python worker keeps; beyond it the cache starts anew, with those of the last one at hand.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 
 # ---- checksums -----------------------------------------------------------------------------------------------
@@ -273,14 +273,11 @@ class Encoder:
         return [b"".join(map(known.__getitem__, s)) + self.end for s in split]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def _encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders.clear()
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    kept = cache_of("tokens")
+    if not kept or kept[0] != (path, end_id):
+        kept[:] = [(path, end_id), Encoder(path, end_id)]
+    return kept[1]
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None) -> DataFrame:
@@ -293,7 +290,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, end_id)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 text = part.column(1)
                 ids = e.encode([t or b"" for t in text.cast(pa.binary() if text.type == pa.string() else pa.large_binary()).to_pylist()])
                 doc = part.column(0)
