@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 3-word n-grams at a similarity of 0.9 join, the document with the smallest id stays."""
-    groups = ngramjoin.components(docs).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
+    """Of each group that links of 5-word n-grams at a similarity of 0.8 join, the document with the smallest id stays."""
+    groups = ngramjoin.components(docs, n=5, threshold=(4, 5)).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
     lost = groups.where("__id <> __c").select("__id").distinct()
     return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
 

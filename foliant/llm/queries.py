@@ -65,7 +65,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.components(table(spark, sf_dir, "documents"))
+    return ngramjoin.components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,3 +57,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_at_five_words(spark):
+    """Pairs whose 5-word similarity reaches 0.8 go though their 3-word similarity is below 0.9; less similar ones stay."""
+    words = [f"w{k}" for k in range(55)]
+    near, far = list(words), [w + "x" for w in words]
+    near[25] = "zz"
+    apart = list(far)
+    apart[10] = apart[40] = "zz"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(apart))]
+
+    def jaccard(a, b, n):
+        x, y = ({tuple(t[k : k + n]) for k in range(len(t) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert jaccard(words, near, 5) >= 0.8 and jaccard(words, near, 3) < 0.9 and jaccard(far, apart, 5) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
