@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, langid, mixing, ngramjoin, tokens
-from foliant.llm.common import table, work_dir
+from foliant.llm.common import cut, table, work_dir
 from foliant.llm.queries import END_ID, tokenizer_path
 
 #: A document stays if it has a language and the prediction is at least this sure of it.
@@ -20,18 +20,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def _key() -> Column:
+    """A row's key: a hash of its id, or that it has none, and its text. Only rows repeated with the same id and text share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 5-word n-grams at a similarity of 0.8 join, the document with the smallest id stays."""
-    groups = ngramjoin.components(docs, n=5, threshold=(4, 5)).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
-    lost = groups.where("__id <> __c").select("__id").distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+    """Of each group that links of 5-word n-grams at a similarity of 0.8 join, one row stays: the one with the smallest id.
+
+    Rows without an id come last and take part as others do; of rows repeated with the same id and text one stays, the
+    smallest by its other columns. Documents without a word link with nothing and stay.
+    """
+    keyed = docs.withColumn("__k", _key())
+    found = ngramjoin.components(keyed, n=5, threshold=(4, 5), id_col="__k").where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__k")).agg(F.first("component_id").alias("c"), F.count("*").alias("copies"))
+    named = cut(found.join(keyed.select("__k", "doc_id").distinct(), "__k"))
+    keep = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k"))["__k"].alias("keep"))
+    lost = named.join(keep, "c").where("__k <> keep").select("__k")
+    repeated = named.where("copies > 1").select("__k").join(lost, "__k", "left_anti")
+    gone = cut(lost.withColumn("lost", F.lit(True)).unionByName(repeated.withColumn("lost", F.lit(False))))
+    one = keyed.join(gone.where("not lost"), "__k", "left_semi").groupBy("__k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return keyed.join(gone, "__k", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+    """Contaminated documents go, whether or not they have an id."""
+    keyed = docs.withColumn("__k", _key())
+    found = decontam.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__k")
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__k")).distinct()
+    return keyed.join(bad, "__k", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,8 +169,9 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
 
     Two rows link if the Jaccard similarity of their sets is at least threshold (numerator, denominator). Null and empty
     texts have no n-gram and link with nothing. Equal sets, repeated rows among them, form one class, which one of them
-    stands for in the join. A null doc_id takes no part as a reached id: a row that has one gets the smallest id of its
-    links, or null. Rows that share a doc_id are one document with all their sets.
+    stands for in the join. A null doc_id takes no part as a reached id: a row that has one links as others do, by a key of
+    its text, and gets the smallest id that its links reach, or null. Rows that share a doc_id are one document with all
+    their sets.
     Other columns are ignored; an empty table gives no rows.
     """
     num, den = threshold
@@ -188,18 +189,34 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
                 np.cumsum(mix(h ^ U64(0x77777777777)), out=total[1, 1:])
                 fp = total[:, edge[1:]] - total[:, edge[:-1]]
                 band = [bands.index(int(s)) if s else -1 for s in size]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(band, pa.int32()), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(sketches(h, edge), pa.binary())], ["doc_id", "n_shingles", "band", "f1", "f2", "sketch"])
-
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(base.mapInArrow(measure, "doc_id long, n_shingles long, band int, f1 long, f2 long, sketch binary"))
-    classes = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("band").alias("band"), F.first("sketch").alias("sketch")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(band, pa.int32()), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(sketches(h, edge), pa.binary()), part.column("named")], ["doc_id", "n_shingles", "band", "f1", "f2", "sketch", "named"])
+
+    real, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    base = docs.select(F.coalesce(real, F.xxhash64(F.lit("no id"), text)).alias("doc_id"), text.alias("text"), real.isNotNull().alias("named"))
+    rows = cut(base.mapInArrow(measure, "doc_id long, n_shingles long, band int, f1 long, f2 long, sketch binary, named boolean"))
+    own = F.when(F.col("named"), F.col("doc_id"))
+    # a row with an id stands for its class if there is one
+    rep = F.min(F.struct(~F.col("named"), "doc_id"))["doc_id"].alias("rep")
+    classes = cut(rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(rep, F.min(own).alias("least"), F.first("band").alias("band"), F.first("sketch").alias("sketch")))
     counts = {r.band: r["n"] for r in classes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
-    edges = _links(base, classes, counts, n, num, den)
+    edges = _links(_one_of_each(base, classes), classes, counts, n, num, den)
     merged = connect(edges)
-    member = classes.join(merged, classes["rep"] == merged["node"], "left").select("f1", "f2", F.col("n_shingles").alias("m"), F.coalesce("root", "rep").alias("root"))
+    member = classes.join(merged, classes["rep"] == merged["node"], "left").select("f1", "f2", F.col("n_shingles").alias("m"), F.coalesce("root", "rep").alias("root"), "least")
+    member = cut(member)
+    # keys of rows without an id are no ids: of each component the smallest real id, if it has one
+    lowest = member.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("root"))
+    member = member.withColumnRenamed("root", "r").join(lowest, "r").select("f1", "f2", "m", "root")
     one = F.when(F.col("n_shingles") > 0, F.col("n_shingles"))
     out = rows.alias("r").join(member.alias("c"), (F.col("r.f1") == F.col("c.f1")) & (F.col("r.f2") == F.col("c.f2")) & (one == F.col("c.m")), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return out.select(own.alias("doc_id"), "n_shingles", F.coalesce("root", own).alias("component_id"))
+
+
+def _one_of_each(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """base, of whose rows without an id one stays for each class that has no row with an id."""
+    alone = classes.where("least is null").select("rep").distinct()
+    nameless = base.where("not named").join(alone, F.col("doc_id") == F.col("rep"), "left_semi")
+    nameless = nameless.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return base.where("named").select("doc_id", "text").unionByName(nameless)
 
 
 def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int, num: int, den: int) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from foliant.llm import mixing
+from foliant.llm import mixing, ngramjoin
 from foliant.llm.queries import tokenizer_path
 
 
@@ -75,3 +75,25 @@ def test_near_duplicates_at_five_words(spark):
     assert jaccard(words, near, 5) >= 0.8 and jaccard(words, near, 3) < 0.9 and jaccard(far, apart, 5) < 0.8
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
+
+
+def test_rows_without_ids_and_repeated_rows(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, "s"), (None, a + " more", "s"), (2, b, "t"), (2, b, "s"), (None, c, "t"), (None, c, "t"), (None, c + " more", "s"), (3, d + " end", "s"), (4, "", "s"), (None, None, "s"), (None, "other", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    of_c = [r for r in kept if r[1] and r[1].startswith("c0 ")]
+    assert len(of_c) == 1 and of_c[0] in rows
+    assert Counter(r for r in kept if r not in of_c) == Counter([rows[0], (2, b, "s"), *rows[7:]])
+
+    spark.createDataFrame([(1, c), (2, d)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in clean) == Counter(r for r in rows if not (r[1] or "").startswith(("c0 ", "d0 ")))
+
+
+def test_components_of_rows_without_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, a), (None, a + " more"), (None, a), (7, a + " most"), (None, b), (None, b + " more"), (None, None), (9, None)]
+    got = ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(5, 58, 5), (None, 59, 5), (None, 58, 5), (7, 59, 5), (None, 58, None), (None, 59, None), (None, 0, None), (9, 0, 9)]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(want)
