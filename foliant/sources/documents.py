@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.doc import read_doc
@@ -130,7 +132,11 @@ def convert(raw: DataFrame, to: str, load_options: dict | None = None, **options
 
 
 def write_files(converted: DataFrame, folder: str, suffix: str) -> DataFrame:
-    """One file for each document in a folder that all machines share; named by doc_id, complete when it has its name."""
+    """One file for each row in a folder that all machines share, complete when it has its name.
+
+    The name is the end of doc_id with other characters than letters, digits, - and _ as _, and a digest of the whole
+    doc_id, so different ids never share a file; rows that repeat an id also have their number, in the order of their contents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
@@ -139,13 +145,16 @@ def write_files(converted: DataFrame, folder: str, suffix: str) -> DataFrame:
         fs.create_dir(base, recursive=True)
         for batch in batches:
             names = []
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name = "".join(c if c.isalnum() or c in "-_" else "_" for c in str(doc_id))[-120:] + suffix
+            for doc_id, content, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "n")), strict=True):
+                digest = hashlib.sha256(repr(doc_id).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+                name = "".join(c if c.isalnum() or c in "-_" else "_" for c in str(doc_id))[-40:] + f"-{digest}" + (f"-{n}" if n > 1 else "") + suffix
                 with fs.open_output_stream(f"{base}/_{(tmp := uuid.uuid4().hex)}", compression=None) as o:
-                    o.write(content or b"")
+                    o.write(content)
                 fs.move(f"{base}/_{tmp}", f"{base}/{name}")
                 names.append(name)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string())], ["doc_id", "file"])
 
     kind = converted.schema["doc_id"].dataType.simpleString()
-    return converted.where("content is not null").select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, file string")
+    same = W.partitionBy("doc_id").orderBy(F.sha2("content", 256))
+    rows = converted.where("content is not null").select("doc_id", "content").withColumn("n", F.row_number().over(same))
+    return rows.mapInArrow(run, f"doc_id {kind}, file string")

@@ -153,6 +153,14 @@ def test_sources(spark, tmp_path):
     assert src.styles(raw.where("path like '%.md'")).count() >= 3
 
 
+def test_every_row_has_its_file(spark, tmp_path):
+    ids = ["in/a/b.md", "in/a_b.md", "x y", "x_y", "1/" + "d" * 130, "2/" + "d" * 130, "twice", "twice", "twice", None, None, "None", "ü" * 200]
+    rows = [(x, str(k % 8).encode()) for k, x in enumerate(ids)]
+    out = src.write_files(spark.createDataFrame(rows, "doc_id string, content binary").repartition(3), str(tmp_path / "out"), ".md").collect()
+    found = [(r.doc_id, (tmp_path / "out" / r.file).read_bytes()) for r in out]
+    assert sorted(map(repr, found)) == sorted(map(repr, rows)) and len({r.file for r in out}) == len(rows) == len(list((tmp_path / "out").iterdir()))
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("# T\n\nx")
