@@ -2,10 +2,10 @@
 
 A token is a tag with its path of open elements, or a run of text at such a path. Tokens that occur equally often on every page
 of a host (the same occurrence vector) form a class; a class that is on most pages of the host and whose tokens nest is
-part of the template. The template's elements have slots; the slot that varies most and holds most words, outside what
+part of the template. The template's elements have slots; the lowest element that holds all words that vary, outside what
 its path or class names mark as menu, header, footer, advert and the like, is the host's main container. A page's text
 is what its main container holds, less such elements inside it; a page without the container falls back to its own
-article, main or fullest element.
+article, main or all its text outside such elements.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def _words(text: str) -> str:
 
 
 def tokens(page: str) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
-    """Counts of (path, "" or text), and words of text by the path of its nearest block element."""
+    """Counts of (path, "" or text), and words of text by the path of each element that holds it."""
     count: dict[tuple[str, str], int] = {}
     volume: dict[str, int] = {}
     for kind, e, text in events(page):
@@ -144,24 +144,25 @@ def tokens(page: str) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
             count[e.path, ""] = count.get((e.path, ""), 0) + 1
         elif kind == "text" and (t := _words(text)) and e.path and not e.chrome:
             count[e.path, t] = count.get((e.path, t), 0) + 1
-            while e.name in INLINE and e.parent is not None:
-                e = e.parent
-            volume[e.path] = volume.get(e.path, 0) + t.count(" ") + 1
+            x: Element | None = e
+            while x is not None:
+                volume[x.path] = volume.get(x.path, 0) + t.count(" ") + 1
+                x = x.parent
     return count, volume
 
 
-def main_container(paths: dict[str, tuple[int, int]], pages: int) -> str:
-    """The main container of a host: paths maps template paths that occur once a page to (pages, words in their slots).
+def main_container(words: dict[str, int]) -> str:
+    """The main container of a host: words maps template paths that occur once a page to the words that vary inside them.
 
-    Of these the deepest that holds nearly all words in slots; article and main go before others.
+    An article or main that holds most words goes before others, the deepest that holds as many as the outermost such. Else
+    it is the deepest that holds all words, so that no sibling slot with text that varies is left out.
     """
-    total = {p: sum(w for q, (_, w) in paths.items() if q == p or q.startswith(p + "/")) for p in paths}
-    whole = max(total.values(), default=0)
+    whole = max(words.values(), default=0)
     if not whole:
         return ""
-    best = [p for p in paths if total[p] >= 0.6 * whole]
-    named = [p for p in best if re.match(r"(article|main)\b", p.rsplit("/", 1)[-1])]
-    return max(named or best, key=lambda p: (p.count("/"), p))
+    named = [p for p, w in words.items() if w >= 0.6 * whole and re.match(r"(article|main)\b", p.rsplit("/", 1)[-1])]
+    most = max((words[p] for p in named), default=whole)
+    return max((p for p in named or words if words[p] == most), key=lambda p: (p.count("/"), p))
 
 
 def extract(page: str | None, container: str = "") -> str:
@@ -194,18 +195,6 @@ def extract(page: str | None, container: str = "") -> str:
             got = [t for e, t in made if within(e, test)]
             if got:
                 return " ".join(got)
-    # the fullest element: the deepest that holds most of the words
-    weight: dict[int, tuple[Element, int]] = {}
-    for e, t in made:
-        x: Element | None = e
-        while x is not None:
-            weight[id(x)] = (x, weight.get(id(x), (x, 0))[1] + t.count(" ") + 1)
-            x = x.parent
-    total = sum(t.count(" ") + 1 for _, t in made)
-    full = [x for x, w in weight.values() if 2 * w > total and x.name not in INLINE and x.name not in ("p", "li", "td", "h1", "h2", "h3")]
-    if full:
-        top = max(full, key=lambda x: x.path.count("/"))
-        return " ".join(t for e, t in made if within(e, lambda x: x is top))
     return " ".join(t for _, t in made)
 
 
@@ -250,7 +239,7 @@ def containers(pages: DataFrame) -> DataFrame:
                         s[2] += v & 0xFFFFFFFF
                         s[3] += v >> 32
                         s[4] += place
-                        s[5] += volume.get(path, 0) if not text else 0
+                        s[5] += n * (text.count(" ") + 1) if text else volume.get(path, 0)
                     if len(sums) > 200_000:
                         yield flush()
         if sums:
@@ -263,28 +252,23 @@ def containers(pages: DataFrame) -> DataFrame:
 
     def deduce(key: tuple, t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        n = rows[0]["n"]
         classes: dict[tuple, list[dict]] = {}
         for r in rows:
             classes.setdefault((r["pages"], r["total"], r["v1"], r["v2"]), []).append(r)
-        template: dict[str, tuple[int, int]] = {}
-        fixed: dict[str, int] = {}
+        varying = {r["path"]: r["words"] for r in rows if r["token"] == 0}
+        template: list[str] = []
         for (on, total, _, _), members in classes.items():
-            members.sort(key=lambda r: r["place"])
             if on == total and len(members) > 1:  # once on each of its pages, with others: a valid class
                 for r in members:
+                    p = r["path"]
                     if r["token"] == 0:
-                        template[r["path"]] = (on, 0)
-                    else:
-                        fixed[r["path"]] = fixed.get(r["path"], 0) + on
-        for r in rows:  # words that vary fall to the nearest template element above
-            if r["token"] == 0 and r["words"]:
-                p = r["path"]
-                while p and p not in template:
-                    p = p.rpartition("/")[0]
-                if p:
-                    template[p] = (template[p][0], template[p][1] + max(0, r["words"] - fixed.get(r["path"], 0)))
-        return pa.table({"host": [key[0].as_py()], "container": [main_container(template, n)]})
+                        template.append(p)
+                        continue
+                    while p:  # what the template says itself does not vary
+                        if p in varying:
+                            varying[p] -= r["words"]
+                        p = p.rpartition("/")[0]
+        return pa.table({"host": [key[0].as_py()], "container": [main_container({p: varying[p] for p in template})]})
 
     return frequent.groupBy("host").applyInArrow(deduce, "host string, container string").where("container <> ''")
 

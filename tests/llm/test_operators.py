@@ -215,6 +215,16 @@ def test_main_text(spark):
     assert htmlmain.main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_of_sibling_divs(spark):
+    """No article or main: headline, lead and body are slots of their own, one of them on few pages; none may go."""
+    page = '<html><body><div class="menu">m</div><div class="content"><div class="lead"><h1>Head {0}</h1><p>' + "lead{0} " * 35 + '</p></div><div class="body"><p>' + "body{0} " * 65 + "</p></div>{1}</div><div class='footer'>f {0}</div></body></html>"
+    want = {i: " ".join(f"Head {i} {f'lead{i} ' * 35}{f'body{i} ' * 65}{f'late {i}' if i == 4 else ''}".split()) for i in range(6)}
+    rows = [(i, f"http://h.example/{i}", page.format(i, f'<div class="late">late {i}</div>' if i == 4 else "")) for i in range(6)]
+    rows.append((9, "http://alone.example/", page.format(0, "")))  # too few pages for a template
+    got = {r.page_id: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want | {9: want[0]}
+
+
 def test_warc(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(4)] + [(9, None, None)]
     path, files = warc.build(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)), work_dir(spark, "t"))
