@@ -4,7 +4,9 @@ A token is a tag with its path of open elements, or a run of text at such a path
 of a host (the same occurrence vector) form a class; a class that is on most pages of the host and whose tokens nest is
 part of the template. The template's elements have slots; the lowest element that holds all words that vary, outside what
 its path or class names mark as menu, header, footer, advert and the like, is the host's main container. A page's text
-is what its main container holds, less such elements inside it; a page without the container falls back to its own
+is what its main container holds, less such elements inside it and less the template's own text: what stands there once on
+every page of the host that is not empty, if nothing else of its block varies. Members of a class are known by their whole paths, so those that occur once a
+page nest as their paths do, and the order of siblings decides nothing. A page without the container falls back to its own
 article, main or all its text outside such elements.
 """
 
@@ -165,31 +167,44 @@ def main_container(words: dict[str, int]) -> str:
     return max((p for p in named or words if words[p] == most), key=lambda p: (p.count("/"), p))
 
 
-def extract(page: str | None, container: str = "") -> str:
-    """The main text of one page, given its host's container path ("": none known)."""
+def _token(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 if text else 0
+
+
+def _at(path: str, token: int) -> int:
+    """One number for a token at its path."""
+    return xxhash.xxh64_intdigest(f"{token} {path}".encode("utf-8", "surrogatepass")) >> 1
+
+
+def extract(page: str | None, container: str = "", fixed: frozenset[int] = frozenset()) -> str:
+    """The main text of one page, given its host's container path ("": none known) and the template's own text inside it."""
     if not page:
         return ""
+    def within(e: Element | None, test) -> bool:
+        while e is not None:
+            if test(e):
+                return True
+            e = e.parent
+        return False
+
+    varies: set[int] = set()
     blocks: list[tuple[Element, list[str]]] = [(Element("", "", False, "", None), [])]
     for kind, e, text in events(page):
         if kind == "text":
             if not e.chrome:
+                if fixed and (t := _words(text)) and not (_at(e.path, _token(t)) in fixed and within(e, lambda x: x.path == container)):
+                    varies.add(id(_block(e)))
                 if blocks[-1][0] is not e and _block(blocks[-1][0]) is not _block(e):
                     blocks.append((e, []))
                 blocks[-1][1].append(html.unescape(text))
                 blocks[-1] = (e, blocks[-1][1])
         elif kind == "break":
             blocks.append((e, []))
-    made = [(e, t) for e, x in blocks if (t := " ".join("".join(x).split()))]
+    # a block goes as a whole or not at all: words between those that vary are part of its text
+    made = [(e, t) for e, x in blocks if (not fixed or id(_block(e)) in varies) and (t := " ".join("".join(x).split()))]
     if not made:
         return ""
 
-    def within(e: Element | None, test) -> bool:
-        while e is not None:
-            if test(e):
-                return True
-            e = e.parent
-        return False
-
     for test in ((lambda e: e.path == container) if container else None, lambda e: e.name == "article", lambda e: e.name == "main"):
         if test:
             got = [t for e, t in made if within(e, test)]
@@ -209,7 +224,7 @@ def host(url: Column) -> Column:
 
 
 def containers(pages: DataFrame) -> DataFrame:
-    """(host, container) for each host with a template. pages: host, key (one number a page), html.
+    """(host, container, fixed) for each host with a template; fixed: the template's own text in it. pages: host, key (one number a page), html.
 
     Each task sums its pages' tokens by host, so a host with a third of all pages comes to the shuffle as a few sums.
     The occurrence vector is known by two sums, over pages, of a hash of (page, count), which do not depend on order.
@@ -231,7 +246,7 @@ def containers(pages: DataFrame) -> DataFrame:
                     s = sums.setdefault((h, "", 0), [0] * 6)
                     s[0] += 1
                     for place, ((path, text), n) in enumerate(found.items()):
-                        token = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 if text else 0
+                        token = _token(text)
                         v = xxhash.xxh64_intdigest(f"{key}:{n}")
                         s = sums.setdefault((h, path, token), [0] * 6)
                         s[0] += 1
@@ -257,6 +272,8 @@ def containers(pages: DataFrame) -> DataFrame:
             classes.setdefault((r["pages"], r["total"], r["v1"], r["v2"]), []).append(r)
         varying = {r["path"]: r["words"] for r in rows if r["token"] == 0}
         template: list[str] = []
+        own: list[tuple[str, int]] = []
+        every = max((r["pages"] for r in rows if r["token"] == 0), default=0)
         for (on, total, _, _), members in classes.items():
             if on == total and len(members) > 1:  # once on each of its pages, with others: a valid class
                 for r in members:
@@ -264,13 +281,17 @@ def containers(pages: DataFrame) -> DataFrame:
                     if r["token"] == 0:
                         template.append(p)
                         continue
+                    if on == every:
+                        own.append((p, r["token"]))
                     while p:  # what the template says itself does not vary
                         if p in varying:
                             varying[p] -= r["words"]
                         p = p.rpartition("/")[0]
-        return pa.table({"host": [key[0].as_py()], "container": [main_container({p: varying[p] for p in template})]})
+        container = main_container({p: varying[p] for p in template})
+        fixed = sorted(_at(p, t) for p, t in own if p == container or p.startswith(container + "/"))
+        return pa.table({"host": [key[0].as_py()], "container": [container], "fixed": pa.array([fixed], pa.list_(pa.int64()))})
 
-    return frequent.groupBy("host").applyInArrow(deduce, "host string, container string").where("container <> ''")
+    return frequent.groupBy("host").applyInArrow(deduce, "host string, container string, fixed array<long>").where("container <> ''")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -283,14 +304,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     base = base.withColumn("host", host(F.col("url")))
     known = cut(containers(base.select("host", F.xxhash64("page_id", "url").alias("key"), "html")))
-    size = known.agg(F.sum(F.length("host") + F.length("container") + 64)).first()[0] or 0
+    size = known.agg(F.sum(F.length("host") + F.length("container") + 8 * F.size("fixed") + 64)).first()[0] or 0
     joined = base.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 16 << 20) if batch.num_rows else []:
-                texts = [extract(page, c or "") for page, c in zip(part.column("html").to_pylist(), part.column("container").to_pylist(), strict=True)]
+                texts = [extract(page, c or "", frozenset(f or ())) for page, c, f in zip(*(part.column(k).to_pylist() for k in ("html", "container", "fixed")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "container").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "container", "fixed").mapInArrow(run, f"page_id {kind}, url string, text string")

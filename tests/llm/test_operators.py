@@ -225,6 +225,15 @@ def test_main_text_of_sibling_divs(spark):
     assert got == want | {9: want[0]}
 
 
+def test_main_text_without_template_text(spark):
+    """A paragraph that all pages of a host share goes; one that only copies of a page share stays, as do a host's equal pages."""
+    page = "<html><body><article><h1>Head {0}</h1><p>Text {0} of it</p><p>Read also our <b>other</b> pages</p></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(min(i, 3))) for i in range(6)] + [(6, "http://h.example/6", "")]
+    rows += [(10 + i, f"http://same.example/{i}", page.format(0)) for i in range(4)]
+    got = {r.page_id: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Head {min(i, 3)} Text {min(i, 3)} of it" for i in range(6)} | {6: ""} | {10 + i: "Head 0 Text 0 of it Read also our other pages" for i in range(4)}
+
+
 def test_warc(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(4)] + [(9, None, None)]
     path, files = warc.build(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)), work_dir(spark, "t"))
