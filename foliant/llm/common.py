@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one, on a single machine only."""
     jsc = spark.sparkContext._jsc.sc()
     now = jsc.getCheckpointDir()
     if now.isDefined():
         return now.get()
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="foliant-")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()

@@ -14,16 +14,14 @@ number of ids, each a signed 64-bit integer. A shuffled reader opens the index a
 
 from __future__ import annotations
 
-import gc
 import json
-import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +31,6 @@ from .common import cache_of, raw, slices, work_dir
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 BLOCK = 256  # bytes that the parallel checksum takes at a time
-#: Words whose ids a Python worker keeps; beyond it the cache starts anew, with those of the last one at hand.
-CACHED_WORDS = 250_000
 
 
 # ---- checksums -----------------------------------------------------------------------------------------------
@@ -177,100 +173,137 @@ def records(stream, most: int = 8 << 20) -> Iterator[tuple[int | None, np.ndarra
 # ---- encoding ------------------------------------------------------------------------------------------------
 
 
-_SMALL = re.compile(r"[a-zß-öø-ÿ]+")
+#: Alternatives of a split pattern, none of which can match white space; a pattern of these alone never joins two words.
+_WITHIN = {r"[\p{L}]+", r"\p{L}+", r"[\p{N}]", r"\p{N}", r"[\p{N}]+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+#: A word that stands between others when many are encoded as one text.
+_BETWEEN = "\x01"
+#: Letters of Latin-1, whose small forms every rule agrees on, and perhaps one mark after them: two tokens of the split.
+_MARKS = [".", ",", ";", ":", "!", "?"]
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"
+#: Words that are encoded as one text.
+_TOGETHER = 200
+
+
+def words_alone(path: str) -> bool:
+    """Whether the tokenizer's file proves that the words between ASCII white space encode alone, whatever stands around them.
+
+    So it is if: the normalizer has only steps that act within a word (NFC joins nothing with white space) or on white
+    space; the pre-tokenizer drops what its pattern doesn't match, and no alternative of that pattern matches white space;
+    no added token has white space or looks at its neighbours; nothing is added after; and the model is BPE without dropout.
+    """
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+
+    def steps(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else [z for y in x[inner] for z in steps(y, inner)] if x["type"] == "Sequence" else [x]
+
+    def within(step: dict) -> bool:
+        return step["type"] in ("NFC", "Lowercase") or (step["type"], step.get("pattern"), step.get("content")) == ("Replace", {"Regex": r"\s+"}, " ")
+
+    pre = steps(form.get("pre_tokenizer"), "pretokenizers")
+    if len(pre) != 2 or not all(map(within, steps(form.get("normalizer"), "normalizers"))):
+        return False
+    cut, after = pre
+    pattern = str((cut.get("pattern") or {}).get("Regex", " "))
+    if cut["type"] != "Split" or (cut["behavior"], cut["invert"]) != ("Removed", True) or not set(pattern.split("|")) <= _WITHIN:
+        return False
+    if after["type"] != "ByteLevel" or after["add_prefix_space"] or after["use_regex"]:
+        return False
+    tokens = form.get("added_tokens") or []
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] or x["content"].split() != [x["content"]] for x in tokens):
+        return False
+    return form.get("post_processor") is None and form["model"]["type"] == "BPE" and not form["model"].get("dropout")
 
 
 class Encoder:
-    """Ids of whole texts. ASCII white space always ends a token of the tokenizers this takes, so words encode alone and are kept."""
+    """Ids of whole texts. Where the tokenizer's file proves that words encode alone, each distinct word of a slice is encoded once."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.width = 2 if max(self.t.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
-        self.end = np.array([end_id], f"<u{self.width}").tobytes()
-        self.folds = self.ids("Az Q") == self.ids("az q") and all("<" in x.content for x in self.t.get_added_tokens_decoder().values())
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.plain = self._plain(path)
-        self.points = {c: self.pack(self.ids(c)) for c in ".,;:!?"} | {"": b""} if self.plain else {}
+        self.kind = np.dtype(f"<u{self.width}")
+        self.end = np.array([end_id], self.kind)
+        between = self.t.encode(_BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if words_alone(path) and len(between) == 1 else None
+        self.plain = self._plain(path) if self.between is not None else None
+        self.marks = pa.array([np.array(self.t.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in _MARKS] + [b""], pa.large_binary())
 
     def _plain(self, path: str):
-        """The tokenizer without what leaves a run of small letters as it is, or None if another kind of tokenizer is given."""
+        """The tokenizer without the steps that leave small letters as they are, for a model that marks the ends of words."""
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
-        kinds = lambda x, k: [y.get("type") for y in (x or {}).get(k, [])]
-        if not self.folds or kinds(form.get("normalizer"), "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds(form.get("pre_tokenizer"), "pretokenizers") != ["Split", "ByteLevel"]:
-            return None
-        if r"[\p{L}]+" not in str(form["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")) or form["pre_tokenizer"]["pretokenizers"][1]["use_regex"]:
+        suffix, pattern = form["model"].get("end_of_word_suffix"), form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].split("|")
+        lowers = any(x["type"] == "Lowercase" for x in (form.get("normalizer") or {}).get("normalizers", []))
+        if not suffix or not lowers or not {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(pattern):
             return None
+        self.last = np.zeros(1 << 8 * self.width if self.width == 2 else self.t.get_vocab_size(), bool)
+        self.last[[k for w, k in self.t.get_vocab().items() if w.endswith(suffix)]] = True
         plain = Tokenizer.from_file(path)
         plain.normalizer = normalizers.Sequence([])
-        plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         return plain
 
-    def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
-    def ids(self, text: str) -> list[int]:
-        return self.t.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: set[bytes]) -> None:
-        older = self.older
-        new = []
-        for w in words:
-            if (got := older.get(w)) is None:
-                new.append(w)
-            else:
-                self.known[w] = got
-        if self.plain:  # small letters, then perhaps a mark: the letters and the mark are tokens of their own
-            points, small, rest = self.points, _SMALL.fullmatch, []
-            simple, stems, ends = [], [], []
-            for w in new:
-                t = w.decode()
-                end = t[-1] if t[-1] in points else ""
-                stem = t[:-1] if end else t
-                if small(stem):
-                    simple.append(w)
-                    stems.append(stem)
-                    ends.append(end)
-                else:
-                    rest.append(w)
-            fresh = list(set(stems) - self.stems.keys())
-            if len(self.stems) + len(fresh) > CACHED_WORDS:
-                self.stems, fresh = {}, list(set(stems))
-            for k in range(0, len(fresh), 20_000):
-                some = fresh[k : k + 20_000]
-                self.stems.update(zip(some, [self.pack(e.ids) for e in self.plain.encode_batch_fast(some, add_special_tokens=False)], strict=True))
-            known = self.stems
-            self.known.update(zip(simple, [known[t] + points[c] for t, c in zip(stems, ends, strict=True)], strict=True))
-            new = rest
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = self.pack(e.ids)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Id bytes of each text, with the end id."""
-        gc.disable()  # it would walk the caches again and again
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        # lower-casing ASCII first makes fewer words; only the strings of added tokens may tell cases apart
-        split = [(t.lower() if self.folds and b"<" not in t else t).split() for t in texts]
-        words = set().union(*split) if split else set()
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:  # words that are used again come back from the older half
-            self.older, self.known, new = self.known, {}, words
-        self.learn(new)
-        known = self.known
-        return [b"".join(map(known.__getitem__, s)) + self.end for s in split]
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Id bytes of each text (null: empty), with the end id."""
+        if self.between is None:
+            made = self.t.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            ids = [np.append(np.array(e.ids, self.kind), self.end).tobytes() for e in made]
+            return pa.array(ids, pa.large_binary())
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        off = np.asarray(split.offsets).astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        # each text's words, then one more entry of the dictionary: the end id
+        n, counts = len(texts), np.diff(off)
+        which = np.full(int(off[-1] - off[0]) + n, len(words.dictionary), np.int32)
+        which[np.arange(int(off[-1] - off[0])) + np.repeat(np.arange(n), counts)] = np.asarray(words.indices)
+        ids = self._words(words.dictionary).take(pa.array(which))
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(which) + 1][off - off[0] + np.arange(n + 1)]
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(ends)), data])
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Id bytes of each word, and of the end id. Letters with a mark at most after them share their letters' ids."""
+        plain = np.asarray(pc.match_substring_regex(words, _PLAIN)) if self.plain else np.zeros(len(words), bool)
+        some = pc.utf8_lower(words.filter(pa.array(plain)))
+        letters = pc.utf8_rtrim(some, "".join(_MARKS))
+        marks = pc.index_in(pc.utf8_slice_codeunits(some, -1), pa.array(_MARKS, some.type)).fill_null(len(_MARKS))
+        letters = letters.dictionary_encode()
+        made = pc.binary_join_element_wise(self._letters(letters.dictionary).take(letters.indices), self.marks.take(marks), pa.scalar(b"", pa.large_binary()))
+        rest = self._others(words.filter(pa.array(~plain)))
+        where = np.empty(len(words) + 1, np.int64)
+        where[:-1][plain], where[:-1][~plain] = np.arange(len(made)), np.arange(len(rest)) + len(made)
+        where[-1] = len(made) + len(rest)
+        return pa.concat_arrays([made, rest, self._packed(self.end, np.ones(1, np.int64))]).take(pa.array(where))
+
+    def _packed(self, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(size * self.width)])
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
+
+    def _flat(self, tokenizer, texts: list[str]) -> np.ndarray:
+        made = [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(made) if made else np.empty(0, self.kind)
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        """Words of small letters: each is one token of the split, whose last id ends a word."""
+        many = words.to_pylist()
+        ids = self._flat(self.plain, [" ".join(many[k : k + _TOGETHER]) for k in range(0, len(many), _TOGETHER)])
+        return self._packed(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+
+    def _others(self, words: pa.Array) -> pa.Array:
+        apart = np.asarray(pc.match_substring(words, _BETWEEN))
+        many = words.filter(pa.array(~apart)).to_pylist()
+        ids = self._flat(self.t, [f" {_BETWEEN} ".join(many[k : k + _TOGETHER]) + f" {_BETWEEN}" for k in range(0, len(many), _TOGETHER)])
+        stop = ids == self.between
+        made = self._packed(ids[~stop], np.diff(np.flatnonzero(stop), prepend=-1) - 1)
+        own = [np.array(self.t.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words.filter(pa.array(apart)).to_pylist()]
+        where = np.empty(len(words), np.int64)
+        where[~apart], where[apart] = np.arange(len(made)), np.arange(len(own)) + len(made)
+        return pa.concat_arrays([made, pa.array(own, pa.large_binary())]).take(pa.array(where))
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -280,6 +313,10 @@ def _encoder(path: str, end_id: int) -> Encoder:
     return kept[1]
 
 
+#: Bytes of text that are encoded at a time; a longer text stands alone.
+SLICE = 8 << 20
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None) -> DataFrame:
     """Rows (part, doc_id, ids): ids is binary, little-endian, 2 bytes an id if the vocabulary allows, else 4.
 
@@ -290,12 +327,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, end_id)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                text = part.column(1)
-                ids = e.encode([t or b"" for t in text.cast(pa.binary() if text.type == pa.string() else pa.large_binary()).to_pylist()])
+            for part in slices(batch, "text", SLICE):
+                ids = e.encode(part.column(1))
                 doc = part.column(0)
                 where = np.where(np.asarray(doc.is_valid()), np.searchsorted(edges, np.asarray(doc.fill_null(0))), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), doc, pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), doc, ids.cast(pa.binary())], ["part", "doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
 

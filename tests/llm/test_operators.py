@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,13 +77,26 @@ def test_tokens(spark, docs, none):
     assert tokens.read_records(spark, path, files).count() == 0
 
 
-def test_token_cache_overflow(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED_WORDS", 30)
-    e = tokens.Encoder(tokenizer_path(), 1)
-    texts = [(t or "").encode() for t in TEXTS]
-    for k in range(0, len(texts), 3):
-        want = [np.array([*e.ids(t.decode()), 1], "<u2").tobytes() for t in texts[k : k + 3]]
-        assert e.encode(texts[k : k + 3]) == want
+ODD = ["a", "B", "é", "ß", "Σ", "ς", "\u0301", "\u0308", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\u3000", "'s", "'T", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "1", "23", "\x01", "\x00", "中", "İ", "!!", "of", "the"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_encode_as_whole_texts_do(name):
+    """By words where the file proves that they encode alone, else whole: 4,000 odd strings, both ways."""
+    e, r = tokens.Encoder(tokenizer_path(name), 1), random.Random(3)
+    assert (e.between is not None) == (name == "word_bpe_49k.json") == tokens.words_alone(tokenizer_path(name))
+    texts = [*TEXTS, *["".join(r.choices(ODD, k=r.randint(0, 14))) for _ in range(4000)], "\x01", "\x01 \x01 a\x01b"]
+    want = [np.array([*x.ids, 1], e.kind).tobytes() for x in e.t.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert e.encode(pa.array(texts)).to_pylist() == want
+    assert e.encode(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_token_records_of_null_and_shared_ids(spark):
+    docs = spark.createDataFrame([(None, "b c"), (2, "one two"), (2, "a"), (None, None), (1, "x")], "doc_id long, text string")
+    path, files = tokens.write_records(docs, tokenizer_path())
+    got = sorted(tokens.read_records(spark, path, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 2]
+    assert sorted(r.n_tokens for r in got[:2]) == [1, 3] and got[-1].start + got[-1].n_tokens == sum(f.ids for f in files)
 
 
 def test_checksums_and_broken_files():
