@@ -16,7 +16,7 @@ from .common import U64, cache_of, mix, slices
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 #: Bounds of what fit() reads and keeps: rows it learns from, languages it may meet, hash buckets.
-FIT_ROWS, MOST_LANGUAGES, BUCKETS = 60_000, 1_000, 1 << 16
+FIT_ROWS, MOST_LANGUAGES, BUCKETS = 60_000, 200, 1 << 16
 ORDERS = (1, 2, 3)
 _SEEDS = mix(np.arange(1, 1 + len(ORDERS), dtype=np.uint64))
 _PIECE = 1 << 21  # characters at a time
@@ -59,8 +59,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     """Learns from labelled rows; rows with null text or language are left out.
 
     fit_rows bounds what is learned from: with more labelled rows, a share of them chosen by the text's hash. Each task
-    sums its counts, a shuffle by (language, block of buckets) adds them, and the matrix, whose size the bounds on
-    languages and buckets fix, goes to the driver. No labelled row at all gives a model without languages.
+    sends its non-zero counts, Spark adds them, and the matrix, whose size the bounds on languages and buckets fix, goes to
+    the driver by blocks of buckets. No labelled row at all gives a model without languages.
     """
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     total = rows.count()
@@ -87,22 +87,19 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
                     if len(g) <= buckets // 8:
                         np.add.at(s, g, 1)
         for lang, s in sums.items():
-            k = buckets // block
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(range(k), pa.int32()), pa.array([docs[lang] if i == 0 else 0 for i in range(k)], pa.int64()), pa.array([x.tobytes() for x in s.reshape(k, block)], pa.binary())], ["lang", "block", "docs", "counts"])
+            at = np.flatnonzero(s)
+            bucket, n = np.append(at, -1).astype(np.int32), np.append(s[at], docs[lang])  # at -1 the number of texts
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(bucket), pa.array(n)], ["lang", "bucket", "n"])
 
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        s = np.zeros(block, np.int64)
-        for c in group.column("counts").to_pylist():
-            s += np.frombuffer(c, np.int64)
-        docs = sum(group.column("docs").to_pylist())
-        return pa.table({"lang": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "docs": pa.array([docs], pa.int64()), "counts": pa.array([s.tobytes()], pa.binary())})
-
-    schema = "lang string, block int, docs long, counts binary"
     counts, docs = np.zeros((len(names), buckets)), np.zeros(len(names))
-    for r in rows.mapInArrow(count, schema).groupBy("lang", "block").applyInArrow(add, schema).collect():
+    added = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    blocks = added.groupBy("lang", F.floor(F.col("bucket") / block).alias("block")).agg(F.collect_list(F.struct("bucket", "n")).alias("c"))  # at most `block` each
+    for r in blocks.toLocalIterator():
         i = names.index(r.lang)
-        counts[i, r.block * block : (r.block + 1) * block] = np.frombuffer(r.counts, np.int64)
-        docs[i] += r.docs
+        if r.block < 0:
+            docs[i] = r.c[0].n
+        else:
+            counts[i, [x.bucket for x in r.c]] = [x.n for x in r.c]
     p = np.log(counts + smoothing) - np.log(counts.sum(1, keepdims=True) + smoothing * buckets)
     return Model(names, np.log(docs / docs.sum()), p.astype(np.float32))
 
@@ -127,9 +124,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[st
     fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out[0], "string").add(out[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache_of("langid")
-        m = shared.value
-        table = np.ascontiguousarray(m.log_prob.T)
+        kept, m = cache_of("langid"), shared.value
+        if not kept or kept[0] is not m:
+            kept[:] = [m, np.ascontiguousarray(m.log_prob.T)]
+        table = kept[1]
         for batch in batches:
             for part in slices(batch, batch.schema.names[at], 4 << 20) if batch.num_rows else []:
                 lang, score = _predict(m, table, part.column(at))
