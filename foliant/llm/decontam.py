@@ -10,6 +10,7 @@ bucket by the hash of those m bytes' suffix names the patterns, and a direct com
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, raw, runs, slices
+from .common import Rolling, cache_of, cut, raw, runs, slices
 
 WINDOW = 13
-#: What may be broadcast; beyond it the benchmark is searched in several passes, each within this bound.
-PASS_BYTES = 32 << 20
+#: Windows that are searched at a time (about 25 MB of text, and 150 MB of tables in a worker); beyond it there are several passes.
+MOST_WINDOWS = 300_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[np.r_[0:48, 58:65, 91:97, 123:128]] = 32  # after lower-casing, what is no digit, letter or non-ASCII byte
@@ -34,10 +35,25 @@ def normal(text: bytes) -> bytes:
     return b" " + b" ".join(w) + b" " if w else b""
 
 
-def windows(text: bytes, size: int = WINDOW) -> Iterator[bytes]:
+def pieces(text: bytes, size: int, most: int) -> Iterator[tuple[bytes, int]]:
+    """Normal parts of a text that hold each of its windows once, at most `most` in a part, with their number."""
     w = normal(text).split()
-    for k in range(max(1, len(w) - size + 1) if w else 0):
-        yield b" " + b" ".join(w[k : k + size]) + b" "
+    for k in range(0, max(1, len(w) - size + 1) if w else 0, most):
+        part = w[k : k + most + size - 1]
+        yield b" " + b" ".join(part) + b" ", max(1, len(part) - size + 1)
+
+
+def windows(parts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the joined parts: each window's first and end byte, and its part."""
+    joined = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    blanks = np.flatnonzero(joined == 32)
+    first = np.searchsorted(blanks, ends - [len(p) for p in parts])
+    words = np.searchsorted(blanks, ends) - first - 1
+    count = np.maximum(1, words - size + 1)
+    part = np.repeat(np.arange(len(parts)), count)
+    k = runs(first, count)
+    return blanks[k], blanks[k + np.minimum(size, words)[part]] + 1, part
 
 
 def _block_size(m: int) -> int:
@@ -46,23 +62,20 @@ def _block_size(m: int) -> int:
 
 
 class Searcher:
-    """Wu-Manber tables for patterns of one length class; finds in all texts of a batch at once."""
+    """Wu-Manber tables for patterns of one length class, places in one byte array; finds in all texts of a batch at once."""
 
-    def __init__(self, patterns: list[bytes]):
-        self.patterns = sorted(set(patterns))
-        self.m = m = min(map(len, self.patterns))
+    def __init__(self, held: bytes, start: np.ndarray, end: np.ndarray):
+        self.held, self.start, self.lengths = held, start, end - start
+        self.m = m = int(self.lengths.min())
         self.b = b = _block_size(m)
-        heads = np.frombuffer(b"".join(p[:m] for p in self.patterns), np.uint8).reshape(-1, m)
-        self.bits = min(24, max(12, (4 * len(self.patterns) * (m - b + 1)).bit_length()))
+        self.bits = min(24, max(12, (4 * len(start) * (m - b + 1)).bit_length()))
         self.shift = np.full(1 << self.bits, m - b + 1, np.int32)
-        flat = _loadable(heads.reshape(-1))
-        ends = np.arange(len(heads)) * m
+        flat = _loadable(np.frombuffer(held, np.uint8))
         for j in range(b, m + 1):  # the block that ends at j
-            np.minimum.at(self.shift, self.block(flat, ends + j), m - j)
-        tails = self.tail(flat, ends + m)
+            np.minimum.at(self.shift, self.block(flat, start + j), m - j)
+        tails = self.tail(flat, start + m)
         order = np.argsort(tails, kind="stable")
         self.tails, self.by_tail = tails[order], order
-        self.lengths = np.array([len(p) for p in self.patterns])
 
     def block(self, flat: dict[int, np.ndarray], end: np.ndarray) -> np.ndarray:
         """Table places of the blocks that end at these places."""
@@ -109,7 +122,8 @@ class Searcher:
                 for i in np.flatnonzero(hi > lo):
                     place = int(z[i]) - m
                     for p in self.by_tail[lo[i] : hi[i]]:
-                        if place + self.lengths[p] <= ends[i] and raw_bytes.startswith(self.patterns[p], place):
+                        size, begin = self.lengths[p], self.start[p]
+                        if place + size <= ends[i] and raw_bytes[place : place + size] == self.held[begin : begin + size]:
                             found[0].append(int(p))
                             found[1].append(place)
             at = at + np.maximum(s, 1)
@@ -125,20 +139,30 @@ def _loadable(text: np.ndarray) -> dict[int, np.ndarray]:
     return {w: np.ndarray((len(padded) - w + 1,), f"<u{w}", padded, 0, (1,)) for w in (1, 2, 4, 8)}
 
 
+_A, _B = Rolling(11), Rolling(12)
+
+
 class Benchmark:
-    """All windows of all items, by length class, and the items of each."""
+    """All windows of all items, by length class, and the items of each. Equal windows (128 bits of hash) are one pattern."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in windows(text, size):
-                owners.setdefault(w, set()).add(item)
-        classes: dict[int, list[bytes]] = {}
-        for w in owners:
-            classes.setdefault(max(0, min(5, len(w).bit_length() - 3)), []).append(w)
-        self.searchers = [Searcher(c) for c in classes.values()]
-        self.owners = [[sorted(owners[p]) for p in s.patterns] for s in self.searchers]
-        self.lengths = [np.array([len(p) for p in s.patterns]) for s in self.searchers]
+        """items: ids and normal texts."""
+        held = b"".join(t for _, t in items)
+        self.searchers: list[Searcher] = []
+        self.owners: list[tuple[np.ndarray, np.ndarray]] = []
+        self.names = [i for i, _ in items]
+        if not held:
+            return
+        start, end, part = windows([t for _, t in items], size)
+        data = np.frombuffer(held, np.uint8)
+        one, two = (h.of(h.prefix(data), start, end) for h in (_A, _B))
+        kind = np.array([max(0, min(5, int(n).bit_length() - 3)) for n in range(int((end - start).max()) + 1)])[end - start]
+        for k in np.unique(kind).tolist():
+            mine = np.flatnonzero(kind == k)
+            mine = mine[np.lexsort((two[mine], one[mine]))]
+            new = np.concatenate([[True], (one[mine][1:] != one[mine][:-1]) | (two[mine][1:] != two[mine][:-1])])
+            self.searchers.append(Searcher(held, start[mine[new]], end[mine[new]]))
+            self.owners.append((np.append(np.flatnonzero(new), len(mine)), part[mine]))
 
     def hits(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
         """For each normalised text: number of words, hit words as runs (first, one past), items."""
@@ -150,11 +174,11 @@ class Benchmark:
         n_words = [max(0, t.count(b" ") - 1) for t in texts]
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
-        for s, owners, lengths in zip(self.searchers, self.owners, self.lengths, strict=True):
+        for s, (edge, owner) in zip(self.searchers, self.owners, strict=True):
             p, place = s.find(text, start, end)
-            for i, a, b, q in zip(np.searchsorted(end, place, "right"), place, place + lengths[p] if len(p) else place, p, strict=True):
+            for i, a, b, q in zip(np.searchsorted(end, place, "right"), place, place + s.lengths[p] if len(p) else place, p, strict=True):
                 spans[i].append((int(a - start[i]), int(b - start[i])))
-                items[i].update(owners[q])
+                items[i].update(self.names[o] for o in owner[edge[q] : edge[q + 1]])
         out = []
         for t, found in zip(texts, spans, strict=True):
             merged: list[tuple[int, int]] = []
@@ -179,38 +203,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null text, of a document or an item, has no words; an item without words never occurs; an item with a null id is left out.
     Items that repeat count once. contaminated: n_hit > 0 and 20 * n_hit >= n_words. Other columns are ignored, rows
-    are kept one for one. The benchmark is gathered in passes of at most PASS_BYTES of text, which is what a broadcast may hold.
+    are kept one for one. The benchmark is searched in passes of at most MOST_WINDOWS windows, which bounds what is broadcast
+    and each worker's tables; long items are cut into parts that overlap, and a pass's result is held before the next.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = -(-total // PASS_BYTES) or 1
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if passes == 1:
-        out = _search(base, items, window, docs)
-    else:  # a larger benchmark: each pass keeps the text for the next and adds its spans
-        out = base
-        for k in range(passes):
-            out = _search(out, items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k), window, docs, keep=k < passes - 1)
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    most = max(1, MOST_WINDOWS // 16)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, (part, n) in enumerate(pieces(t.encode(), window, most)):
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([k], pa.int64()), pa.array([part], pa.binary()), pa.array([n], pa.int64())], ["i", "k", "t", "n"])
+
+    parts = cut(items.mapInArrow(split, "i string, k long, t binary, n long"))
+    passes = -(-(parts.agg(F.sum("n")).first()[0] or 0) // MOST_WINDOWS) or 1
+    while True:  # parts are dealt to passes by a hash; if one gets too much, there are more passes
+        dealt = parts.withColumn("pass", F.pmod(F.xxhash64("i", "k"), F.lit(passes)))
+        if passes == 1 or dealt.groupBy("pass").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= MOST_WINDOWS:
+            break
+        passes += -(-passes // 4)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    for k in range(passes):  # each pass keeps the text for the next and adds its spans
+        out = _search(out, dealt.where(F.col("pass") == k), window, docs, keep=k < passes - 1)
+        out = cut(out) if k < passes - 1 else out
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def _search(docs: DataFrame, items: DataFrame, window: int, origin: DataFrame, keep: bool = False) -> DataFrame:
-    shared = origin.sparkSession.sparkContext.broadcast([(r.i, r.t.encode()) for r in items.collect()])
+def _search(docs: DataFrame, parts: DataFrame, window: int, origin: DataFrame, keep: bool = False) -> DataFrame:
+    shared = origin.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, bytes(r.t)) for r in parts.select("i", "t").collect()]))
     prior = "spans" in docs.columns
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ("text string, " if keep else "") + SCHEMA
-    ready: list[Benchmark] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache_of("decontam")
-        if not ready:
-            ready.append(Benchmark(shared.value, window))
+        kept = cache_of("decontam")  # the tables of one pass, for all of this worker's tasks
+        if not kept or kept[0] != shared.value[0]:
+            kept[:] = [shared.value[0], Benchmark(shared.value[1], window)]
         for batch in batches:
             for part in slices(batch, "text", 4 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 whole = data.tobytes()
                 texts = [normal(whole[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                n, spans, found = ready[0].hits(texts)
+                n, spans, found = kept[1].hits(texts)
                 if prior:
                     for k, (old, ids) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)):
                         spans[k] = _merge([*spans[k], *((x["first"], x["end"]) for x in old)])

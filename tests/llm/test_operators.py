@@ -138,6 +138,16 @@ def test_language(spark, docs, none):
             p = 1 / np.exp(want - want.max()).sum()
             assert got[doc].lang_pred == model.languages[int(want.argmax())] and got[doc].score == pytest.approx(p, rel=1e-5)
     assert got[0].ids == "x"
+    own = Counter()
+    for _, t, k in rows:  # counts by hand: every 1-, 2- and 3-gram of one language's texts
+        if k == "aa" and zlib.crc32(str(_).encode()) % 4 != 2:
+            own.update(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    total = sum(own.values())
+    for g in ("t", "an", "the", "x"):
+        place = next(iter(langid.grams(g))) if len(g) == 1 else [*langid.grams(g)][-1]
+        assert model.log_prob[0, place[0]] == pytest.approx(np.log(own[g] + 0.5) - np.log(total + 0.5 * langid.BUCKETS), rel=1e-5)
+    again = known.unionByName(known)  # repeated rows weigh twice and change no prediction
+    assert [r.lang_pred for r in langid.predict(docs, langid.fit(again)).orderBy("doc_id").collect()] == [r.lang_pred for r in langid.predict(docs, langid.fit(known)).orderBy("doc_id").collect()]
     empty = langid.fit(none)
     assert empty.languages == [] and {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
     assert langid.predict(none, model).count() == 0
@@ -172,12 +182,12 @@ def test_contamination(spark, docs, none):
         w = low_words(t)
         for k in range(max(1, len(w) - 12) if w and i is not None else 0):
             windows.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
-    for bound in (decontam.PASS_BYTES, 300):
-        decontam.PASS_BYTES, before = bound, decontam.PASS_BYTES
+    for bound in (decontam.MOST_WINDOWS, 40):  # in one pass; in several, with items cut into parts
+        decontam.MOST_WINDOWS, before = bound, decontam.MOST_WINDOWS
         try:
             got = {r.doc_id: r for r in decontam.contamination(docs, bench).collect()}
         finally:
-            decontam.PASS_BYTES = before
+            decontam.MOST_WINDOWS = before
         for d, t, *_ in DOCS:
             w, hit, found = low_words(t), set(), set()
             for n in {len(x) for x in windows}:
@@ -188,6 +198,8 @@ def test_contamination(spark, docs, none):
             assert (got[d].n_words, got[d].n_hit, got[d].items, got[d].contaminated) == (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)), d
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontam.contamination(twice, bench).collect()) == [(0, 0, 0), (0, 1, 1), (1, 2, 1), (1, 2, 1)]
 
 
 def test_line_dedup(spark, none):
