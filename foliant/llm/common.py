@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of an Arrow batch: texts are long, and Spark's default by rows makes buffers of many times this in each task.
+ARROW_BYTES = 8 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to what these operators work with at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one, on a single machine only."""
+    tune(spark)
     jsc = spark.sparkContext._jsc.sc()
     now = jsc.getCheckpointDir()
     if now.isDefined():
@@ -48,6 +66,26 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Returns this Python worker's free memory to the machine, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """run(batches), after which the worker, which lives on, holds no more than it must."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 _caches: dict[str, list] = {}
 
 
@@ -142,3 +180,47 @@ def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts - starts, counts)
+
+
+REGIONS = 256
+#: A bitmap has 16 bits or more for each entry, within these bounds (2**29 bits are 64 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+
+
+@dataclass
+class Bitmap:
+    bits: int
+    flat: np.ndarray
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        per = np.uint64(self.bits // REGIONS)
+        region = (key & U64(REGIONS - 1)).astype(np.int64)
+        at = ((key >> U64(8)) % per).astype(np.int64)
+        return (self.flat[region * (self.bits // REGIONS // 8) + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(keys: DataFrame, most: int = MOST_BITS) -> Bitmap:
+    """Of a column key (long, spread over all its bits). Built region by region where the keys are; only the bits go to the driver."""
+    spark = keys.sparkSession
+    keys = cut(keys.select("key"))
+    n = keys.count()
+    bits = int(min(most, max(LEAST_BITS, 1 << (16 * n).bit_length())))
+    per = bits // REGIONS
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key = np.asarray(batch.column(0)).view(np.uint64)
+            region = (key & U64(REGIONS - 1)).astype(np.int64)
+            at = ((key >> U64(8)) % U64(per)).astype(np.int64)
+            for r in np.unique(region).tolist():
+                x = at[region == r]
+                np.bitwise_or.at(made.setdefault(r, np.zeros(per // 8, np.uint8)), x >> 3, (1 << (x & 7)).astype(np.uint8))
+        for r, b in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b.tobytes()])], ["region", "bits"])
+
+    regions = [np.zeros(per // 8, np.uint8)] * REGIONS
+    region = F.col("key").bitwiseAND(F.lit(REGIONS - 1)).cast("int")
+    for r in keys.repartition(min(REGIONS, parts(spark)), region).mapInArrow(build, "region int, bits binary").toLocalIterator():
+        regions[r.region] = np.frombuffer(r.bits, np.uint8)
+    return Bitmap(bits, np.concatenate(regions))

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cache_of, mix, slices
+from .common import U64, cache_of, mix, slices, tidy
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -74,6 +74,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
         return Model([], np.zeros(0), np.zeros((0, buckets), np.float32))
     block = min(buckets, 1 << 13)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache_of("langid")
         sums: dict[str, np.ndarray] = {}
@@ -123,6 +124,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[st
     keep = [c for c in docs.columns if c not in out]
     fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out[0], "string").add(out[1], "double")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, m = cache_of("langid"), shared.value
         if not kept or kept[0] is not m:

@@ -3,8 +3,9 @@
 Sets in a band of sizes are cut into segments by a hash of each n-gram. Two sets of a band, or of neighbouring bands,
 that reach the threshold differ in at most H n-grams, so with H + 1 segments at least one is equal (threshold 0), and a
 segment that counts twice may differ by one n-gram (threshold 1: equal, or equal after one deletion on a side). Per band,
-costs decide how many segments count twice. A set skips (threshold -1) up to SLACK of its empty segments, the frequent
-signature, for which the band has as many more segments. Candidates are verified on the whole sets.
+costs decide how many segments count twice. A set skips (threshold -1) its first empty segments, the frequent signature,
+up to a number that costs decide too, and the band has as many more segments: of the segments in which two near sets are
+equal, one more than that number, the last is skipped by neither. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, cache_of, cut, mix, parts, raw, runs, slices
+from .common import U64, Rolling, bitmap, cache_of, cut, mix, parts, raw, runs, slices, tidy
 
-SLACK = 1
+#: Numbers of empty segments that a band's sets may skip.
+SLACKS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -71,6 +73,7 @@ class Band:
     high: int
     segments: int  # with threshold 0
     double: int  # with threshold 1
+    slack: int = 0  # empty segments that a set skips
 
 
 class Bands:
@@ -95,16 +98,25 @@ class Bands:
         h = (self.den - self.num) * (high + most) // (self.den + self.num)
         n = self.counts.get(k, 0) + self.counts.get(k + 1, 0)
         best = None
-        for double in sorted({0, (h + 1) // 4, (h + 1) // 2}):
-            single = h + 1 - 2 * double + (SLACK if double == 0 else 0)
+        for double, slack in [*((0, s) for s in SLACKS), *((d, 0) for d in sorted({(h + 1) // 4, (h + 1) // 2} - {0}))]:
+            single = h + 1 - 2 * double + slack
             q = (low + high) / 2 / (single + 2 * double)  # n-grams of a segment that counts once
             rows = single + double * (1 + 2 * q)
             # that two sets without anything in common meet: both empty, or, after a deletion, of at most one n-gram
-            empty = single * math.exp(-2 * q) * (1 if double else min(1.0, single * math.exp(-q)))
-            cost = rows + n * (empty + double * math.exp(-4 * q) * (1 + 2 * q) ** 2)
+            empty = single * (_beyond(single * math.exp(-q), slack) / max(single, 1)) ** 2
+            cost = rows + 2 * n * (empty + double * math.exp(-4 * q) * (1 + 2 * q) ** 2)
             if best is None or cost < best[0]:
-                best = (cost, single, double)
-        return Band(low, high, best[1], best[2])
+                best = (cost, single, double, slack)
+        return Band(low, high, *best[1:])
+
+
+def _beyond(mean: float, k: int) -> float:
+    """The expected excess over k of a Poisson number."""
+    p, out = math.exp(-mean), mean - k
+    for x in range(k):
+        out += (k - x) * p
+        p *= mean / (x + 1)
+    return max(0.0, out)
 
 
 def sketches(h: np.ndarray, edge: np.ndarray) -> list[bytes]:
@@ -142,8 +154,7 @@ def signatures(sets: np.ndarray, band: Band, salt: int) -> np.ndarray:
     where = mix(np.arange(m, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(salt))
     size = np.diff(edge)
     use = np.ones(m, bool)
-    if not band.double:
-        use[np.flatnonzero(size == 0)[:SLACK]] = False
+    use[np.flatnonzero(size[: band.segments] == 0)[: band.slack]] = False
     out = [mix(sums[use] ^ where[use])]
     if band.double:
         tail = edge[band.segments]
@@ -168,7 +179,7 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
     """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Two rows link if the Jaccard similarity of their sets is at least threshold (numerator, denominator). Null and empty
-    texts have no n-gram and link with nothing. Equal sets, repeated rows among them, form one class, which one of them
+    texts have no n-gram and link with nothing. A 64-bit hash stands for an n-gram and 128 bits for a set. Equal sets, repeated rows among them, form one class, which one of them
     stands for in the join. A null doc_id takes no part as a reached id: a row that has one links as others do, by a key of
     its text, and gets the smallest id that its links reach, or null. Rows that share a doc_id are one document with all
     their sets.
@@ -176,6 +187,7 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
     """
     num, den = threshold
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache_of("ngramjoin")
         bands = Bands(num, den)
@@ -223,6 +235,7 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
     """Links (a, b) between class representatives that hold the same components as all links."""
     spark = base.sparkSession
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache_of("ngramjoin")
         bands, layout = _by_band(counts, num, den)
@@ -243,37 +256,52 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
                     w = np.concatenate(who)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids[w]), pa.array(size[w].astype(np.int32))], ["sig", "id", "size"])
 
-    reps = base.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    signed = reps.mapInArrow(sign, "sig long, id long, size int")
+    reps = classes.select("rep").distinct()
+
+    def signed(of: DataFrame) -> DataFrame:
+        return of.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(sign, "sig long, id long, size int")
 
+    @tidy
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Within each run of equal signatures: every member with the run's first."""
+        """Within each run of equal (sig, salt): every member with the run's first; of a run that is dealt out, also its first with itself."""
         head = None
         for batch in batches:
-            sig, ids, size = (np.asarray(batch.column(k)) for k in range(3))
+            sig, ids, size, salt = (np.asarray(batch.column(k)) for k in range(4))
             if not len(sig):
                 continue
             new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            if head is not None and sig[0] == head[0]:
+            new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+            if head is not None and (sig[0], salt[0]) == head[:2]:
                 new[0] = False
             at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            hub = np.where(at >= 0, ids[at], head[1] if head is not None else 0)
-            hub_size = np.where(at >= 0, size[at], head[2] if head is not None else 0)
+            hub = np.where(at >= 0, ids[at], head[2] if head is not None else 0)
+            hub_size = np.where(at >= 0, size[at], head[3] if head is not None else 0)
             k = at[-1]
             if k >= 0:
-                head = (sig[k], ids[k], size[k])
-            yes = (hub != ids)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[yes]), pa.array(hub[yes]), pa.array(ids[yes]), pa.array((np.minimum(size, hub_size)[yes] * den >= np.maximum(size, hub_size)[yes] * num))], ["sig", "a", "b", "fits"])
-
-    hit = signed.repartition(parts(spark), "sig").sortWithinPartitions("sig", "id").mapInArrow(pair, "sig long, a long, b long, fits boolean")
-    star = cut(hit)  # a row for each member of a run beyond its first
-    shape = cut(classes.select(F.col("rep").alias("id"), "n_shingles", "sketch"))
+                head = (sig[k], salt[k], ids[k], size[k])
+            yes = (hub != ids) | (salt > 0)
+            fits = np.minimum(size, hub_size)[yes] * den >= np.maximum(size, hub_size)[yes] * num
+            yield pa.RecordBatch.from_arrays([pa.array(sig[yes]), pa.array(hub[yes]), pa.array(ids[yes]), pa.array(size[yes]), pa.array(fits)], ["sig", "a", "b", "size", "fits"])
+
+    # A signature of so many sets that one task would get much more than others is dealt out: each share has its own first,
+    # and these firsts meet again. A sample of the sets finds such signatures; it decides where rows go, not what comes out.
+    some = cut(signed(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"))
+    total = some.agg(F.sum("n")).first()[0] or 0
+    often = some.where(F.col("n") >= max(LEAST_OFTEN, total // (8 * parts(spark)))).orderBy(F.desc("n")).limit(MOST_OFTEN).select("sig", F.least(F.lit(1 << 10), F.ceil(F.col("n") * SAMPLE / RUN_SHARE)).cast("int").alias("shares"))
+    rows = signed(base).join(F.broadcast(often), "sig", "left")  # at most MOST_OFTEN rows
+    rows = rows.select("sig", "id", "size", F.coalesce(1 + F.pmod(F.xxhash64("id"), "shares"), F.lit(0)).cast("int").alias("salt"))
+    hit = rows.repartition(parts(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(pair, "sig long, a long, b long, size int, fits boolean")
+    hit = cut(hit)  # a row for each member of a run beyond its first
+    firsts = hit.where("a = b").select("sig", "a", "size")
+    top = firsts.groupBy("sig").agg(F.min(F.struct("a", "size")).alias("top"))
+    close = F.least("size", "top.size") * den >= F.greatest("size", "top.size") * num
+    over = firsts.join(top, "sig").where("a <> top.a").select("sig", F.col("top.a").alias("a"), F.col("a").alias("b"), close.alias("fits"))
+    star = hit.where("a <> b").select("sig", "a", "b", "fits").unionByName(over)
+    shape = classes.select(F.col("rep").alias("id"), "n_shingles", "sketch")
     tried = star.where("fits").groupBy("a", "b").agg(F.count("*").alias("w"))
     x, y = (shape.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     tried = cut(tried.join(x, "a").join(y, "b").mapInArrow(near_sketches(num, den), "a long, b long, w long"))
-    ids = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(base, cut(ids), n)
+    sets = _sets(base, tried, n)
     # each set first meets the hub with which it shares most
     best = tried.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "a"))).where("r = 1").select("a", "b")
     links = cut(verify(sets, best, num, den))
@@ -284,7 +312,7 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
     # Runs whose members are still of several components: every pair across them whose sketches allow it.
     members = star.select("sig", F.col("a").alias("id")).union(star.select("sig", F.col("b").alias("id"))).distinct()
     members = members.join(roots, members["id"] == roots["node"], "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    still = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    still = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")  # a pair has met
     still = members.join(still.select("sig", "n"), "sig").join(shape, "id")
     blocks = F.ceil(F.col("n") / RUN_BLOCK).cast("int")  # a long run is dealt as pairs of blocks
     still = still.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -292,12 +320,14 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
     still = still.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", F.col("n_shingles").alias("size"), "sketch")
     still = still.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
     across = still.mapInArrow(across_runs(num, den), "a long, b long").distinct()
-    across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    return cut(links.unionByName(verify(sets, across, num, den)))
+    across = cut(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    return cut(links.unionByName(verify(_sets(base, across, n), across, num, den))) if across.take(1) else links
 
 
+#: One set of so many tells which signatures are frequent; those that LEAST_OFTEN and more have, at most MOST_OFTEN, are dealt out, by about RUN_SHARE sets.
+SAMPLE, LEAST_OFTEN, MOST_OFTEN, RUN_SHARE = 32, 64, 10_000, 4_096
 #: Members of a run that one task compares with each other, or with as many of another block.
-RUN_BLOCK = 8192
+RUN_BLOCK = 256
 
 
 def allowed(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -349,39 +379,26 @@ def across_runs(num: int, den: int):
     return run
 
 
-#: A bitmap of ids that may be broadcast: at most this many words of 64 bits, whatever the number of ids.
-BITMAP_WORDS = 1 << 20
-
-
-def with_ids(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of base whose doc_id is in ids (id). A bitmap of bounded size first drops most others where they are read."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_WORDS * 64))
-    words = ids.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")).alias("v")).collect()
-    bitmap = np.zeros(BITMAP_WORDS, np.int64)
-    bitmap[[r.w for r in words]] = [r.v for r in words]
-    shared = base.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column("slot"))
-            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).drop_columns(["slot"])
-
-    fields = base.schema
-    marked = base.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_WORDS * 64)))
-    return marked.mapInArrow(run, fields).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+#: A bitmap of ids that is broadcast has at most so many bits (8 MB), whatever the number of ids.
+ID_BITS = 1 << 26
 
 
-def _sets(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, set): the sorted hashes of the documents that are candidates, held in the shared folder."""
+def _sets(base: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(id, set): the sorted hashes of the documents of pairs (a, b), held in the shared folder. A bitmap drops most others where they are read."""
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    known = base.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("key")), ID_BITS))
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(known.value.has(np.asarray(batch.column("key")).view(np.uint64)))) if batch.num_rows else batch
             for part in slices(batch, "text", 1 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 h, edge = shingle_sets(data, off, n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 8).astype(np.int32)), pa.py_buffer(h)])], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 8).astype(np.int32)), pa.py_buffer(h)])], ["i", "set"])
 
-    return cut(with_ids(base, ids).mapInArrow(gather, "id long, set binary"))
+    found = base.withColumn("key", F.xxhash64("doc_id")).mapInArrow(gather, "i long, set binary")
+    return cut(found.join(ids, F.col("i") == F.col("id"), "left_semi").select(F.col("i").alias("id"), "set"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

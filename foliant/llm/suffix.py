@@ -19,63 +19,20 @@ Units then meet by 128-bit hashes in a sort that settles exactly which occur twi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, cut, mix, parts, raw, runs, slices
+from .common import U64, Bitmap, Rolling, bitmap, cut, mix, parts, raw, runs, slices
 
 TRIGGER, DENSITY = 16, 64
 COARSE, FINE = 64, 8
-REGIONS = 256
-#: A bitmap has 16 bits or more for each entry, within these bounds (2**29 bits are 64 MB).
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
 _A, _B = Rolling(3), Rolling(4)
 
 
-@dataclass
-class Bitmap:
-    bits: int
-    flat: np.ndarray
-
-    def has(self, key: np.ndarray) -> np.ndarray:
-        per = np.uint64(self.bits // REGIONS)
-        region = (key & U64(REGIONS - 1)).astype(np.int64)
-        at = ((key >> U64(8)) % per).astype(np.int64)
-        return (self.flat[region * (self.bits // REGIONS // 8) + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def bitmap(keys: DataFrame) -> Bitmap:
-    """Of a column key (long). Built region by region where the keys are; only the bits go to the driver."""
-    spark = keys.sparkSession
-    keys = cut(keys.select("key"))
-    n = keys.count()
-    bits = int(min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length())))
-    per = bits // REGIONS
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            key = np.asarray(batch.column(0)).view(np.uint64)
-            region = (key & U64(REGIONS - 1)).astype(np.int64)
-            at = ((key >> U64(8)) % U64(per)).astype(np.int64)
-            for r in np.unique(region).tolist():
-                x = at[region == r]
-                np.bitwise_or.at(made.setdefault(r, np.zeros(per // 8, np.uint8)), x >> 3, (1 << (x & 7)).astype(np.uint8))
-        for r, b in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b.tobytes()])], ["region", "bits"])
-
-    regions = [np.zeros(per // 8, np.uint8)] * REGIONS
-    region = F.col("key").bitwiseAND(F.lit(REGIONS - 1)).cast("int")
-    for r in keys.repartition(min(REGIONS, parts(spark)), region).mapInArrow(build, "region int, bits binary").toLocalIterator():
-        regions[r.region] = np.frombuffer(r.bits, np.uint8)
-    return Bitmap(bits, np.concatenate(regions))
-
-
 class Parse:
     """The triggers of a batch of texts and what hangs on them; `off` has the texts' ends."""
 

@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, raw, slices, work_dir
+from .common import cache_of, raw, slices, tidy, work_dir
 
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
@@ -230,9 +230,9 @@ class Encoder:
         self.plain = self._plain(path) if self.between is not None else None
         self.marks = pa.array([np.array(self.t.encode(c, add_special_tokens=False).ids, self.kind).tobytes() for c in _MARKS] + [b""], pa.large_binary())
 
-    def _plain(self, path: str):
-        """The tokenizer without the steps that leave small letters as they are, for a model that marks the ends of words."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def _plain(self, path: str) -> tuple | None:
+        """The steps that are left for small letters, and all steps, for a model that marks the ends of words."""
+        from tokenizers import normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
@@ -240,12 +240,10 @@ class Encoder:
         lowers = any(x["type"] == "Lowercase" for x in (form.get("normalizer") or {}).get("normalizers", []))
         if not suffix or not lowers or not {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(pattern):
             return None
-        self.last = np.zeros(1 << 8 * self.width if self.width == 2 else self.t.get_vocab_size(), bool)
-        self.last[[k for w, k in self.t.get_vocab().items() if w.endswith(suffix)]] = True
-        plain = Tokenizer.from_file(path)
-        plain.normalizer = normalizers.Sequence([])
-        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        return plain
+        self.last = np.zeros(self.t.get_vocab_size(), bool)
+        self.last[[k for w, k in form["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        split = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return (normalizers.Sequence([]), split), (self.t.normalizer, self.t.pre_tokenizer)
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Id bytes of each text (null: empty), with the end id."""
@@ -284,20 +282,26 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(size * self.width)])
         return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
 
-    def _flat(self, tokenizer, texts: list[str]) -> np.ndarray:
-        made = [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _flat(self, texts: list[str]) -> np.ndarray:
+        """Ids of all texts, one after another; few at a time, as what the library returns is much larger than the ids."""
+        made = [np.array(e.ids, self.kind) for k in range(0, len(texts), 16) for e in self.t.encode_batch_fast(texts[k : k + 16], add_special_tokens=False)]
         return np.concatenate(made) if made else np.empty(0, self.kind)
 
     def _letters(self, words: pa.Array) -> pa.Array:
         """Words of small letters: each is one token of the split, whose last id ends a word."""
         many = words.to_pylist()
-        ids = self._flat(self.plain, [" ".join(many[k : k + _TOGETHER]) for k in range(0, len(many), _TOGETHER)])
+        few, all_steps = self.plain
+        self.t.normalizer, self.t.pre_tokenizer = few
+        try:
+            ids = self._flat([" ".join(many[k : k + _TOGETHER]) for k in range(0, len(many), _TOGETHER)])
+        finally:
+            self.t.normalizer, self.t.pre_tokenizer = all_steps
         return self._packed(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
 
     def _others(self, words: pa.Array) -> pa.Array:
         apart = np.asarray(pc.match_substring(words, _BETWEEN))
         many = words.filter(pa.array(~apart)).to_pylist()
-        ids = self._flat(self.t, [f" {_BETWEEN} ".join(many[k : k + _TOGETHER]) + f" {_BETWEEN}" for k in range(0, len(many), _TOGETHER)])
+        ids = self._flat([f" {_BETWEEN} ".join(many[k : k + _TOGETHER]) + f" {_BETWEEN}" for k in range(0, len(many), _TOGETHER)])
         stop = ids == self.between
         made = self._packed(ids[~stop], np.diff(np.flatnonzero(stop), prepend=-1) - 1)
         own = [np.array(self.t.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words.filter(pa.array(apart)).to_pylist()]
@@ -324,6 +328,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc
     """
     edges = np.array(cuts or [], np.int64)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, end_id)
         for batch in batches:
@@ -362,6 +367,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_
     cuts = bounds_of(docs, n, id_col)
     width = _encoder(tokenizer, end_id).width
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(path)
         made = None
@@ -404,6 +410,7 @@ def read_records(spark: SparkSession, path: str, manifest: list[Row]) -> DataFra
         files.append((r.part, total))
         total += r.ids
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(path)
         for batch in batches:
