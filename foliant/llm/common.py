@@ -62,6 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a held frame that one task reads.
+HELD_ROWS = 100_000
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The same rows, held as `cut` does, and read by as many tasks as they need: few rows make few shuffle files."""
+    df = cut(df)
+    return df.coalesce(1 + df.count() // HELD_ROWS)
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, bitmap, cache_of, cut, mix, parts, raw, runs, slices, tidy
+from .common import U64, Rolling, bitmap, cache_of, cut, held, mix, parts, raw, runs, slices, tidy
 
 #: Numbers of empty segments that a band's sets may skip.
 SLACKS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -209,7 +209,7 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
     own = F.when(F.col("named"), F.col("doc_id"))
     # a row with an id stands for its class if there is one
     rep = F.min(F.struct(~F.col("named"), "doc_id"))["doc_id"].alias("rep")
-    classes = cut(rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(rep, F.min(own).alias("least"), F.first("band").alias("band"), F.first("sketch").alias("sketch")))
+    classes = held(rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(rep, F.min(own).alias("least"), F.first("band").alias("band"), F.first("sketch").alias("sketch")))
     counts = {r.band: r["n"] for r in classes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
     edges = _links(_one_of_each(base, classes), classes, counts, n, num, den)
     merged = connect(edges)
@@ -285,45 +285,61 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
 
     # A signature of so many sets that one task would get much more than others is dealt out: each share has its own first,
     # and these firsts meet again. A sample of the sets finds such signatures; it decides where rows go, not what comes out.
-    some = cut(signed(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"))
+    some = held(signed(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"))
     total = some.agg(F.sum("n")).first()[0] or 0
     often = some.where(F.col("n") >= max(LEAST_OFTEN, total // (8 * parts(spark)))).orderBy(F.desc("n")).limit(MOST_OFTEN).select("sig", F.least(F.lit(1 << 10), F.ceil(F.col("n") * SAMPLE / RUN_SHARE)).cast("int").alias("shares"))
     rows = signed(base).join(F.broadcast(often), "sig", "left")  # at most MOST_OFTEN rows
     rows = rows.select("sig", "id", "size", F.coalesce(1 + F.pmod(F.xxhash64("id"), "shares"), F.lit(0)).cast("int").alias("salt"))
     hit = rows.repartition(parts(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(pair, "sig long, a long, b long, size int, fits boolean")
-    hit = cut(hit)  # a row for each member of a run beyond its first
+    hit = held(hit)  # a row for each member of a run beyond its first, or of a share's
     firsts = hit.where("a = b").select("sig", "a", "size")
     top = firsts.groupBy("sig").agg(F.min(F.struct("a", "size")).alias("top"))
     close = F.least("size", "top.size") * den >= F.greatest("size", "top.size") * num
     over = firsts.join(top, "sig").where("a <> top.a").select("sig", F.col("top.a").alias("a"), F.col("a").alias("b"), close.alias("fits"))
-    star = hit.where("a <> b").select("sig", "a", "b", "fits").unionByName(over)
+    star = held(hit.where("a <> b").select("sig", "a", "b", "fits").unionByName(over))
     shape = classes.select(F.col("rep").alias("id"), "n_shingles", "sketch")
     tried = star.where("fits").groupBy("a", "b").agg(F.count("*").alias("w"))
     x, y = (shape.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    tried = cut(tried.join(x, "a").join(y, "b").mapInArrow(near_sketches(num, den), "a long, b long, w long"))
+    tried = held(tried.join(x, "a").join(y, "b").mapInArrow(near_sketches(num, den), "a long, b long, w long"))
     sets = _sets(base, tried, n)
     # each set first meets the hub with which it shares most
     best = tried.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "a"))).where("r = 1").select("a", "b")
-    links = cut(verify(sets, best, num, den))
+    links = held(verify(sets, best, num, den))
     roots = connect(links)
     rest = _apart(tried.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    links = cut(links.unionByName(verify(sets, rest, num, den)))
-    roots = connect(links)
-    # Runs whose members are still of several components: every pair across them whose sketches allow it.
-    members = star.select("sig", F.col("a").alias("id")).union(star.select("sig", F.col("b").alias("id"))).distinct()
-    members = members.join(roots, members["id"] == roots["node"], "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
+    links = held(links.unionByName(verify(sets, rest, num, den)))
+    # Runs whose members are still of several components: every pair across them whose sketches allow it and that has not
+    # met yet. Sets that are near without a link share many runs, so they meet by the first few signatures of each set
+    # (by a hash, the same order for all), and then, in what is left, by all.
+    members = held(star.select("sig", F.col("a").alias("id")).union(star.select("sig", F.col("b").alias("id"))).distinct())
+    order = W.partitionBy("id").orderBy(F.xxhash64("sig"), "sig")
+    few = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIRST_RUNS).select("sig", "id")
+    met = tried.select("a", "b")
+    for some in (few, members):
+        roots = connect(links)
+        found = held(_across(some, roots, shape, _apart(met, roots), num, den))
+        if found.take(1):
+            links = held(links.unionByName(verify(_sets(base, found, n), found, num, den)))
+            met = met.unionByName(found)
+    return links
+
+
+def _across(members: DataFrame, roots: DataFrame, shape: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a run and of different components whose sketches allow a link, but for those that have met."""
+    members = held(members.join(roots, members["id"] == roots["node"], "left").select("sig", "id", F.coalesce("root", "id").alias("root")))
     still = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")  # a pair has met
-    still = members.join(still.select("sig", "n"), "sig").join(shape, "id")
+    known = met.groupBy(F.greatest("a", "b").alias("id")).agg(F.collect_set(F.least("a", "b")).alias("met"))  # near sets without a link, of smaller id
+    still = members.join(still.select("sig", "n"), "sig").join(shape.join(known, "id", "left"), "id")
     blocks = F.ceil(F.col("n") / RUN_BLOCK).cast("int")  # a long run is dealt as pairs of blocks
     still = still.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     still = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    still = still.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", F.col("n_shingles").alias("size"), "sketch")
-    still = still.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-    across = still.mapInArrow(across_runs(num, den), "a long, b long").distinct()
-    across = cut(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    return cut(links.unionByName(verify(_sets(base, across, n), across, num, den))) if across.take(1) else links
+    still = still.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", F.col("n_shingles").alias("size"), "sketch", "met")
+    still = still.repartition(parts(members.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
+    return still.mapInArrow(across_runs(num, den), "a long, b long").distinct()
 
 
+#: Runs of each set in which pairs across components meet first.
+FIRST_RUNS = 4
 #: One set of so many tells which signatures are frequent; those that LEAST_OFTEN and more have, at most MOST_OFTEN, are dealt out, by about RUN_SHARE sets.
 SAMPLE, LEAST_OFTEN, MOST_OFTEN, RUN_SHARE = 32, 64, 10_000, 4_096
 #: Members of a run that one task compares with each other, or with as many of another block.
@@ -355,6 +371,7 @@ def across_runs(num: int, den: int):
         ids, roots, size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         if len(ids) < 2:
             return
+        known = [frozenset(r[4] or ()) for r in rows]
         length = min(len(r[3]) for r in rows)
         sk = np.stack([fold(r[3], length) for r in rows])
         for k in range(len(ids) - 1):
@@ -362,6 +379,7 @@ def across_runs(num: int, den: int):
             ok = (roots[k + 1 :] != roots[k]) & (np.minimum(size[k], size[k + 1 :]) * den >= np.maximum(size[k], size[k + 1 :]) * num)
             at = np.flatnonzero(ok)
             at = at[np.bitwise_count(sk[k + 1 + at] ^ sk[k]).sum(1, dtype=np.int64) <= most[at]]
+            at = np.array([x for x in at.tolist() if rows[k][0] not in known[k + 1 + x]], np.int64)
             if len(at):
                 a, b = np.full(len(at), ids[k]), ids[k + 1 + at]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -369,7 +387,7 @@ def across_runs(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for sig, i, j, *row in zip(*(batch.column(k).to_pylist() for k in ("sig", "i", "j", "id", "root", "size", "sketch")), strict=True):
+            for sig, i, j, *row in zip(*(batch.column(k).to_pylist() for k in ("sig", "i", "j", "id", "root", "size", "sketch", "met")), strict=True):
                 if (sig, i, j) != key:
                     yield from compare(rows)
                     key, rows = (sig, i, j), []
@@ -385,7 +403,7 @@ ID_BITS = 1 << 26
 
 def _sets(base: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(id, set): the sorted hashes of the documents of pairs (a, b), held in the shared folder. A bitmap drops most others where they are read."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = held(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     known = base.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("key")), ID_BITS))
 
     @tidy
@@ -431,8 +449,8 @@ def connect(edges: DataFrame) -> DataFrame:
     Each round every node takes the smallest root among its neighbours' and its own, and then its root's root, so long
     chains halve; it ends when a round changes nothing. Each round is held in the shared folder.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = held(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    roots = held(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     if not roots.take(1):
         return roots
     while True:
@@ -440,7 +458,7 @@ def connect(edges: DataFrame) -> DataFrame:
         near = both.join(r, "b").groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("near"))
         step = roots.join(near, "node", "left").select("node", "root", F.least("root", "near").alias("next"))
         jump = roots.select(F.col("node").alias("next"), F.col("root").alias("over"))
-        step = cut(step.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("over", "next")).alias("root")))
+        step = held(step.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("over", "next")).alias("root")))
         roots = step.select("node", "root")
         if not step.where("was <> root").take(1):
             return roots

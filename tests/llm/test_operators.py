@@ -347,7 +347,7 @@ def test_components(docs, none):
     assert len(set(root.values())) < len(root) and ngramjoin.components(none).count() == 0
 
 
-def test_components_random(spark):
+def test_components_random(spark, monkeypatch):
     """Families around the threshold, in which the first member of a run is not near all others."""
     r = random.Random(8)
     rows = []
@@ -368,7 +368,14 @@ def test_components_random(spark):
                 if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
-    got = {x.doc_id: x.component_id for x in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in ngramjoin.components(df).collect()}
+    assert got == dict(enumerate(root))
+    # the same where every signature counts as frequent and long runs are dealt out
+    for name, value in (("SAMPLE", 1), ("LEAST_OFTEN", 2), ("RUN_SHARE", 3), ("RUN_BLOCK", 2), ("FIRST_RUNS", 1)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    monkeypatch.setattr(ngramjoin, "parts", lambda spark, least=1: 1000)
+    got = {x.doc_id: x.component_id for x in ngramjoin.components(df).collect()}
     assert got == dict(enumerate(root))
 
 
