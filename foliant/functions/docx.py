@@ -248,7 +248,7 @@ class DocxWriter:
         self.level = LEVELS[compression]
 
     def write(self, doc: Document) -> bytes:
-        self.doc, self.links, self.images, self.ids = doc, {}, {}, {}
+        self.doc, self.links, self.images, self.ids, self.style_ids = doc, {}, {}, {}, {}
         for n, k in enumerate(sorted({b.list_id for b in doc.blocks if isinstance(b, Paragraph) and b.list_id is not None})):
             self.ids[k] = n + 1
         self.marks, self.open = 0, {}
@@ -274,7 +274,16 @@ class DocxWriter:
         return out.getvalue()
 
     def style_id(self, name: str) -> str:
-        return re.sub(r"[^A-Za-z0-9~.+#_-]", "", name) or "Normal"
+        """The name without white space; where that is taken, with 0 behind it, and then _2, _3 and so on. Only Normal has that id."""
+        if name not in self.style_ids:
+            base = "Normal" if name in ("", "Normal") else re.sub(r"\s+", "", name) or "Style"
+            taken, n = {*self.style_ids.values(), "Normal"} - ({"Normal"} if name in ("", "Normal") else set()), 1
+            found = base
+            while found in taken:
+                found = f"{base}0" if n == 1 else f"{base}_{n}"
+                n += 1
+            self.style_ids[name] = found
+        return self.style_ids[name]
 
     def styles(self) -> str:
         used = {"Normal": None} | {p.style: p.outline for p in self._paragraphs()}

@@ -52,10 +52,18 @@ def image_type(mime: Column) -> Column:
 
 
 def image_size(content: Column) -> Column:
-    """(width, height) in points at 96 DPI of a PNG or GIF; null of others."""
+    """(width, height) in points at 96 DPI of a PNG, GIF or JPEG; null of others."""
     h = F.hex(F.substring(content, 1, 24))
+    # a JPEG's frame header: the first marker C0 to CF but C4, C8 and CC, after whole segments of their stated lengths
+    whole = F.hex(content)
+    step = lambda a, _: F.when(a["done"] | ~F.substring(whole, a["at"], 2).eqNullSafe(F.lit("FF")), a).otherwise(
+        F.when(F.substring(whole, a["at"] + 2, 2).rlike("^C[0-35-79-BD-F]$"), F.struct(a["at"].alias("at"), F.lit(True).alias("done")))
+        .otherwise(F.struct((a["at"] + 4 + 2 * F.conv(F.substring(whole, a["at"] + 4, 4), 16, 10).cast("int")).alias("at"), F.lit(False).alias("done")))
+    )
+    frame = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.lit(5).alias("at"), F.lit(False).alias("done")), step, lambda a: F.when(a["done"], a["at"]))
+    place = lambda k: F.conv(F.substring(whole, frame + k, F.lit(4)), 16, 10).cast("double")
     big = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("double")
     little = lambda a: F.conv(F.concat(F.substring(h, a + 2, 2), F.substring(h, a, 2)), 16, 10).cast("double")
     png, gif = h.startswith("89504E470D0A1A0A"), h.rlike("^474946383[79]61")
     size = lambda w, e: F.struct((w * 0.75).alias("width"), (e * 0.75).alias("height"))
-    return F.when(png, size(big(33), big(41))).when(gif, size(little(13), little(17)))
+    return F.when(png, size(big(33), big(41))).when(gif, size(little(13), little(17))).when(h.startswith("FFD8FF") & frame.isNotNull(), size(place(14), place(10)))

@@ -505,7 +505,7 @@ class Builder:
                     p.add(x[4], now)
             elif x[0] == "footnote":
                 self.notes.append((len(self.notes) + 1, x[1]))
-                p.add(str(len(self.notes)), replace(now, superscript=True))
+                p.add(f"[^{len(self.notes)}]", replace(now, superscript=True))
 
     def blocks(self, blocks: list[Block], into: list, quote: int = 0, item: tuple[int, int] | None = None) -> None:
         first = True
@@ -561,7 +561,7 @@ class Builder:
             start = len(self.doc.blocks)
             self.blocks(self.parser.footnotes[key], self.doc.blocks)
             if start < len(self.doc.blocks) and isinstance(self.doc.blocks[start], Paragraph):
-                self.doc.blocks[start].inlines.insert(0, Inline("run", f"{number} ", Font(superscript=True)))
+                self.doc.blocks[start].inlines.insert(0, Inline("run", f"[^{number}]: ", Font(superscript=True)))
             for b in self.doc.blocks[start:]:
                 if isinstance(b, Paragraph):
                     b.style = "Footnote Text"
@@ -573,13 +573,9 @@ class Builder:
 
 
 def read_markdown(text: str, keep_empty: bool = False) -> Document:
-    """Definitions and footnotes count wherever they stand, the first of a label; so the text is parsed twice for them."""
-    lines = lines_of(text or "")
-    first = BlockParser(keep_empty)
-    first.parse(lines)
-    second = BlockParser(keep_empty)
-    blocks = second.parse(lines)
-    return Builder(second).build(blocks)
+    """Definitions and footnotes count wherever they stand, the first of a label: inlines are read when all blocks are known."""
+    parser = BlockParser(keep_empty)
+    return Builder(parser).build(parser.parse(lines_of(text or "")))
 
 
 def read_text(text: str) -> Document:

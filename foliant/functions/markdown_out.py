@@ -39,6 +39,10 @@ def inline_code(text: str) -> str:
     return f"{fence}{pad}{text}{pad}{fence}"
 
 
+#: What stands where a footnote is referred to, and before its body.
+_NOTE = re.compile(r"\[\^[^\]\s]+\](?:: )?")
+
+
 class MarkdownWriter:
     def __init__(self, underline: bool = False, html_tables: bool = False, links: str = "inline", newline: str = "\n"):
         self.underline, self.html_tables, self.links, self.newline = underline, html_tables, links, newline
@@ -59,13 +63,20 @@ class MarkdownWriter:
 
     @staticmethod
     def join(blocks: list[tuple[str, int, str]]) -> str:
+        """Blocks are parted by blank lines, but for items of a list, headings, rules and quotes that rise.
+
+        A setext heading would take a paragraph before it along, and the second paragraph of an item would join the first.
+        """
         out, prev = [], None
         for tag, level, text in blocks:
             if prev:
-                if "heading" in (tag, prev[0]) or tag == prev[0] == "item":
+                headings = ("heading", "setext")
+                if (tag == "setext" and prev[0] not in headings) or (tag == "more" and prev[0] in ("item", "more")):
+                    out.append("\n\n")
+                elif tag in headings or prev[0] in headings or (tag == "item" and prev[0] in ("item", "more")) or tag == prev[0] == "rule":
                     out.append("\n")
                 elif tag == prev[0] == "quote":
-                    out.append("\n" + ">" * min(level, prev[1]) + "\n")
+                    out.append("\n" if level > prev[1] else "\n" + ">" * min(level, prev[1]) + "\n")
                 else:
                     out.append("\n\n")
             out.append(text)
@@ -83,7 +94,7 @@ class MarkdownWriter:
             info = p.style.partition(".")[2]
             return self.wrap("block", p, f"{fence}{info}\n{text}\n{fence}")
         if p.style == "HorizontalRule":
-            return self.wrap("rule", p, "-----")
+            return self.wrap("rule", p, "---")
         text = self.runs(p)
         if not text.strip() and not any(i.kind == "image" for i in p.inlines):
             if p.outline is None and p.list_id is None and not p.quote:
@@ -92,11 +103,14 @@ class MarkdownWriter:
             n = min(p.outline + 1, 6)
             text = text.replace("\n", " ")
             if p.style.startswith("SetextHeading") and n <= 2 and text:
-                return self.wrap("heading", p, f"{text}\n{('=' if n == 1 else '-') * max(3, len(text))}")
+                return self.wrap("setext", p, f"{text}\n{('=' if n == 1 else '-') * max(3, len(text))}")
             tail = " " + "#" * n if text.endswith("#") else ""
             return self.wrap("heading", p, f"{'#' * n} {text}{tail}".rstrip())
         text = re.sub(r"(?m)^([ \t]{1,3})(?=[^ \t\n])", r"`\1`", escape_lines(text)) if not p.style.startswith("Footnote") else text
-        return self.wrap("block", p, text.replace("\n", "  \n"))
+        text = text.replace("\n", "  \n")
+        if p.style == "Footnote Text" and not _NOTE.match(text):  # goes on with the body above
+            text = "    " + text.replace("\n", "\n    ")
+        return self.wrap("block", p, text)
 
     def wrap(self, tag: str, p: Paragraph, text: str) -> tuple[str, int, str]:
         """Inside its list item and quotes."""
@@ -108,7 +122,7 @@ class MarkdownWriter:
             m = self.marker(levels, p.level)
             first = m + " " if p.style != "ListContinue" else " " * (len(m) + 1)
             hang = "\n" + indent + " " * (len(m) + 1)
-            text, tag = indent + first + text.replace("\n", hang), "item"
+            text, tag = indent + first + text.replace("\n", hang), "more" if p.style == "ListContinue" else "item"
         if p.quote:
             text = "\n".join(("> " * p.quote + x).rstrip() for x in text.split("\n"))
             tag = "quote"
@@ -130,7 +144,9 @@ class MarkdownWriter:
             elif i.kind == "image":
                 pieces.append((self.image(i), ()))
             elif i.kind == "run" and not depth and i.text:
-                if i.font.code:
+                if i.font.superscript and _NOTE.fullmatch(i.text):
+                    pieces.append((i.text, ()))
+                elif i.font.code:
                     pieces.append((inline_code(i.text), self.marks(i.font)))
                 else:
                     head, tail = len(i.text) - len(i.text.lstrip()), len(i.text.rstrip())

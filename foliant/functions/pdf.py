@@ -7,6 +7,7 @@ import zlib
 
 from .markdown_out import MarkdownWriter
 from .model import Document, Paragraph, Table
+from .text import LATIN1, letters, roman_numeral
 
 # Page size and margin in points, line height as a multiple of the size.
 WIDTH, HEIGHT, MARGIN, LEADING = 595.28, 841.89, 20 * 72 / 25.4, 1.4
@@ -14,8 +15,11 @@ FONTS = ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldObli
 _LINK = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]\((<[^<>]*>|(?:[^\s()\\]|\\.)*)(?:\s+\"(?:[^\"\\]|\\.)*\")?\)")
 
 
+_PLAIN = str.maketrans(LATIN1)
+
+
 def latin1(text: str) -> str:
-    return re.sub(r"[^\x20-\xFF]", "?", text.replace("\t", "    "))
+    return re.sub(r"[^\x20-\xFF]", "?", text.replace("\t", "    ").translate(_PLAIN))
 
 
 def _width(c: str) -> float:
@@ -56,7 +60,8 @@ class PdfWriter:
         if lv is None or lv.number_style == 23:
             return "\x95 "
         n = self.counts[p.list_id, p.level] = self.counts.get((p.list_id, p.level), lv.start_at - 1) + 1
-        return f"{n}{lv.number_format[-1:] or '.'} "
+        shown = {1: roman_numeral(n), 2: roman_numeral(n).lower(), 3: letters(n), 4: letters(n).lower()}.get(lv.number_style, str(n))
+        return f"{shown}{lv.number_format[-1:] or '.'} "
 
     def paragraph(self, p: Paragraph, left: float = MARGIN, right: float = WIDTH - MARGIN) -> None:
         size = 11 + (6 - min(p.outline + 1, 6)) * 2 if p.outline is not None else 11

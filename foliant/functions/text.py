@@ -20,9 +20,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+# What stands for typographic characters that Latin-1 lacks.
+LATIN1 = {
+    "\u2018": "'", "\u2019": "'", "\u201a": ",", "\u201b": "'", "\u201c": '"', "\u201d": '"', "\u201e": ",,",
+    "\u2013": "-", "\u2014": "--", "\u2015": "--", "\u2026": "...",
+    "\u2022": "\u00b7", "\u2023": "\u00b7", "\u2043": "\u00b7", "\uf0b7": "\u00b7", "\uf0a7": "\u00b7",
+    "\u2009": " ", "\u200a": " ", "\u200b": "", "\u00a0": " ", "\u2011": "-", "\u2212": "-", "\u2122": "(TM)",
+}
+
+
 def latin1_safe(text: Column) -> Column:
-    """Characters beyond Latin-1 become question marks, as the core PDF fonts need."""
-    return F.regexp_replace(text, r"[^\x00-\xFF]", "?")
+    """Typographic characters become their plain forms, others beyond Latin-1 question marks, as the core PDF fonts need."""
+    one = "".join(k for k, v in LATIN1.items() if len(v) == 1)
+    out = F.translate(text, one, "".join(LATIN1[k] for k in one))
+    for k, v in LATIN1.items():
+        out = F.replace(out, F.lit(k), F.lit(v)) if len(v) != 1 else out
+    return F.regexp_replace(out, r"[^\x00-\xFF]", "?")
 
 
 def xml_escape(text: Column, attribute: bool = False) -> Column:
@@ -95,23 +108,36 @@ def line_kind(line: Column, following: Column) -> Column:
 
 
 def roman(n: Column, upper: bool = True) -> Column:
-    """Roman numerals up to 3999; numbers beyond keep their digits."""
+    """Roman numerals; thousands are as many M, and below 1 there is none."""
     # fixed values
     digits = (
         ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"),
         ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"),
         ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"),
-        ("", "M", "MM", "MMM"),
     )
-    places = [F.get(F.array(*map(F.lit, d)), (F.floor(n / 10**k) % 10).cast("int")) for k, d in reversed(list(enumerate(digits)))]
-    out = F.when((n >= 1) & (n <= 3999), F.concat(*places)).otherwise(n.cast("string"))
+    places = [F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), *[F.get(F.array(*map(F.lit, d)), (F.floor(n / 10**k) % 10).cast("int")) for k, d in reversed(list(enumerate(digits)))]]
+    out = F.when(n >= 1, F.concat(*places)).when(n < 1, F.lit(""))
     return out if upper else F.lower(out)
 
 
 def alphabetic(n: Column, upper: bool = True) -> Column:
-    """A to Z, then AA, BB, ...: the letter repeats with each round of the alphabet."""
-    letter = F.char(((n - 1) % 26 + (65 if upper else 97)).cast("int"))
-    return F.when(n >= 1, F.repeat(letter, (F.floor((n - 1) / 26) + 1).cast("int"))).otherwise(n.cast("string"))
+    """A to Z, then AA, AB, ..., AZ, BA and so on; below 1 there is none."""
+    zero = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    rest = lambda a: F.floor((a["left"] - 1) / 26)
+    letter = lambda a: F.char((a["left"] - 1) % 26 + (65 if upper else 97))
+    step = lambda a, _: F.when(a["left"] > 0, F.struct(rest(a).alias("left"), F.concat(letter(a), a["out"]).alias("out"))).otherwise(a)
+    return F.when(n.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), zero, step, lambda a: a["out"]))
+
+
+def roman_numeral(n: int) -> str:
+    """As `roman`, for one number."""
+    tens = (("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"), ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"))  # fixed values
+    return "M" * (n // 1000) + "".join(tens[k][n // 10**k % 10] for k in (2, 1, 0)) if n > 0 else ""
+
+
+def letters(n: int) -> str:
+    """As `alphabetic`, for one number."""
+    return letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n > 0 else ""
 
 
 def color_rgb(color: Column) -> Column:

@@ -97,18 +97,17 @@ def resolve_levels(items: DataFrame, levels: DataFrame, overrides: DataFrame, by
 
 
 def style_chains(styles: DataFrame, by: str = "doc_id", most: int = 64) -> DataFrame:
-    """(doc, name, depth, ancestor): each style with its base styles, nearest first; a cycle ends at the style seen before."""
-    view = f"styles_{abs(hash(styles)) % 10**9}"
+    """(doc, name, depth, ancestor): each style with its base styles, nearest first; a cycle ends at the style seen before.
+
+    A document's styles are gathered in one map, along which each of them walks: one shuffle, no recursion.
+    """
     one = first_wins(styles, [by, "name"], "ord").select(F.col(by), "name", F.nullif("base_style_name", F.lit("")).alias("base"))
-    one.createOrReplaceTempView(view)
-    return styles.sparkSession.sql(f"""
-        WITH RECURSIVE chain({by}, name, depth, ancestor, base, seen) AS (
-            SELECT {by}, name, 0, name, base, array(name) FROM {view}
-            UNION ALL
-            SELECT c.{by}, c.name, c.depth + 1, s.name, s.base, array_append(c.seen, s.name)
-            FROM chain c JOIN {view} s ON c.{by} = s.{by} AND c.base = s.name
-            WHERE NOT array_contains(c.seen, s.name) AND c.depth < {most}
-        ) SELECT {by}, name, depth, ancestor FROM chain""")
+    bases = one.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("name", "base"))).alias("bases"))
+    walk = lambda seen, _: F.when(next_of(seen).isNull() | ~F.map_contains_key("bases", F.coalesce(next_of(seen), F.lit(""))) | F.array_contains(seen, next_of(seen)), seen).otherwise(F.array_append(seen, next_of(seen)))
+    next_of = lambda seen: F.element_at("bases", F.element_at(seen, -1))
+    chains = bases.select(by, "bases", F.explode(F.map_keys("bases")).alias("name"))
+    chains = chains.withColumn("chain", F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array("name"), walk))
+    return chains.select(by, "name", F.posexplode("chain").alias("depth", "ancestor"))
 
 
 def cascade(styles: DataFrame, chains: DataFrame, fields: list[str], by: str = "doc_id") -> DataFrame:
@@ -136,15 +135,18 @@ def overlapping(left: DataFrame, right: DataFrame, by: str = "doc_id", width: in
 def joined_blocks(blocks: DataFrame, by: str = "doc_id") -> DataFrame:
     """Markdown of each document from its blocks (ord, tag, level, text).
 
-    No blank line stands beside headings or between the items of a list; two quotes are parted by a quoted blank line of their
-    lesser level, and all else by a blank line.
+    No blank line stands beside headings, between the items of a list, between rules, or before a quote of a higher level; a
+    quote of no higher level is parted from one before it by a quoted blank line of the lesser level, and all else by a blank
+    line, a setext heading (tag setext) too unless it follows a heading.
     """
     w = W.partitionBy(by).orderBy("ord")
     tag, prev = F.col("tag"), F.lag("tag").over(w)
     sep = (
         F.when(prev.isNull(), "")
-        .when((tag == "heading") | (prev == "heading"), "\n")
+        .when((tag == "setext") & ~prev.isin("heading", "setext"), "\n\n")
+        .when(tag.isin("heading", "setext") | prev.isin("heading", "setext") | ((tag == "rule") & (prev == "rule")), "\n")
         .when((tag == "item") & (prev == "item"), "\n")
+        .when((tag == "quote") & (prev == "quote") & (F.col("level") > F.lag("level").over(w)), "\n")
         .when((tag == "quote") & (prev == "quote"), F.concat(F.lit("\n"), F.repeat(F.lit(">"), F.least(F.col("level"), F.lag("level").over(w))), F.lit("\n")))
         .otherwise("\n\n")
     )

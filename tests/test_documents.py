@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import formats, text
-from foliant.functions.docx import read_docx, write_docx
+from foliant.functions.docx import DocxWriter, read_docx, write_docx
 from foliant.functions.markdown import read_markdown, read_text
-from foliant.functions.markdown_out import write_markdown
+from foliant.functions.markdown_out import MarkdownWriter, write_markdown
 from foliant.functions.model import Font, Inline, Paragraph, paragraph_rows
 from foliant.functions.pdf import write_pdf
 from foliant.operators import relational as rel
@@ -58,7 +58,7 @@ def test_markdown_rows():
         ("1. x\n   y\n\n   z\n2. w", ["x y", "z", "w"]),
         ("> a\nlazy\n\nb", ["a lazy", "b"]),
         ("[x]: /u 'T'\n[x]: /v\n\n[x] [X][] [t][x] [none]", ['[x](/u "T") [X](/u "T") [t](/u "T") [none]']),
-        ("a[^n] b[^n]\n\n[^n]: note", ["a1 b2", "1 note", "2 note"]),
+        ("a[^n] b[^n]\n\n[^n]: note", ["a[^1] b[^2]", "[^1]: note", "[^2]: note"]),
         ("&amp; \\* <http://a.b> <x@y.z>", ["& * [http://a.b](http://a.b) [x@y.z](mailto:x@y.z)"]),
         ("| a | b |\n|---|---|\n| 1 |\n| 2 | 3 | 4 |", ["a", "b", "1", "", "2", "3"]),
         ("Set\n---\n***\n    code\n", ["Set", "", "code"]),
@@ -219,3 +219,40 @@ def test_catalog_has_sql():
     from foliant.plans import catalog
 
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "para\n\nTitle\n=====\n\nafter\n",
+        "- a\n\n  b\n- c\n",
+        "x[^a]\n\n[^a]: first\n\n    second\n",
+        "---\n---\n\ntext\n",
+        "> one\n> > two\n\ntext\n",
+    ],
+)
+def test_blocks_stay_apart_when_written(source):
+    """Writing and reading again gives the same paragraphs, of the same styles."""
+    first = [(r["style_name"], r["text"]) for r in paragraph_rows(read_markdown(source))]
+    again = [(r["style_name"], r["text"]) for r in paragraph_rows(read_markdown(MarkdownWriter().write(read_markdown(source))))]
+    assert again == first and len(first) > 1
+
+
+def test_style_ids_are_unique():
+    names = ["My Style", "MyStyle", "My  Style", "标题", "正文", "Normal", ""]
+    w = DocxWriter()
+    w.style_ids = {}
+    ids = [w.style_id(n) for n in names]
+    assert ids[:5] == ["MyStyle", "MyStyle0", "MyStyle_2", "标题", "正文"] and ids[5] == ids[6] == "Normal" and w.style_id("MyStyle") == "MyStyle0"
+
+
+def test_numerals(spark):
+    rows = spark.createDataFrame([(n,) for n in (-1, 0, 1, 4, 26, 27, 52, 53, 702, 703, 3999, 4000, 18279)], "n int").select("n", text.roman(F.col("n")).alias("r"), text.alphabetic(F.col("n")).alias("a")).collect()
+    assert all((r.r, r.a) == (text.roman_numeral(r.n), text.letters(r.n)) for r in rows)
+    assert {r.n: (r.r, r.a) for r in rows}[27] == ("XXVII", "AA") and {r.n: r.a for r in rows}[53] == "BA" and {r.n: r.r for r in rows}[4000] == "MMMM" and {r.n: (r.r, r.a) for r in rows}[0] == ("", "")
+
+
+def test_image_sizes(spark):
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + bytes(10) + b"\xff\xc0\x00\x11\x08\x00\x20\x00\x40\x03" + bytes(20)
+    got = spark.createDataFrame([(1, jpeg), (2, b"GIF89a\x08\x00\x04\x00"), (3, b"x"), (4, None)], "k int, c binary").select("k", formats.image_size(F.col("c")).alias("s")).orderBy("k").collect()
+    assert [(r.s.width, r.s.height) if r.s else None for r in got] == [(48.0, 24.0), (6.0, 3.0), None, None]
