@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, work_dir
+from .common import slices, tidy, work_dir
 from .htmlmain import INLINE, RAW, events
 
 #: Namespace of the ids that are derived from a source id, so that a rerun gives the same ids.
@@ -98,28 +99,66 @@ def plain(page: str) -> tuple[str, str, list[str]]:
     return title, "\n".join(t for x in lines if (t := " ".join("".join(x).split()))), links
 
 
+def dechunked(data: bytes) -> bytes:
+    """The body of a chunked transfer, as far as its chunks are whole and well formed."""
+    out, at = bytearray(), 0
+    while (end := data.find(b"\r\n", at)) >= 0 and (m := re.match(rb"[0-9A-Fa-f]+", data[at:end])):
+        size = int(m[0], 16)
+        if not size or size > len(data):
+            break
+        out += data[end + 2 : end + 2 + size]
+        at = end + 2 + size + 2
+    return bytes(out)
+
+
+def decoded(payload: bytes, http: Headers) -> tuple[bytes, str]:
+    """The entity of an HTTP body, and the coding that it is still in, if that is unknown or doesn't hold."""
+    if "chunked" in (value(http, "Transfer-Encoding") or "").lower() and re.match(rb"[0-9A-Fa-f]+[^\r\n]{0,99}\r\n", payload):
+        payload = dechunked(payload)
+    for coding in reversed([c.strip().lower() for c in (value(http, "Content-Encoding") or "").split(",") if c.strip()]):
+        if coding == "identity":
+            continue
+        for bits in {"gzip": (47,), "x-gzip": (47,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                z = zlib.decompressobj(bits)
+                payload = z.decompress(payload) + z.flush()
+                break
+            except zlib.error:
+                continue
+        else:
+            return payload, coding
+    return payload, ""
+
+
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
-    """The metadata and the conversion record of one response; of another kind of record, none."""
+    """The metadata and the conversion record of one response; of another kind of record, none.
+
+    Headers stay as they stand: in order, repeated ones too. Digests are those of the payload as it was sent; chunked
+    transfers and gzip or deflate codings are undone for the text, and another coding gives no text.
+    """
     if (value(headers, "WARC-Type") or "") != "response":
         return []
     head, found, payload = block.partition(b"\r\n\r\n")
     if not found:
         head, payload = b"", block
     status, *fields = head.decode("latin-1").split("\r\n")
+    http = [(n.strip(), v.strip()) for n, _, v in (f.partition(":") for f in fields)]
+    entity, undecoded = decoded(payload, http)
     charset = re.search(r"charset=[\"']?([\w-]+)", next((f for f in fields if f.lower().startswith("content-type")), ""), re.I)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = entity.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = entity.decode("utf-8", "replace")
+    page = "" if undecoded else page
     own = value(headers, "WARC-Record-ID") or derived_id("response", f"{value(headers, 'WARC-Source-Row')} {value(headers, 'WARC-Target-URI')} {digest(payload)}")
     title, text, links = plain(page)
     payload_digest = value(headers, "WARC-Payload-Digest") or digest(payload)
     shared = [("WARC-Refers-To", own), *((n, v) for n in ("WARC-Target-URI", "WARC-Date", "WARC-Source-Row") if (v := value(headers, n)) is not None), ("WARC-Refers-To-Payload-Digest", payload_digest)]
     envelope = {
-        "WARC-Header-Metadata": {n: v for n, v in headers} | {"WARC-Record-ID": own},
+        "WARC-Header-Metadata": [*([n, v] for n, v in headers), *([] if value(headers, "WARC-Record-ID") else [["WARC-Record-ID", own]])],
         "Block-Digest": value(headers, "WARC-Block-Digest") or digest(block),
         "Payload-Digest": payload_digest,
-        "HTTP-Response-Metadata": {"Status": status, "Headers": {n.strip(): v.strip() for n, _, v in (f.partition(":") for f in fields)}, "Entity-Length": len(payload)},
+        "HTTP-Response-Metadata": {"Status": status, "Headers": [[n, v] for n, v in http], "Entity-Length": len(entity), "Undecoded": undecoded},
         "HTML-Metadata": {"Title": title, "Links": links},
     }
     out = []
@@ -137,19 +176,22 @@ def build(records: DataFrame, path: str | None = None, most: int = 128 << 20) ->
 
     Files are made where the records are read, without a shuffle, a new one after `most` bytes; `*.wat.gz` hold metadata,
     `*.wet.gz` conversions, in the same order. Records that are not responses, and null blocks as empty ones, are defined:
-    the former are left out. A file gets its name when complete. Returns the folder and one row a pair of files (name, records).
+    the former are left out. A file is named by its task's part and number, and gets that name when complete, so a task that
+    runs twice leaves one. Returns the folder and one row a pair of files (name, records).
     """
     path = path or work_dir(records.sparkSession, "warc")
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(path)
+        task, own, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         state: list = []
 
         def close() -> pa.RecordBatch:
             name, n, outs, _ = state
             for kind, o in outs.items():
                 o.close()
-                fs.move(f"{base}/_{name}.{kind}.gz", f"{base}/{name}.{kind}.gz")
+                fs.move(f"{base}/_{own}-{name}.{kind}.gz", f"{base}/{name}.{kind}.gz")
             state.clear()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "records"])
 
@@ -159,8 +201,9 @@ def build(records: DataFrame, path: str | None = None, most: int = 128 << 20) ->
                     for h, b in derive([(x["name"], x["value"] or "") for x in headers or []], block or b""):
                         if not state:
                             fs.create_dir(base, recursive=True)
-                            name = uuid.uuid4().hex
-                            state[:] = [name, 0, {k: fs.open_output_stream(f"{base}/_{name}.{k}.gz", compression=None) for k in ("wat", "wet")}, 0]
+                            name = f"part-{task:05d}-{made:04d}"
+                            made += 1
+                            state[:] = [name, 0, {k: fs.open_output_stream(f"{base}/_{own}-{name}.{k}.gz", compression=None) for k in ("wat", "wet")}, 0]
                         kind = "wat" if h[0][1] == "metadata" else "wet"
                         data = record(h, b)
                         state[2][kind].write(data)

@@ -1,7 +1,9 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import gzip
 import hashlib
 import html as htmllib
+import json
 import random
 import re
 import zlib
@@ -277,6 +279,22 @@ def test_warc(spark):
     (m, _), (c, text) = warc.derive(head, block)
     assert warc.value(m, "WARC-Refers-To") == warc.value(c, "warc-refers-to") == "<urn:uuid:1>" and text == b"hi"
     assert warc.derive([("WARC-Type", "request")], b"") == []
+    head += [("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:3>")]
+    page = gzip.compress(b"<p>hi")
+    chunks = b"".join(b"%x;x=y\r\n%s\r\n" % (len(c), c) for c in (page[:9], page[9:])) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunks
+    (m, meta), (c, text) = warc.derive(head, block)
+    e = json.loads(meta)["Envelope"]
+    assert text == b"hi" and e["WARC-Header-Metadata"] == [list(x) for x in head] and e["Payload-Digest"] == warc.digest(chunks)
+    assert e["HTTP-Response-Metadata"]["Headers"][:2] == [["Set-Cookie", "a"], ["Set-Cookie", "b"]]
+    assert warc.derive(head, b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\nxx")[1][1] == b""
+    empty = warc.responses(spark.createDataFrame([], "page_id long, url string, html string, headers string, block string"))
+    path, files = warc.build(empty, work_dir(spark, "t"))
+    assert files == [] and warc.read_pairs(spark, path, files).count() == 0
+    longest = spark.createDataFrame([(1, "u", "<p>" + "word " * 400_000, "clash"), (1, "u", None, "clash")], "page_id long, url string, html string, headers string")
+    path, files = warc.build(warc.responses(longest), work_dir(spark, "t"))
+    assert sorted(len(r.text) for r in warc.read_pairs(spark, path, files).collect()) == [0, 400_000 * 5 - 1]
+    assert all(f.name.startswith("part-") for f in files)
     assert warc.members(warc.record(c, text))[0][1] == b"hi"
     with pytest.raises(ValueError):
         warc.members(warc.record(c, text)[:-9])
