@@ -58,6 +58,10 @@ def fit_pivots(sample: np.ndarray, k: int) -> np.ndarray:
     return p
 
 
+#: Annuli whose bounds are held at a time: with a block of queries a few MB each.
+AT_A_TIME = 4_096
+
+
 def _pack(ids: list, vecs: list[bytes]) -> tuple[bytes, bytes]:
     return np.array(ids, np.int64).tobytes(), b"".join(vecs)
 
@@ -105,9 +109,14 @@ def _of_one_length(spark, v: DataFrame, dim: int, n: int, k: int, every: int, sc
     outline = annuli.select("a", "cell", "lo", "hi", "norm").toArrow()
     meta = spark.sparkContext.broadcast({c: outline.column(c).to_numpy() for c in outline.column_names})
 
-    def bounds(x: np.ndarray) -> np.ndarray:
-        """For each query and annulus: no score is above. Infinite where the arithmetic is not exact."""
-        m, f = meta.value, x.astype(np.float64)
+    def bounds(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Annuli, some at a time, and for each query and annulus what no score is above. Infinite where the arithmetic is not exact."""
+        for at in range(0, len(meta.value["a"]), AT_A_TIME):
+            m = {c: v[at : at + AT_A_TIME] for c, v in meta.value.items()}
+            yield m["a"], _bounds(x, m)
+
+    def _bounds(x: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
+        f = x.astype(np.float64)
         own = (f**2).sum(1)
         to = _distance(f, shared.value)[:, m["cell"]]
         gap = np.maximum(0, np.maximum(to - m["hi"], m["lo"] - to) - 1e-6 * (1 + to))
@@ -117,15 +126,15 @@ def _of_one_length(spark, v: DataFrame, dim: int, n: int, k: int, every: int, sc
     def first_visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("q", "ids", "x")), strict=True):
-                best = bounds(_matrix(x, dim)).sum(0).argmax()
-                yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([meta.value["a"][best]]), pa.array([ids]), pa.array([x])], ["q", "a", "ids", "x"])
+                sums = ((a, b.sum(0)) for a, b in bounds(_matrix(x, dim)))
+                best = max(((s.max(), -i, a[s.argmax()]) for i, (a, s) in enumerate(sums)))[2]  # the first of the highest
+                yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([best]), pa.array([ids]), pa.array([x])], ["q", "a", "ids", "x"])
 
     def later_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, a, ids, x, least in zip(*(batch.column(c).to_pylist() for c in ("q", "a", "ids", "x", "least")), strict=True):
                 stop = np.frombuffer(least, np.float64)
-                go = (bounds(_matrix(x, dim)) >= stop[:, None]).any(0) & (meta.value["a"] != a)
-                at = meta.value["a"][go]
+                at = np.concatenate([some[(b >= stop[:, None]).any(0) & (some != a)] for some, b in bounds(_matrix(x, dim))])
                 for s in range(0, len(at), 16):
                     some = at[s : s + 16]
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(some)), pa.array(some), pa.array([ids] * len(some)), pa.array([x] * len(some))], ["q", "a", "ids", "x"])
