@@ -2,8 +2,9 @@
 
 A token is a tag with its path of open elements, or a run of text at such a path. Tokens that occur equally often on every page
 of a host (the same occurrence vector) form a class; a class that is on most pages of the host and whose tokens nest is
-part of the template. The template's elements have slots; the lowest element that holds all words that vary, outside what
-its path or class names mark as menu, header, footer, advert and the like, is the host's main container. A page's text
+part of the template. The template's elements have slots; the way into the slots that hold the words that vary ends at the
+host's main container (see main_container). Names that mark menus, adverts and the like decide inside the container, and
+where a host has too few pages for a template. A page's text
 is what its main container holds, less such elements inside it and less the template's own text: what stands there once on
 every page of the host that is not empty, if nothing else of its block varies. Members of a class are known by their whole paths, so those that occur once a
 page nest as their paths do, and the order of siblings decides nothing. A page without the container falls back to its own
@@ -26,6 +27,8 @@ from .common import cut, slices
 
 #: A class belongs to the template if it is on this share of the host's pages; fewer pages than LEAST deduce nothing.
 SUPPORT, LEAST = 0.5, 3
+#: A slot with this share of the words that vary on a host holds some of the main text.
+SLOT = 0.05
 #: Templates may be broadcast up to this size, and join by host beyond it.
 BROADCAST_BYTES = 8 << 20
 
@@ -156,15 +159,36 @@ def tokens(page: str) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
 def main_container(words: dict[str, int]) -> str:
     """The main container of a host: words maps template paths that occur once a page to the words that vary inside them.
 
-    An article or main that holds most words goes before others, the deepest that holds as many as the outermost such. Else
-    it is the deepest that holds all words, so that no sibling slot with text that varies is left out.
+    The paths nest, and so do the slots. An article or main that holds most words goes before others, the deepest that holds
+    as many as the outermost such. Else the way leads from the outermost slot into the one slot inside it that counts, as long
+    as there is just one and little else stands beside: a slot counts with SLOT of all words or with a heading of the first
+    level. So a host's menus, adverts and footers stay outside by their volume, whatever they are called, and slots that
+    share the text stay together.
     """
     whole = max(words.values(), default=0)
     if not whole:
         return ""
     named = [p for p, w in words.items() if w >= 0.6 * whole and re.match(r"(article|main)\b", p.rsplit("/", 1)[-1])]
-    most = max((words[p] for p in named), default=whole)
-    return max((p for p in named or words if words[p] == most), key=lambda p: (p.count("/"), p))
+    if named:
+        most = max(words[p] for p in named)
+        return max((p for p in named if words[p] == most), key=lambda p: (p.count("/"), p))
+    inside: dict[str, list[str]] = {}
+    headed: set[str] = set()
+    for p in words:
+        up = p
+        while up := up.rpartition("/")[0]:
+            if up in words:
+                inside.setdefault(up, []).append(p)
+                break
+        if re.match(r"h1\b", p.rsplit("/", 1)[-1]):
+            headed.update(p[:k] for k in range(len(p) + 1) if k == len(p) or p[k] == "/")
+    at = min((p for p, w in words.items() if w == whole), key=lambda p: (p.count("/"), p))
+    while True:
+        slots = inside.get(at, [])
+        count = [p for p in slots if words[p] >= SLOT * whole or p in headed]
+        if len(count) != 1 or words[at] - sum(words[p] for p in slots) >= SLOT * whole:
+            return at
+        at = count[0]
 
 
 def _token(text: str) -> int:

@@ -253,6 +253,19 @@ def test_main_text_of_sibling_divs(spark):
     assert got == want | {9: want[0]}
 
 
+def test_main_text_by_template_alone(spark):
+    """No element or class name tells the menu, advert and footer, which vary from page to page: only the deduced slots do."""
+    page = "<html><body><div class='q1'><a>go{0}</a> <a>up{0}</a></div><div class='q2'><div class='q3'>buy{0} now</div><div class='q4'><div class='q6'><h1>Head {0}</h1></div><div class='q7'><p>" + "word{0} " * 90 + "</p><p>more {0}</p></div></div></div><div class='q5'>seen {0} times</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(6)]
+    df = spark.createDataFrame([*rows, (7, "http://few.example/", page.format(7))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmlmain.main_text(df).collect()}
+    want = {i: " ".join(f"Head {i} {f'word{i} ' * 90} more {i}".split()) for i in range(6)}
+    assert {i: got[i] for i in want} == want
+    assert "buy7" in got[7] and htmlmain.extract(page.format(1)) != want[1]  # without a template nothing tells them
+    none = spark.createDataFrame([(None, None, "<p>a</p>"), (None, None, "<p>a</p>"), (3, "u", "<p>" + "x " * 300_000)], "page_id long, url string, html string")
+    assert sorted(len(r.text) for r in htmlmain.main_text(none).collect()) == [1, 1, 599_999]
+
+
 def test_main_text_without_template_text(spark):
     """A paragraph that all pages of a host share goes; one that only copies of a page share stays, as do a host's equal pages."""
     page = "<html><body><article><h1>Head {0}</h1><p>Text {0} of it</p><p>Read also our <b>other</b> pages</p></article></body></html>"
