@@ -211,8 +211,7 @@ def components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (9, 10)
     rep = F.min(F.struct(~F.col("named"), "doc_id"))["doc_id"].alias("rep")
     classes = held(rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(rep, F.min(own).alias("least"), F.first("band").alias("band"), F.first("sketch").alias("sketch")))
     counts = {r.band: r["n"] for r in classes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
-    edges = _links(_one_of_each(base, classes), classes, counts, n, num, den)
-    merged = connect(edges)
+    merged = _roots(_one_of_each(base, classes), classes, counts, n, num, den)
     member = classes.join(merged, classes["rep"] == merged["node"], "left").select("f1", "f2", F.col("n_shingles").alias("m"), F.coalesce("root", "rep").alias("root"), "least")
     member = cut(member)
     # keys of rows without an id are no ids: of each component the smallest real id, if it has one
@@ -231,8 +230,8 @@ def _one_of_each(base: DataFrame, classes: DataFrame) -> DataFrame:
     return base.where("named").select("doc_id", "text").unionByName(nameless)
 
 
-def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between class representatives that hold the same components as all links."""
+def _roots(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the class representatives that links join."""
     spark = base.sparkSession
 
     @tidy
@@ -302,12 +301,8 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
     x, y = (shape.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     tried = held(tried.join(x, "a").join(y, "b").mapInArrow(near_sketches(num, den), "a long, b long, w long"))
     sets = _sets(base, tried, n)
-    # each set first meets the hub with which it shares most
-    best = tried.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "a"))).where("r = 1").select("a", "b")
-    links = held(verify(sets, best, num, den))
+    links = held(verify(sets, tried.select("a", "b"), num, den))
     roots = connect(links)
-    rest = _apart(tried.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    links = held(links.unionByName(verify(sets, rest, num, den)))
     # Runs whose members are still of several components: every pair across them whose sketches allow it and that has not
     # met yet. Sets that are near without a link share many runs, so they meet by the first few signatures of each set
     # (by a hash, the same order for all), and then, in what is left, by all.
@@ -316,12 +311,14 @@ def _links(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
     few = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIRST_RUNS).select("sig", "id")
     met = tried.select("a", "b")
     for some in (few, members):
-        roots = connect(links)
         found = held(_across(some, roots, shape, _apart(met, roots), num, den))
         if found.take(1):
-            links = held(links.unionByName(verify(_sets(base, found, n), found, num, den)))
             met = met.unionByName(found)
-    return links
+            new = held(verify(_sets(base, found, n), found, num, den))
+            if new.take(1):
+                links = links.unionByName(new)
+                roots = connect(links)
+    return roots
 
 
 def _across(members: DataFrame, roots: DataFrame, shape: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
