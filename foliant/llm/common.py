@@ -62,6 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage, whereupon Spark deletes the shuffle files of frames that are held since."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a held frame that one task reads.
 HELD_ROWS = 100_000
 

@@ -8,16 +8,19 @@ of the run's other groups. Lines that meet are linked if their edit similarity,
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .ngramjoin import connect
 
 DISTANCE, SIMILARITY = 3, (4, 5)
+#: Parts of the largest distance allowed that are tried in turn.
+BANDS = (16, 1)
 #: Lines under test are first found by a broadcast bitmap of at most so many words of 64 bits.
 BITMAP_WORDS = 1 << 18
 #: Words whose bits one sum of 8-bit lanes can count, with room for the comparison.
@@ -91,7 +94,7 @@ def _near(a: str, b: str) -> Column:
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, norm) of all lines that hold a letter or digit."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,6 +118,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = signed.withColumn("hub", F.min(F.struct("id", "len", "sim")).over(run)).withColumn("n", F.count("*").over(run)).where("n > 1")
     met = met.select("key", F.struct("id", "len", "sim").alias("x"), "hub")
     met = cut(met.withColumn("ok", _near("x", "hub")))
+    release(docs.sparkSession)
     star = met.where("ok and x.id <> hub.id").select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct()
     x, y = met.select("key", "x", F.col("ok").alias("xo")), met.select("key", F.col("x").alias("y"), F.col("ok").alias("yo"))
     odd = x.where("not xo").join(y, "key").where((F.col("x.id") < F.col("y.id")) | F.col("yo")).where((F.col("x.id") != F.col("y.id")) & _near("x", "y"))
@@ -122,7 +126,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = cut(star)
     ids = cut(star.union(others).select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = _texts(found, ids)
-    roots = connect(cut(_linked(star, texts)))
+    release(docs.sparkSession)
+    linked = cut(_linked(star, texts))
+    roots = connect(linked)
     # members that both came near their run's first, yet are apart: the edit similarity to it was too small
     who = roots.withColumnsRenamed({"node": "id", "root": "root"})
     near = met.where("ok").select("key", "x", F.col("x.id").alias("id")).join(who, "id", "left").select("key", "x", F.coalesce("root", "id").alias("r"))
@@ -131,8 +137,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     u, v = near.select("key", "x", F.col("r").alias("rx")), near.select("key", F.col("x").alias("y"), F.col("r").alias("ry"))
     apart = u.join(v, "key").where((F.col("rx") < F.col("ry")) & _near("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = apart.unionByName(others).distinct().join(star, ["a", "b"], "left_anti")
-    links = _linked(star, texts).unionByName(_linked(rest, texts))
-    roots = connect(cut(links))
+    roots = connect(cut(linked.unionByName(_linked(rest, texts))))
+    release(docs.sparkSession)
     named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "c", "first", F.coalesce("root", "id").alias("root"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keeper"), F.count("*").alias("kinds"))
     named = named.join(keepers, "root").select(F.col("id").alias("i"), F.col("c").alias("d"), "keeper")
@@ -147,14 +153,47 @@ def _texts(found: DataFrame, ids: DataFrame) -> DataFrame:
     bits = ids.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(one).alias("v"))
     lines = found.select(F.xxhash64("norm").alias("id"), "norm").withColumn("w", F.floor(slot / 64))
     maybe = lines.join(F.broadcast(bits), "w").where(F.col("v").bitwiseAND(one) != 0)  # at most BITMAP_WORDS rows
-    return cut(maybe.select("id", "norm").join(ids, "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm")))
+    # one of each first, which is counted where it is read: a frequent line doesn't fill a task. A left_semi join here would go before the bitmap
+    return cut(maybe.groupBy("id").agg(F.min("norm").alias("norm")).join(ids, "id"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose distance is at most a fifth of the longer line."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    joined = joined.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int"))
-    return joined.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+    longest = F.greatest(F.length("x"), F.length("y"))
+    most = F.floor(longest * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int")
+    return joined.where(_within(F.col("x"), F.col("y"), most)).select("a", "b")
+
+
+def _shared(x: Column, y: Column) -> Column:
+    """Characters that both begin with, found by halving."""
+
+    def grown(n: Column, k: Column, short: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        same = (n + step <= short) & (F.substring(x, n + 1, step) == F.substring(y, n + 1, step))
+        return F.when(same, n + step).otherwise(n)
+
+    def find(short: Column) -> Column:
+        steps = F.sequence(F.floor(F.log2(F.greatest(short, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+        return F.aggregate(steps, F.lit(0), lambda n, k: grown(n, k, short))
+
+    return _let(F.least(F.length(x), F.length(y)), find)
+
+
+def _within(x: Column, y: Column, most: Column) -> Column:
+    """Whether the edit distance is at most `most`; only what lies between the strings' shared ends is compared."""
+
+    def trimmed(p: Column, then) -> Column:  # reversed, so that the other end comes next
+        def tail(s: Column) -> Column:
+            return F.reverse(F.substring(s, _shared(p["x"], p["y"]) + 1, F.length(s)))
+
+        return _let(F.struct(tail(p["x"]).alias("x"), tail(p["y"]).alias("y")), then)
+
+    def near(p: Column) -> Column:
+        tries = [F.call_function("levenshtein", p["x"], p["y"], F.floor(most / part).cast("int")) >= 0 for part in BANDS]
+        return functools.reduce(Column.__or__, tries)
+
+    return _let(F.struct(x.alias("x"), y.alias("y")), lambda p: trimmed(p, lambda q: trimmed(q, near)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -229,6 +229,32 @@ def test_line_simhash(spark):
         assert r.s & (1 << 64) - 1 == want
 
 
+def test_line_distance(spark):
+    rng = random.Random(3)
+    rows = [("", "", 0), ("", "a", 0), ("same", "same", 0), ("abc" * 400, "abc" * 200 + "x" + "abc" * 200, 1)]
+    for _ in range(400):
+        x = "".join(rng.choice("abé 中") for _ in range(rng.randrange(60)))
+        y = list(x)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(3)] = rng.choice(["", "a", "bé"])
+        rows.append((x, "".join(y), rng.randrange(10)))
+    got = spark.createDataFrame(rows, "x string, y string, m int").select("x", "y", "m", lines._within(F.col("x"), F.col("y"), F.col("m")).alias("near")).collect()
+
+    def distance(x, y):
+        last = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            row = [i + 1]
+            for j, b in enumerate(y):
+                row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (a != b)))
+            last = row
+        return last[-1]
+
+    assert len({r.near for r in got}) == 2
+    for r in got:
+        assert r.near == (distance(r.x, r.y) <= r.m), r
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu {0}</a></li></ul></nav><!-- ad --><div class="ad">Buy {0}</div><article><h1>Head {0} &amp; all</h1><p><b>Bold{0}</b>ly &lt;b&gt;<br>next<p>More  text {0}</p><div class="comments">no</div><form><p>f</p></form></article><footer>&copy; x</footer></body></html>'
 
 
