@@ -11,6 +11,8 @@ from foliant.llm.queries import END_ID, tokenizer_path
 
 #: A document stays if it has a language and the prediction is at least this sure of it.
 LEAST_SCORE = 0.5
+#: Tasks that a group of near duplicates is dealt to.
+SHARES = 16
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngramjoin.components(keyed, n=5, threshold=(4, 5), id_col="__k").where("n_shingles > 0")
     found = found.groupBy(F.col("doc_id").alias("__k")).agg(F.first("component_id").alias("c"), F.count("*").alias("copies"))
     named = cut(found.join(keyed.select("__k", "doc_id").distinct(), "__k"))
-    keep = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k"))["__k"].alias("keep"))
-    lost = named.join(keep, "c").where("__k <> keep").select("__k")
+    keep = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k"))["__k"].alias("keep"), F.count("*").alias("n")).where("n > 1")
+    # a group's rows are dealt to SHARES tasks, each of which gets the row that stays
+    keep = keep.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).select("c", "share", "keep")
+    dealt = named.withColumn("share", F.pmod(F.xxhash64("__k", F.lit("share")), F.lit(SHARES)).cast("int"))
+    lost = dealt.join(keep, ["c", "share"]).where("__k <> keep").select("__k")
     repeated = named.where("copies > 1").select("__k").join(lost, "__k", "left_anti")
     gone = cut(lost.withColumn("lost", F.lit(True)).unionByName(repeated.withColumn("lost", F.lit(False))))
     one = keyed.join(gone.where("not lost"), "__k", "left_semi").groupBy("__k").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
