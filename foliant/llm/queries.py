@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, lines, mixing, ngramjoin, suffix, tokens, topk, warc
+from . import convtrie, decontam, htmlmain, langid, lines, mixing, ngramjoin, suffix, tokens, topk, warc
 from .common import table
 
 END_ID = 1
@@ -68,8 +68,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = convtrie.end_digests(convtrie.conversation_trie(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_warc_derivatives, op4_suffix_dedup, op5_decontamination, op6_line_dedup, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_warc_derivatives, op4_suffix_dedup, op5_decontamination, op6_line_dedup, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join, op11_conversation_trie)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +118,23 @@ _SQL = {
         e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
         c(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.reached = e.a)
         SELECT c.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",
+    "op11_conversation_trie": r"""
+        WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        bits(n, x) AS (SELECT 0, range(256) UNION ALL SELECT n + 1, list_transform(x, lambda v: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) FROM bits WHERE n < 8),
+        c AS (SELECT c.conv_id, c.conv_id - c.conv_id % 20 AS base, list_reduce(list_prepend(4294967295, list_transform(string_split(c.conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: xor(a >> 8, l.x[(xor(a, b) & 255) + 1])) AS crc FROM (SELECT DISTINCT conv_id FROM t) c, (SELECT x FROM bits WHERE n = 8) l),
+        h AS (SELECT conv_id, base, xor(crc, 4294967295) % 4 AS h FROM c),
+        b AS (SELECT h.conv_id, 0 AS own, t.i, r, x FROM h JOIN t ON t.conv_id = h.base AND t.i <= h.h UNION ALL SELECT h.conv_id, 1, t.i, r, x FROM h JOIN t ON t.conv_id = h.conv_id AND t.i > h.h),
+        p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(r) || md5(x), '/') OVER (w ROWS UNBOUNDED PRECEDING) AS k, CAST(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)
+              UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+        z AS (SELECT conv_id, max(depth) AS z FROM p GROUP BY conv_id),
+        n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM p GROUP BY depth, k),
+        e AS (SELECT depth, k, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ids FROM p JOIN z USING (conv_id) WHERE depth = z GROUP BY depth, k),
+        up AS (SELECT n.depth, n.k, u.depth AS pd, u.k AS pk FROM n JOIN p u ON u.conv_id = n.conv_id AND u.depth <= n.depth),
+        kids AS (SELECT pd AS depth, pk AS k, count(*) AS c FROM up WHERE depth = pd + 1 GROUP BY pd, pk),
+        sums AS (SELECT pd, pk, count(*) FILTER (WHERE kids.c IS NULL) AS leaves, sum((n.n - 1) * n.words) AS saved FROM up JOIN n USING (depth, k) LEFT JOIN kids USING (depth, k) GROUP BY pd, pk)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids.c, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN sums ON pd = n.depth AND pk = n.k LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k LEFT JOIN e ON e.depth = n.depth AND e.k = n.k
+        LEFT JOIN up u ON u.depth = n.depth AND u.k = n.k AND u.pd = n.depth - 1 LEFT JOIN n q ON q.depth = u.pd AND q.k = u.pk""",
 }
 
 
