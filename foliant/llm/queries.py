@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convtrie, decontam, divergence, htmlmain, langid, lines, mixing, ngramjoin, suffix, tokens, topk, warc
+from . import convtrie, decontam, divergence, htmlmain, langid, lines, mixing, ngramjoin, suffix, tokens, topk, toxicity, warc
 from .common import table
 
 END_ID = 1
@@ -73,12 +73,20 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("of"), "toxic")
+    model = toxicity.fit(docs.where(~toxicity.held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("of")).select("text", "toxic"))
+    found = toxicity.score(docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_warc_derivatives, op4_suffix_dedup, op5_decontamination, op6_line_dedup, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join, op11_conversation_trie, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_token_output, op2_language_id, op3_warc_derivatives, op4_suffix_dedup, op5_decontamination, op6_line_dedup, op7_main_text, op8_top_k, op9_mixing, op10_ngram_join, op11_conversation_trie, op12_toxicity, op13_source_divergence)}
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
