@@ -69,7 +69,7 @@ def _family(members: pa.Table, heads: pa.Table) -> pa.Table:
     order = np.lexsort((h2, h1, turn, first, conv))
     conv, h1, h2, n_words, h = conv[order], h1[order], h2[order], n_words[order], h[order]
     at = np.argsort(_long(heads, "idx"))
-    b1, b2, bw = (_long(heads, c)[at] for c in ("h1", "h2", "words"))
+    b1, b2, bw = (_long(heads, c)[at] for c in ("b1", "b2", "bw"))
     edge = np.flatnonzero(np.concatenate([[True], conv[1:] != conv[:-1], [True]]))
     path = []
     for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -107,7 +107,7 @@ def _long_nodes(turns: DataFrame, heads: DataFrame) -> DataFrame:
     """Nodes of conversations too long for one group, a row for each turn and one for the root, as _family gives them."""
     own = _numbered(turns).where("idx > h").select("conv_id", "base", "h", "idx", "part", "h1", "h2", "words")
     ids = cut(turns.select("conv_id", "base", "h").distinct())
-    given = ids.join(heads.withColumnRenamed("base", "of"), (F.col("base") == F.col("of")) & (F.col("idx") <= F.col("h"))).select("conv_id", "base", "h", "idx", "h1", "h2", "words")
+    given = ids.join(heads, (F.col("base") == F.col("of")) & (F.col("idx") <= F.col("h"))).select("conv_id", "idx", F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("bw").alias("words"))
     taken = ids.join(given.groupBy("conv_id").agg(F.count("*").alias("taken")), "conv_id", "left").select("conv_id", F.coalesce("taken", F.lit(0)).alias("taken"))
     placed = own.join(taken, "conv_id").withColumn("pos", F.col("idx") - F.col("h") + F.col("taken"))
     root = ids.select("conv_id", F.lit(0).cast("long").alias("pos"), F.lit(-1).alias("part"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("words"))
@@ -144,11 +144,11 @@ def family_nodes(convs: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     turns = turns.withColumn("base", F.col("conv_id") - F.col("conv_id") % FAMILY).withColumn("h", own_turns(F.col("conv_id")))
     # Spark keeps only HEADS - 1 rows of a conversation before this shuffle
     start = W.partitionBy("conv_id").orderBy("first", "turn", "h1", "h2")
-    heads = turns.where("conv_id = base").withColumn("idx", F.row_number().over(start).cast("long")).where(F.col("idx") < HEADS).select("base", "idx", "h1", "h2", "words")
+    heads = turns.where("conv_id = base").withColumn("idx", F.row_number().over(start).cast("long")).where(F.col("idx") < HEADS).select(F.col("base").alias("of"), "idx", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("bw"))
     far = cut(turns.groupBy("conv_id").count().where(F.col("count") > long).select("conv_id"))
     some = not far.isEmpty()
     near = turns.join(far, "conv_id", "left_anti") if some else turns
-    nodes = near.groupBy("base").cogroup(heads.groupBy("base")).applyInArrow(lambda m, b: _family(m, b) if m.num_rows else _nothing(), _NODES)
+    nodes = near.groupBy("base").cogroup(heads.groupBy("of")).applyInArrow(lambda m, b: _family(m, b) if m.num_rows else _nothing(), _NODES)
     return nodes.unionByName(_long_nodes(turns.join(far, "conv_id", "left_semi"), heads)) if some else nodes
 
 

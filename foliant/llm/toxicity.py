@@ -34,7 +34,7 @@ FIT_ROWS = 20_000
 WINDOW = 4
 #: Bytes of the word beginnings that are learned.
 STEMS = (4, 5, 6, 7)
-#: A learned word needs this many different neighbourhoods in toxic texts (a beginning, different words), and this much evidence (G squared).
+#: A learned word needs this many different neighbours in toxic texts (a beginning, different words), and this much evidence (G squared).
 LEAST_PLACES, LEAST_EVIDENCE = 3, 30.0
 
 OTHER, BREAK, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(8)
@@ -54,7 +54,7 @@ SEED_WEIGHT = 2.0
 PRIOR_BIAS, PRIOR = -3.0, {INSULT: 1.0, THREAT: 0.4}
 _MARKS = {REPORTED: 0.3, NEGATED: 0.3, TARGETED: 1.5, WHOLE: 3.0}
 #: How firmly labels must speak against the weights' priors.
-RIDGE = 1.0
+RIDGE = 0.1
 
 _ROLL = Rolling(13)
 
@@ -333,7 +333,10 @@ def _document_counts(rows: DataFrame, only: np.ndarray | None = None) -> DataFra
 
 
 def _places(rows: DataFrame, only: np.ndarray) -> DataFrame:
-    """(key, size, n): different pairs of neighbours of each word, different words of each beginning; copies count once."""
+    """(key, size, places, words, texts): different neighbours, words and texts of each word or beginning; near copies of a text count once.
+
+    A text is known by the least of its words' scrambled keys, which copies with a few changes nearly always share.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
     @tidy
@@ -341,14 +344,15 @@ def _places(rows: DataFrame, only: np.ndarray) -> DataFrame:
         for w, at, keys, sizes in _each_key(batches, 0):
             word = w.keys()
             before, after = np.roll(word, 1), np.roll(word, -1)
-            if len(word):
-                before[0] = after[-1] = 0
+            least = np.full(int(w.doc[-1]) + 1 if len(word) else 0, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, w.doc, mix(word))
             known = _found(keys, shared.value) >= 0
             at, keys, sizes = at[known], keys[known], sizes[known]
-            place = np.where(sizes == 0, mix(before[at] ^ mix(after[at])), word[at])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes), pa.array(place.view(np.int64))], ["key", "size", "place"])
+            columns = [keys, mix(before[at] ^ mix(after[at])), word[at], least[w.doc[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes), *[pa.array(c.view(np.int64)) for c in columns]], ["size", "key", "place", "word", "text"])
 
-    return rows.select("text").mapInArrow(run, "key long, size long, place long").distinct().groupBy("key", "size").agg(F.count("*").alias("n"))
+    found = rows.select("text").mapInArrow(run, "size long, key long, place long, word long, text long")
+    return found.groupBy("key", "size").agg(F.count_distinct("place").alias("places"), F.count_distinct("word").alias("words"), F.count_distinct("text").alias("texts"))
 
 
 def _evidence(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
@@ -385,13 +389,15 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_r
     keep = _evidence(t, c, n_toxic, n_clean) >= LEAST_EVIDENCE
     keys, t, c = keys[keep], t[keep], c[keep]
     places = _places(toxic, keys).toPandas()
-    n, size = np.zeros(len(keys)), np.zeros(len(keys), int)
     found = _found(places["key"].to_numpy().view(np.uint64), keys)
-    n[found], size[found] = places["n"].to_numpy(), places["size"].to_numpy()
-    # copies of a text don't make a word more telling; a beginning stands for several words
-    t_own = np.where(size == 0, np.minimum(t, n), t)
-    keep = (n >= LEAST_PLACES) & (_evidence(t_own, c, n_toxic, n_clean) >= LEAST_EVIDENCE)
-    odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
+    size, varied, own = np.zeros(len(keys), int), np.zeros(len(keys)), np.zeros(len(keys))
+    size[found] = places["size"].to_numpy()
+    # copies of a text or of a passage don't make a word more telling; a beginning stands for several words
+    own[found] = places[["places", "texts"]].min(axis=1).to_numpy()
+    varied[found] = np.where(places["size"] == 0, places["places"], places["words"])
+    own = np.minimum(t, own)
+    keep = (varied >= LEAST_PLACES) & (_evidence(own, c, n_toxic, n_clean) >= LEAST_EVIDENCE)
+    odds = np.log((own + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
     learned = {k: float(o) for k, o, ok in zip(keys.tolist(), odds, keep, strict=True) if ok and o > 1}
     model = _model(learned, tuple(s for s in STEMS if (size[keep] == s).any()))
 
