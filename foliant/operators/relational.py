@@ -96,28 +96,6 @@ def resolve_levels(items: DataFrame, levels: DataFrame, overrides: DataFrame, by
     return joined.withColumn("start_at", F.coalesce(F.col("__o.start_at"), F.col("__start"), F.col("start_at"))).drop("__last", "__k", "__start", "__o")
 
 
-def style_chains(styles: DataFrame, by: str = "doc_id", most: int = 64) -> DataFrame:
-    """(doc, name, depth, ancestor): each style with its base styles, nearest first; a cycle ends at the style seen before.
-
-    A document's styles are gathered in one map, along which each of them walks: one shuffle, no recursion.
-    """
-    one = first_wins(styles, [by, "name"], "ord").select(F.col(by), "name", F.nullif("base_style_name", F.lit("")).alias("base"))
-    bases = one.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("name", "base"))).alias("bases"))
-    walk = lambda seen, _: F.when(next_of(seen).isNull() | ~F.map_contains_key("bases", F.coalesce(next_of(seen), F.lit(""))) | F.array_contains(seen, next_of(seen)), seen).otherwise(F.array_append(seen, next_of(seen)))
-    next_of = lambda seen: F.element_at("bases", F.element_at(seen, -1))
-    chains = bases.select(by, "bases", F.explode(F.map_keys("bases")).alias("name"))
-    chains = chains.withColumn("chain", F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array("name"), walk))
-    return chains.select(by, "name", F.posexplode("chain").alias("depth", "ancestor"))
-
-
-def cascade(styles: DataFrame, chains: DataFrame, fields: list[str], by: str = "doc_id") -> DataFrame:
-    """Each style's fields, those it leaves null taken from its nearest base style that has them."""
-    own = styles.select(F.col(by), F.col("name").alias("ancestor"), *fields)
-    joined = chains.join(own, [by, "ancestor"])
-    nearest = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("depth"))).alias(f) for f in fields]
-    return joined.groupBy(by, "name").agg(*nearest)
-
-
 def overlapping(left: DataFrame, right: DataFrame, by: str = "doc_id", width: int = 4096) -> DataFrame:
     """Pairs of half-open intervals [cp_start, cp_end) of one document that overlap.
 

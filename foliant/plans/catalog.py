@@ -11,6 +11,7 @@ from foliant.functions import formats as fmt
 from foliant.functions import styles as st
 from foliant.functions import text as tx
 from foliant.operators import relational as rel
+from foliant.plans import structure
 from foliant.sources import documents as src
 
 
@@ -177,21 +178,6 @@ def join_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.joined_blocks(b)
 
 
-def _style_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as styles: each is based on the one of half its number, within its nation's document."""
-    s = _t(spark, sf_dir, "supplier")
-    return s.select(F.lit(1).cast("long").alias("doc_id"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), F.when(F.col("s_suppkey") > 1, F.concat(F.lit("S"), F.floor(F.col("s_suppkey") / 2).cast("string"))).alias("base_style_name"), F.when(F.col("s_suppkey") % 3 == 1, F.col("s_suppkey") * 2).alias("size"))
-
-
-def style_chain_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.style_chains(_style_rows(spark, sf_dir)).select("name", F.col("depth").cast("long").alias("depth"), "ancestor")
-
-
-def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _style_rows(spark, sf_dir)
-    return rel.cascade(s, rel.style_chains(s), ["size"]).select("name", F.coalesce("size", F.lit(-1)).cast("long").alias("size"))
-
-
 def run_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as runs: those of one return flag that follow each other merge."""
     li = _t(spark, sf_dir, "lineitem")
@@ -364,8 +350,6 @@ _SQL = {
         WITH b AS (SELECT conv_id AS doc_id, turn AS ord, min({'tag': CASE WHEN turn = 0 THEN 'heading' WHEN role = 'user' THEN 'quote' ELSE 'block' END, 'text': role || ':' || length(text)::VARCHAR}) AS s FROM conversations GROUP BY 1, 2),
         l AS (SELECT doc_id, ord, s.tag AS tag, s.text AS text, lag(s.tag) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM b)
         SELECT doc_id, string_agg(CASE WHEN prev IS NULL THEN '' WHEN tag = 'heading' OR prev = 'heading' THEN chr(10) WHEN tag = 'quote' AND prev = 'quote' THEN chr(10) || '>' || chr(10) ELSE chr(10) || chr(10) END || text, '' ORDER BY ord) || chr(10) AS text FROM l GROUP BY doc_id""",
-    "style_chain_recursive": "WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier), c(name, depth, k) AS (SELECT 'S' || k, 0, k FROM s UNION ALL SELECT name, depth + 1, k // 2 FROM c WHERE k // 2 >= 1 AND k // 2 IN (SELECT k FROM s)) SELECT name, CAST(depth AS BIGINT) AS depth, 'S' || k AS ancestor FROM c",
-    "style_cascade": "WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier), c(name, depth, k) AS (SELECT 'S' || k, 0, k FROM s UNION ALL SELECT name, depth + 1, k // 2 FROM c WHERE k // 2 >= 1 AND k // 2 IN (SELECT k FROM s)) SELECT name, CAST(coalesce(arg_min(CASE WHEN k % 3 = 1 THEN 2 * k END, depth) FILTER (WHERE k % 3 = 1), -1) AS BIGINT) AS size FROM c GROUP BY name",
     "run_merge_islands": "WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2), m AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER (PARTITION BY doc_id ORDER BY ord) THEN 1 ELSE 0 END AS c FROM r), i AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM m) SELECT doc_id, CAST(run AS BIGINT) AS run, flag, string_agg(ord::VARCHAR || ';', '' ORDER BY ord) AS text FROM i GROUP BY doc_id, run, flag",
     "visible_runs": "WITH i AS (SELECT user_id % 50 AS doc_id, event_id AS ord, CASE event_id % 7 WHEN 1 THEN 1 WHEN 3 THEN -1 WHEN 5 THEN -1 ELSE 0 END AS d, event_id % 7 IN (1, 3, 5) AS f FROM events), s AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY ord) AS s FROM i), t AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY ord)) AS depth FROM s) SELECT doc_id, count(*) AS n, min(ord) AS first FROM t WHERE NOT f AND depth = 0 GROUP BY doc_id",
     "interval_overlap_join": "SELECT l.p_partkey % 5 AS doc_id, l.p_partkey AS l_id, r.p_partkey AS r_id FROM part l JOIN part r ON l.p_partkey % 5 = r.p_partkey % 5 AND l.p_partkey * 10 < r.p_partkey * 9 + 25 AND r.p_partkey * 9 < l.p_partkey * 10 + l.p_size WHERE l.p_size > 0",
@@ -383,9 +367,9 @@ _SQL["md_to_docx_roundtrip"] = _SQL["md_headings_from_nations"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (text_stats_by_lang, text_paragraphs, get_text, line_block_kinds, detect_format, escape_markdown, xml_escape, safe_text_latin1, html_blocks_from_pages, md_headings_from_nations, md_emphasis_runs, md_list_items, md_table_cells_orders, md_to_docx_roundtrip, text_to_pdf, pipe_table_render, html_table_render, list_labels_running, list_labels_roman, join_blocks, style_chain_recursive, style_cascade, run_merge_islands, visible_runs, interval_overlap_join, image_intern_dedupe, md_repeated_links_having, color_parse, unit_conversions, tab_stop_asof, style_names_parsed, list_items_formatted, conditional_masks, corpus_block_cube, md_constructs, md_inline_marks, md_roundtrip_text)
-    return {f.__name__: f for f in found}
+    found = (text_stats_by_lang, text_paragraphs, get_text, line_block_kinds, detect_format, escape_markdown, xml_escape, safe_text_latin1, html_blocks_from_pages, md_headings_from_nations, md_emphasis_runs, md_list_items, md_table_cells_orders, md_to_docx_roundtrip, text_to_pdf, pipe_table_render, html_table_render, list_labels_running, list_labels_roman, join_blocks, run_merge_islands, visible_runs, interval_overlap_join, image_intern_dedupe, md_repeated_links_having, color_parse, unit_conversions, tab_stop_asof, style_names_parsed, list_items_formatted, conditional_masks, corpus_block_cube, md_constructs, md_inline_marks, md_roundtrip_text)
+    return {f.__name__: f for f in found} | structure.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | structure.oracle_sql()

@@ -193,15 +193,12 @@ def test_text_functions(spark):
     assert row("  x\n    y", text.wrap_leading_blanks) == "`  `x\n    y"
 
 
-def test_list_levels_and_chains(spark):
+def test_list_levels_and_references(spark):
     items = spark.createDataFrame([(1, 5, 0), (1, 5, 3)], "doc_id long, list_id int, level int")
     levels = spark.createDataFrame([(1, 5, 0, 0, "%1.", 1), (1, 5, 1, 2, "%2)", 4)], "doc_id long, list_id int, level int, number_style int, number_format string, start_at int")
     over = spark.createDataFrame([(1, 5, 3, 9, None)], "doc_id long, list_id int, ilvl int, start_at int, level_override struct<number_style:int,number_format:string,start_at:int>")
     got = {r.level: (r.number_style, r.number_format, r.start_at) for r in rel.resolve_levels(items, levels, over).collect()}
     assert got == {0: (0, "%1.", 1), 3: (2, "%2)", 9)}
-    styles = spark.createDataFrame([(1, 0, "a", "b"), (1, 1, "b", "a"), (1, 2, "c", "b")], "doc_id long, ord int, name string, base_style_name string")
-    chains = {(r.name, r.depth): r.ancestor for r in rel.style_chains(styles).collect()}
-    assert chains == {("a", 0): "a", ("a", 1): "b", ("b", 0): "b", ("b", 1): "a", ("c", 0): "c", ("c", 1): "b", ("c", 2): "a"}
     refs = rel.resolve_references(spark.createDataFrame([(1, "x  Y"), (1, "z")], "doc_id long, label string"), spark.createDataFrame([(1, 0, "X y", "u", ""), (1, 1, "x y", "v", "")], "doc_id long, ord int, label string, uri string, title string"))
     assert {r.label: r.uri for r in refs.collect()} == {"x  Y": "u", "z": None}
 
