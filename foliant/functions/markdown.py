@@ -8,6 +8,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from .model import Cell, Document, Font, Inline, ListLevel, Paragraph, Table
+from .text import BLOCK_TAG
 
 _FENCE = re.compile(r"^( {0,3})(`{3,}(?=[^`]*$)|~{3,})[ \t]*(.*?)[ \t]*$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -538,7 +539,7 @@ class Builder:
                 rows = [[Cell([self.fill(Paragraph(alignment=a), c)], a) for c, a in zip(r, b.align, strict=False)] for r in b.rows]
                 into.append(Table(rows))
             elif b.kind == "html":
-                for t in re.split(r"(?i)</?(?:p|div|table|tr|td|th|h[1-6]|br)\s*/?>", b.text):
+                for t in re.split(BLOCK_TAG, b.text):
                     t = html.unescape(re.sub("<[^>]+>", "", t)).strip()
                     if t:
                         p = Paragraph(style, **base)

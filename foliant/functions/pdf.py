@@ -19,16 +19,25 @@ _PLAIN = str.maketrans(LATIN1)
 
 
 def latin1(text: str) -> str:
+    if text.isascii() and text.isprintable():
+        return text
     return re.sub(r"[^\x20-\xFF]", "?", text.replace("\t", "    ").translate(_PLAIN))
 
 
-def _width(c: str) -> float:
+class _Widths(dict):
     """Rough widths of the sans font, in ems."""
-    return 0.28 if c in "ijltfI.,:;'|!() " else 0.83 if c in "mwMW@%" else 0.67 if c.isupper() else 0.56
+
+    def __missing__(self, c: str) -> float:
+        self[c] = 0.28 if c in "ijltfI.,:;'|!() " else 0.83 if c in "mwMW@%" else 0.67 if c.isupper() else 0.56
+        return self[c]
+
+
+_WIDTHS = _Widths()
 
 
 def _string(text: str) -> bytes:
-    return b"(" + re.sub(rb"([\\()])", rb"\\\1", latin1(text).encode("latin-1")) + b")"
+    data = latin1(text).encode("latin-1")
+    return b"(" + (re.sub(rb"([\\()])", rb"\\\1", data) if re.search(rb"[\\()]", data) else data) + b")"
 
 
 class PdfWriter:
@@ -85,16 +94,20 @@ class PdfWriter:
         line, x = [], left
         lines = [line]
         for w, font, uri in words:
-            width = size * (0.6 * len(w) if font == 4 else sum(map(_width, w)))
+            width = size * (0.6 * len(w) if font == 4 else sum(map(_WIDTHS.__getitem__, w)))
             if w == "\n" or (x + width > right and line and not w.isspace()):
                 line, x = [], left
                 lines.append(line)
                 if w == "\n":
                     continue
-            line.append((x, w, font, uri, width))
+            if line and line[-1][2:4] == [font, uri]:  # neighbours of one font and target are written at once
+                line[-1][1] += w
+                line[-1][4] += width
+            else:
+                line.append([x, w, font, uri, width])
             x += width
+        step = size * LEADING
         for line in lines:
-            step = size * LEADING
             if self.y - step < MARGIN:
                 self.new_page()
             self.y -= step

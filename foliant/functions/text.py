@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
+NOT_BREAK = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; the break at the very end opens no further line, and empty text has none."""
-    parts = F.split(text, LINE_BREAK, -1)
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+    last = F.right(text, F.lit(1))
+    end = F.when(text.endswith("\r\n"), 2).when(last.rlike(LINE_BREAK), 1).otherwise(0)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.left(text, F.length(text) - end), LINE_BREAK, -1))
 
 
 def strip(text: Column) -> Column:
@@ -47,17 +53,25 @@ def xml_escape(text: Column, attribute: bool = False) -> Column:
 
 
 def html_unescape(text: Column) -> Column:
-    """The references that occur in practice; & comes last so that nothing is decoded twice."""
-    out = text
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """All character references, named and numeric, decoded once as browsers do, with or without a semicolon; by whole batches."""
+
+    def decode(batch: pd.Series) -> pd.Series:
+        return batch.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decode, StringType())(text)
+
+
+# Fixed value: the tags that end a block, with no attributes.
+BLOCK_TAG = r"(?i)</?(?:p|div|table|tr|td|th|h[1-6]|br)\s*/?>"
+#: Parts blocks while references are decoded; no reference stands for it, and in a page it counts as a replacement character.
+_BETWEEN = "\0"
 
 
-def html_blocks(html: Column) -> Column:
+def html_blocks(page: Column) -> Column:
     """Text blocks of a fragment: bare block tags split it, other tags go, blank blocks are dropped."""
-    parts = F.split(html, r"(?i)</?(?:p|div|table|tr|td|th|h[1-6]|br)\s*/?>", -1)
-    return F.filter(F.transform(parts, lambda x: strip(html_unescape(F.regexp_replace(x, "<[^>]+>", "")))), lambda x: x != "")
+    parts = F.split(F.replace(page, F.lit(_BETWEEN), F.lit("\ufffd")), BLOCK_TAG, -1)
+    bare = F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, "<[^>]+>", "")), _BETWEEN)
+    return F.filter(F.transform(F.split(html_unescape(bare), _BETWEEN, -1), strip), lambda x: x != "")
 
 
 def escape_emphasis(text: Column) -> Column:

@@ -40,8 +40,8 @@ def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def get_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of all documents with a paragraph that is not empty; each within its row."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.filter(tx.split_lines(F.col("text")), lambda x: x != "").alias("l"))
-    return d.where(F.size("l") > 0).select("doc_id", F.array_join("l", "\n").alias("text"))
+    d = _t(spark, sf_dir, "documents").where(F.col("text").rlike(tx.NOT_BREAK))
+    return d.select("doc_id", F.array_join(F.filter(tx.split_lines(F.col("text")), lambda x: x != ""), "\n").alias("text"))
 
 
 def line_block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,13 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.text_documents(g, "markdown")
 
 
+def html_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with references of all kinds, decoded once."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("&eacute;&#233;&#xE9;&hellip;&amp;lt;&notit;&#8217;&unknown; "), k, F.lit("&#"), (64 + F.col("p_partkey") % 26).cast("string"), F.lit(";&lt;&#38;#65;&nbsp;&"))
+    return _t(spark, sf_dir, "part").select("p_partkey", tx.html_unescape(text).alias("text"))
+
+
 def md_headings_from_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = src.paragraphs(_nations(spark, sf_dir))
     return rel.headings(p, 2).select("doc_id", F.col("outline_level").cast("long").alias("level"), "text")
@@ -328,8 +335,9 @@ _SQL = {
     "xml_escape": r"""SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS xml FROM pages""",
     "safe_text_latin1": "SELECT doc_id, regexp_replace(replace(text, chr(160), ' '), '[^\\x00-\\x{FF}]', '?', 'g') || '??" + SPELT.replace("'", "''") + "' AS text FROM documents",
     "html_blocks_from_pages": r"""
-        WITH b AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(html, '(?i)</?(?:p|div|table|tr|td|th|h[1-6]|br)\s*/?>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM pages)
+        WITH b AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(html, '(?i)</?(?:p|div|table|tr|td|th|h[1-6]|br)\s*/?>'), lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', '''', 'g'), '&apos;', '''', 'g'), '&nbsp;?', chr(160), 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM pages)
         SELECT page_id, CAST(unnest(range(len(l))) AS BIGINT) AS ord, unnest(l) AS text FROM b""",
+    "html_references": "SELECT p_partkey, 'éé\u00e9…&lt;¬it;\u2019&unknown; ' || p_partkey || chr(CAST(64 + p_partkey % 26 AS INT)) || '<&#65;' || chr(160) || '&' AS text FROM part",
     "md_headings_from_nations": "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS level, r_name AS text FROM region UNION ALL SELECT n_regionkey, 1, n_name FROM nation",
     "md_emphasis_runs": "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, count(*) AS n_bold, CAST(sum(length(n_name)) AS BIGINT) AS n_chars FROM nation GROUP BY 1",
     "md_list_items": "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(2 * count(*) AS BIGINT) AS n_items, count(*) AS n_lists FROM nation GROUP BY 1",
@@ -367,7 +375,7 @@ _SQL["md_to_docx_roundtrip"] = _SQL["md_headings_from_nations"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (text_stats_by_lang, text_paragraphs, get_text, line_block_kinds, detect_format, escape_markdown, xml_escape, safe_text_latin1, html_blocks_from_pages, md_headings_from_nations, md_emphasis_runs, md_list_items, md_table_cells_orders, md_to_docx_roundtrip, text_to_pdf, pipe_table_render, html_table_render, list_labels_running, list_labels_roman, join_blocks, run_merge_islands, visible_runs, interval_overlap_join, image_intern_dedupe, md_repeated_links_having, color_parse, unit_conversions, tab_stop_asof, style_names_parsed, list_items_formatted, conditional_masks, corpus_block_cube, md_constructs, md_inline_marks, md_roundtrip_text)
+    found = (text_stats_by_lang, text_paragraphs, get_text, line_block_kinds, detect_format, escape_markdown, xml_escape, safe_text_latin1, html_blocks_from_pages, html_references, md_headings_from_nations, md_emphasis_runs, md_list_items, md_table_cells_orders, md_to_docx_roundtrip, text_to_pdf, pipe_table_render, html_table_render, list_labels_running, list_labels_roman, join_blocks, run_merge_islands, visible_runs, interval_overlap_join, image_intern_dedupe, md_repeated_links_having, color_parse, unit_conversions, tab_stop_asof, style_names_parsed, list_items_formatted, conditional_masks, corpus_block_cube, md_constructs, md_inline_marks, md_roundtrip_text)
     return {f.__name__: f for f in found} | structure.queries()
 
 

@@ -20,6 +20,8 @@ from foliant.functions.model import INLINES, PARAGRAPHS, Document, inline_rows,
 from foliant.functions.pdf import write_pdf
 
 RAW = "doc_id string, path string, format string, content binary"
+#: Node rows, or bytes of made files, that go to Spark at a time.
+ROWS, BYTES = 10_000, 8 << 20
 
 
 class UnsupportedFormat(ValueError):
@@ -74,15 +76,18 @@ def _nodes(raw: DataFrame, schema: str, rows, **options) -> DataFrame:
     arrow = _arrow(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_id, fmt, content = (batch.column(c)[k].as_py() for c in ("doc_id", "format", "content"))
                 try:
-                    made = [{"doc_id": doc_id, **r} for r in rows(load(fmt, content or b"", **options))]
+                    made += [{"doc_id": doc_id, **r} for r in rows(load(fmt, content or b"", **options))]
                 except Exception as e:  # noqa: BLE001  a broken document is a row, not a failed job
-                    made = [{"doc_id": doc_id, "error": f"{type(e).__name__}: {e}"}]
-                for at in range(0, len(made), 10_000):
-                    yield pa.RecordBatch.from_pylist(made[at : at + 10_000], arrow)
+                    made.append({"doc_id": doc_id, "error": f"{type(e).__name__}: {e}"})
+                if len(made) >= ROWS:
+                    yield from (pa.RecordBatch.from_pylist(made[at : at + ROWS], arrow) for at in range(0, len(made), ROWS))
+                    made = []
+        yield pa.RecordBatch.from_pylist(made, arrow)
 
     return raw.select("doc_id", "format", "content").mapInArrow(run, out)
 
@@ -119,6 +124,8 @@ def convert(raw: DataFrame, to: str, load_options: dict | None = None, **options
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id")
+            made, size, since = [], 0, 0
             for k in range(batch.num_rows):
                 fmt, content = (batch.column(c)[k].as_py() for c in ("format", "content"))
                 out, error = None, None
@@ -126,7 +133,11 @@ def convert(raw: DataFrame, to: str, load_options: dict | None = None, **options
                     out = save(load(fmt, content or b"", **load_options or {}), to, **options)
                 except Exception as e:  # noqa: BLE001
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), pa.array([out], pa.binary()), pa.array([error], pa.string())], ["doc_id", "content", "error"])
+                made.append((out, error))
+                size += len(out or b"")
+                if size > BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(since, len(made)), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], ["doc_id", "content", "error"])
+                    made, size, since = [], 0, k + 1
 
     return raw.select("doc_id", "format", "content").mapInArrow(run, f"doc_id {kind}, content binary, error string")
 

@@ -185,6 +185,12 @@ def test_text_functions(spark):
     t = "a\r\nb\x0bc d\n\n"
     df = spark.createDataFrame([(t,)], "t string")
     assert df.select(text.split_lines(F.col("t"))).first()[0] == t.splitlines()
+    breaks = ["", "\n", "\r\n", "a\r", "a\r\n", "\n\r", "a\x85", "\u2028", None, "a\n\r\n"]
+    rows = spark.createDataFrame([(x,) for x in breaks], "t string").select("t", text.split_lines(F.col("t")).alias("l"), F.col("t").rlike(text.NOT_BREAK).alias("some")).collect()
+    assert all(r.l == (None if r.t is None else r.t.splitlines()) and r.some == (None if r.t is None else any(r.l)) for r in rows)
+    page = "<P>&eacute;&#233;&amp;lt;</p><p class=x>&notit; &#0;\0</div> &nbsp; <br/>tail&amp"
+    rows = spark.createDataFrame([(page,), (None,), ("",)], "t string").select(text.html_blocks(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["éé&lt;", "¬it; \ufffd\ufffd", "tail&"], None, []]
     row = lambda s, c: spark.createDataFrame([(s,)], "t string").select(c(F.col("t"))).first()[0]
     assert row("a*b_ c_d", text.escape_emphasis) == "a\\*b\\_ c_d"
     assert row("` x", text.inline_code) == "`` ` x ``"
