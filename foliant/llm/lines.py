@@ -91,18 +91,31 @@ def _near(a: str, b: str) -> Column:
     return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DISTANCE) & (short * SIMILARITY[1] >= long * SIMILARITY[0])
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: rows with one key have the same id and text."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text)
+
+
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, norm) of all lines that hold a letter or digit."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
+    """(doc_id, row_key, line_no, norm) of all lines that hold a letter or digit."""
+    text = F.col(text_col).cast("string")
+    lines = docs.select(F.col(id_col).alias("doc_id"), _row_key(F.col(id_col), text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "row_key", "line_no", normalised(F.col("line")).alias("norm"))
+
+
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "line_no")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, keep) of all lines with a letter or digit: whether it is its group's first by doc_id and line."""
+    """(doc_id, row_key, line_no, keep) of all lines with a letter or digit: whether it is its group's first by doc_id, row and line.
+
+    Rows that repeat with the same id and text have one row key, and their lines are answered alike.
+    """
     found = split_lines(docs, id_col, text_col)
     # two independent hashes stand for a normalised line
-    rows = cut(found.select("doc_id", "line_no", F.xxhash64("norm").alias("id"), F.crc32(F.col("norm").cast("binary")).alias("c"), F.length("norm").alias("len"), simhash(F.col("norm")).alias("sim")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")).alias("first")
+    rows = cut(found.select("doc_id", "row_key", "line_no", F.xxhash64("norm").alias("id"), F.crc32(F.col("norm").cast("binary")).alias("c"), F.length("norm").alias("len"), simhash(F.col("norm")).alias("sim")))
+    first = F.min(_order()).alias("first")
     distinct = cut(rows.groupBy("id", "c").agg(first, F.first("len").alias("len"), F.first("sim").alias("sim")))
     _, choices = layout(distinct.count())
     blocks = max(max(c) for c in choices) + 1
@@ -142,8 +155,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "c", "first", F.coalesce("root", "id").alias("root"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keeper"), F.count("*").alias("kinds"))
     named = named.join(keepers, "root").select(F.col("id").alias("i"), F.col("c").alias("d"), "keeper")
-    own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")
-    return rows.join(named, (F.col("id") == F.col("i")) & (F.col("c") == F.col("d"))).select("doc_id", "line_no", (own == F.col("keeper")).alias("keep"))
+    return rows.join(named, (F.col("id") == F.col("i")) & (F.col("c") == F.col("d"))).select("doc_id", "row_key", "line_no", _order().eqNullSafe(F.col("keeper")).alias("keep"))
 
 
 def _texts(found: DataFrame, ids: DataFrame) -> DataFrame:
@@ -196,16 +208,39 @@ def _within(x: Column, y: Column, most: Column) -> Column:
     return _let(F.struct(x.alias("x"), y.alias("y")), lambda p: trimmed(p, lambda q: trimmed(q, near)))
 
 
+#: Copies of a repeated row that one array may stand for.
+RUN = 10_000
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_lines, n_removed, kept (the text without the lines that repeat an earlier one).
 
-    Lines end at a line feed. Lines without a letter or digit are always kept. Null text has no lines and stays null; null
-    doc_id comes last, so its lines go before others'. Rows that share a doc_id are one document: their lines of one number
-    that are equal are kept or removed alike. Other columns are ignored; an empty table gives no rows.
+    Lines end at a line feed. Lines without a letter or digit are always kept. Null text has no lines and stays null. Rows are
+    ordered by doc_id, null last, and rows of one id by a hash of their text; a line goes where an earlier row, or an earlier
+    line of its own row, has it. Of rows repeated with the same id and text one counts as the first, and the others lose all
+    their lines with a letter or digit. Other columns are ignored; an empty table gives no rows.
     """
-    gone = line_groups(docs, id_col, text_col).where("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "__id")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("lines", F.split("text", "\n"))
-    at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get("lines", i)), "\n"))
-    return out.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("doc_id"), _row_key(F.col(id_col), text).alias("row_key"), text.alias("text"))
+    lost = F.collect_set(F.when(~F.col("keep"), F.col("line_no")))
+    gone = line_groups(docs, id_col, text_col).groupBy("row_key").agg(lost.alias("gone")).where(F.size("gone") > 0)
+    repeated = cut(base.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    some = not repeated.isEmpty()
+
+    def shortened(rows: DataFrame, which: str) -> DataFrame:
+        at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), which)
+        kept = F.when(F.coalesce(F.size(which), F.lit(0)) == 0, F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get("lines", i)), "\n"))
+        n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+        return rows.withColumn("lines", F.split("text", "\n")).select("doc_id", n("lines").alias("n_lines"), n(which).alias("n_removed"), kept.alias("kept"))
+
+    if not some:
+        return shortened(base.join(gone, "row_key", "left"), "gone")
+    once = base.join(repeated, "row_key").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("copies").alias("copies"))
+    out = shortened(base.join(repeated, "row_key", "left_anti").unionByName(once.drop("copies")).join(gone, "row_key", "left"), "gone")
+    # the other copies differ in nothing, so they are made from one, RUN at a time
+    lines = F.split("text", "\n")
+    every = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[\p{L}\p{N}]"))
+    begin = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long")))
+    others = once.withColumn("every", F.when(F.col("text").isNotNull(), every)).withColumn("from", begin)
+    others = others.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + RUN - 1, F.col("copies") - 1))))
+    return out.unionByName(shortened(others, "every"))
