@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
+MASK = (1 << 64) - 1
 
 
 #: Bytes of an Arrow batch: texts are long, and Spark's default by rows makes buffers of many times this in each task.
@@ -27,10 +29,17 @@ ARROW_BYTES = 8 << 20
 def tune(spark: SparkSession) -> None:
     """Lowers the session's bound on Arrow batches to what these operators work with at a time."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("b")) > ARROW_BYTES:
+    now = byte_size(spark.conf.get(key))
+    if now > ARROW_BYTES or now <= 0:  # 0 and less stand for no bound
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def byte_size(setting: str) -> int:
+    """A size as Spark's settings state it: a number, with a unit or in bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", str(setting).lower()).groups()
+    return int(number) << 10 * "kmgtp".find(unit[:1]) + 10 if unit.strip("b") else int(number)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -186,7 +195,7 @@ class Rolling:
     def every(self, prefix: np.ndarray, width: int) -> np.ndarray:
         """Hashes of all windows of one width; as `of` gives."""
         n = len(prefix) - width
-        return mix((prefix[width:] - prefix[:n]) * self.down[:n] + U64(width) * _ODD) if n > 0 else np.empty(0, np.uint64)
+        return mix((prefix[width:] - prefix[:n]) * self.down[:n] + U64(width * int(_ODD) & MASK)) if n > 0 else np.empty(0, np.uint64)
 
 
 def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

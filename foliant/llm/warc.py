@@ -111,6 +111,29 @@ def dechunked(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bytes that a compressed body may have when it is whole; a longer one stays as it is, with its coding.
+MOST_BYTES = 256 << 20
+
+
+def inflated(data: bytes, bits: int) -> bytes:
+    """All members of a compressed body, one after another; what follows the last and is none is left out."""
+    out, size = [], 0
+    while data:
+        z = zlib.decompressobj(bits)
+        try:
+            part = z.decompress(data, MOST_BYTES - size + 1)
+        except zlib.error:
+            if out:
+                break
+            raise
+        size += len(part)
+        if size > MOST_BYTES:
+            raise zlib.error("too long")
+        out.append(part)
+        data = z.unused_data if z.eof else b""
+    return b"".join(out)
+
+
 def decoded(payload: bytes, http: Headers) -> tuple[bytes, str]:
     """The entity of an HTTP body, and the coding that it is still in, if that is unknown or doesn't hold."""
     if "chunked" in (value(http, "Transfer-Encoding") or "").lower() and re.match(rb"[0-9A-Fa-f]+[^\r\n]{0,99}\r\n", payload):
@@ -120,8 +143,7 @@ def decoded(payload: bytes, http: Headers) -> tuple[bytes, str]:
             continue
         for bits in {"gzip": (47,), "x-gzip": (47,), "deflate": (15, -15)}.get(coding, ()):
             try:
-                z = zlib.decompressobj(bits)
-                payload = z.decompress(payload) + z.flush()
+                payload = inflated(payload, bits)
                 break
             except zlib.error:
                 continue
@@ -134,7 +156,8 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     """The metadata and the conversion record of one response; of another kind of record, none.
 
     Headers stay as they stand: in order, repeated ones too. Digests are those of the payload as it was sent; chunked
-    transfers and gzip or deflate codings are undone for the text, and another coding gives no text.
+    transfers and gzip or deflate codings are undone for the text, all members of them; another coding gives no text, nor does a
+    body of more than MOST_BYTES. The charset is that of the header, else of the page's own meta element, else UTF-8.
     """
     if (value(headers, "WARC-Type") or "") != "response":
         return []
@@ -145,8 +168,10 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     http = [(n.strip(), v.strip()) for n, _, v in (f.partition(":") for f in fields)]
     entity, undecoded = decoded(payload, http)
     charset = re.search(r"charset=[\"']?([\w-]+)", next((f for f in fields if f.lower().startswith("content-type")), ""), re.I)
+    # a page may name its charset itself, near its top
+    own_set = re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w-]+)", entity[:1024], re.I)
     try:
-        page = entity.decode(charset[1] if charset else "utf-8", "replace")
+        page = entity.decode(charset[1] if charset else own_set[1].decode("latin-1") if own_set else "utf-8", "replace")
     except LookupError:
         page = entity.decode("utf-8", "replace")
     page = "" if undecoded else page
