@@ -76,10 +76,10 @@ def running(rows: DataFrame, by: list[str], order: list[str], scans: dict[str, S
     }
     carry = held.groupBy(*by, "__part").agg(*[carried[s.kind](f"__v_{c}").alias(f"__p_{c}") for c, s in scans.items()])
     earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    carry = carry.select(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(by)], F.col("__part").alias("__q"), *[_over(s, F.col(f"__p_{c}"), earlier).alias(f"__c_{c}") for c, s in scans.items()])
+    carry = carry.select(*[F.col(b).alias(f"__running_key{k}") for k, b in enumerate(by)], F.col("__part").alias("__q"), *[_over(s, F.col(f"__p_{c}"), earlier).alias(f"__c_{c}") for c, s in scans.items()])
     w = W.partitionBy(*by, "__part").orderBy(*order)
     local = held.select("*", *[_over(s, F.col(f"__v_{c}"), w.rowsBetween(W.unboundedPreceding, -1 if s.before else 0)).alias(f"__l_{c}") for c, s in scans.items()])
-    met = local.join(carry, _all([*[F.col(b).eqNullSafe(F.col(f"__b{k}")) for k, b in enumerate(by)], F.col("__part") == F.col("__q")]))
+    met = local.join(carry, _all([*[F.col(b).eqNullSafe(F.col(f"__running_key{k}")) for k, b in enumerate(by)], F.col("__part") == F.col("__q")]))
     joined = {"sum": lambda a, b: a + b, "min": lambda a, b: F.least(a, b), "last": lambda a, b: F.coalesce(a, b)}
     return met.select(*rows.columns, *[joined[s.kind](F.col(f"__l_{c}"), F.col(f"__c_{c}")).alias(c) for c, s in scans.items()])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators import cascading, running, structure
+from foliant.operators import cascading, layout, running, structure
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,7 +134,76 @@ def group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.group_boxes(groups, shapes, unit=8.0).select("doc_id", "shape_id", "left", "top", "width", "height")
 
 
+def page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines that a supplier ships as blocks of its document, as tall as their quantity: their pages."""
+    blocks = _lines(spark, sf_dir).select(F.col("s").alias("supplier"), (F.col("doc_id") * 10 + F.col("ord")).alias("ord"), (F.col("q") * F.when(F.col("p") % 50 == 0, 9).otherwise(1)).alias("height"))
+    return layout.page_numbers(blocks, ["supplier"], "ord", 300.0)
+
+
+def column_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as blocks of a section of one to four columns, their height from their key."""
+    o = _t(spark, sf_dir, "orders")
+    blocks = o.select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 37).alias("height"), (1 + F.col("o_custkey") % 4).alias("columns")).dropDuplicates(["section", "ord"])
+    return layout.balanced_columns(blocks, ["section"], "ord", 30.0, 20.0, 400.0).select("section", "ord", F.col("column_idx").cast("long").alias("column_idx"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six orders as a table, each a row, their lines the cells."""
+    return _lines(spark, sf_dir).select(F.floor(F.col("doc_id") / 6).alias("table_id"), (F.col("doc_id") % 6).cast("int").alias("row_idx"), (F.col("ord") - 1).cast("int").alias("col_idx"), "p", "s", "q", "f")
+
+
+def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of those tables' columns, some of which state none, and heights of their rows."""
+    c = _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", F.when(F.col("p") % 4 == 0, F.col("q").cast("double")).alias("width"), F.col("p").cast("double").alias("text_width"), F.when(F.col("s") % 5 == 0, 20.0).alias("row_height"), (F.col("p") % 3 > 0).alias("wrap"), (F.col("p") % 7 == 0).alias("vertical"))
+    w = layout.column_widths(c, ["table_id"], 170.0)
+    h = layout.row_heights(c.drop("width"), w, ["table_id"])
+    one = lambda rows, kind, at, v: rows.select("table_id", F.lit(kind).alias("kind"), F.col(at).cast("long").alias("at"), F.round(v, 6).alias("size"))
+    return one(w, "column", "col_idx", "width").unionByName(one(h, "row", "row_idx", "height"))
+
+
+def edge_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders of those tables: cells state some by their keys, tables and styles others."""
+    border = lambda when, width: F.when(when, F.struct(F.lit(0).alias("line_style"), width.cast("double").alias("line_width")))
+    c = _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", border(F.col("p") % 2 == 0, F.col("q") % 3).alias("top"), border(F.col("p") % 3 == 0, F.col("q") % 4).alias("bottom"), border(F.col("s") % 2 == 0, F.col("q") % 5).alias("left"), border(F.col("s") % 3 == 0, F.col("q") % 2).alias("right"))
+    t = F.col("table_id")
+    own = F.when(t % 3 > 0, F.struct(border(t % 2 == 0, t % 3).alias("top"), border(t % 2 == 0, F.lit(11)).alias("bottom"), border(t % 2 == 1, F.lit(12)).alias("left"), border(t % 2 == 1, F.lit(13)).alias("right"), border(t % 5 == 0, F.lit(0)).alias("inside_h"), border(t % 5 == 1, F.lit(14)).alias("inside_v")))
+    style = F.when(t % 7 > 0, F.struct(*[border(t % 7 > 0, F.lit(20 + k)).alias(n) for k, n in enumerate(("top", "bottom", "left", "right", "inside_h", "inside_v"))]))
+    tables = c.select("table_id").distinct().select("table_id", own.alias("own"), style.alias("style"))
+    found = layout.edge_borders(c, tables, ["table_id"])
+    return found.select("table_id", "edge", F.col("line").cast("long").alias("line"), F.col("place").cast("long").alias("place"), F.col("border.line_width").alias("width"))
+
+
 _SQL = {
+    "page_breaks": f"""
+        WITH RECURSIVE b AS (SELECT s AS supplier, doc_id * 10 + ord AS ord, q * CASE WHEN p % 50 = 0 THEN 9 ELSE 1 END AS height, row_number() OVER (PARTITION BY s ORDER BY doc_id * 10 + ord) AS i FROM {_LINES}),
+        w AS (SELECT supplier, ord, height, i, 1 AS page, height AS y FROM b WHERE i = 1
+            UNION ALL SELECT b.supplier, b.ord, b.height, b.i, CASE WHEN w.y + b.height > 300 THEN page + 1 ELSE page END, CASE WHEN w.y + b.height > 300 THEN b.height ELSE w.y + b.height END FROM w JOIN b ON b.supplier = w.supplier AND b.i = w.i + 1)
+        SELECT supplier, ord, height, CAST(page AS BIGINT) AS page FROM w""",
+    "column_balance": """
+        WITH RECURSIVE b AS (SELECT DISTINCT o_custkey AS section, o_orderkey AS ord, o_orderkey % 37 AS h, 1 + o_custkey % 4 AS n FROM orders),
+        r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY ord) AS i, least(30 + sum(h) OVER (PARTITION BY section)::DOUBLE / n, 400) AS target, sum(h) OVER (PARTITION BY section) AS total FROM b),
+        w AS (SELECT section, 0::BIGINT AS i, 0::BIGINT AS ord, 0 AS col, 30.0::DOUBLE AS y FROM r GROUP BY section
+            UNION ALL SELECT r.section, r.i, r.ord, CASE WHEN goes THEN col + 1 ELSE col END, CASE WHEN goes THEN 20 ELSE y END + h FROM (SELECT r.*, w.col, w.y, w.col < r.n - 1 AND r.total > 0 AND w.y + r.h / 2.0::DOUBLE > r.target AS goes FROM w JOIN r ON r.section = w.section AND r.i = w.i + 1) r)
+        SELECT section, ord, CAST(col AS BIGINT) AS column_idx FROM w WHERE i > 0""",
+    "table_sizes": f"""
+        WITH c AS (SELECT doc_id // 6 AS t, doc_id % 6 AS r, ord - 1 AS c, CASE WHEN p % 4 = 0 THEN q::DOUBLE END AS w, p::DOUBLE AS tw, CASE WHEN s % 5 = 0 THEN 20.0::DOUBLE END AS rh, p % 3 > 0 AS wrap, p % 7 = 0 AS vert FROM {_LINES}),
+        n AS (SELECT t, max(c) + 1 AS n FROM c GROUP BY t), g AS (SELECT t, unnest(range(n)) AS c, n FROM n),
+        w AS (SELECT g.t, g.c, g.n, coalesce(max(w), 0) AS w FROM g LEFT JOIN c ON c.t = g.t AND c.c = g.c GROUP BY ALL),
+        s AS (SELECT *, sum(w) OVER (PARTITION BY t) AS total, count(*) FILTER (WHERE w = 0) OVER (PARTITION BY t) AS zero FROM w),
+        f AS (SELECT t, c, CASE WHEN zero = n THEN 170.0::DOUBLE / n WHEN w > 0 THEN w WHEN total < 170 THEN (170 - total) / zero ELSE 0 END AS w FROM s),
+        v AS (SELECT t, c, w * least(1, 170 / sum(w) OVER (PARTITION BY t)) AS w FROM f)
+        SELECT t AS table_id, 'column' AS kind, c AS at, round(w, 6) AS size FROM v
+        UNION ALL SELECT c.t, 'row', r, round(greatest(5.5::DOUBLE, coalesce(max(CASE WHEN vert THEN tw + 1 WHEN NOT wrap THEN 5.62::DOUBLE WHEN v.w > 3 THEN ceil(tw / (v.w - 2) - 1e-6::DOUBLE) * 4.62::DOUBLE + 1 END), 0), coalesce(max(rh), 0)), 6) FROM c JOIN v ON v.t = c.t AND v.c = c.c GROUP BY c.t, r""",
+    "edge_borders": f"""
+        WITH c AS (SELECT doc_id // 6 AS t, doc_id % 6 AS r, ord - 1 AS c, CASE WHEN p % 2 = 0 THEN q % 3 END AS top, CASE WHEN p % 3 = 0 THEN q % 4 END AS bottom, CASE WHEN s % 2 = 0 THEN q % 5 END AS lft, CASE WHEN s % 3 = 0 THEN q % 2 END AS rgt FROM {_LINES}),
+        z AS (SELECT *, max(r) OVER (PARTITION BY t) AS mr, max(c) OVER (PARTITION BY t) AS mc, t % 3 > 0 AS has, t % 7 > 0 AS st FROM c),
+        -- the entry of the layers for each side: the table's own, else the style's
+        e AS (SELECT *, CASE WHEN r = 0 THEN coalesce(CASE WHEN has AND t % 2 = 0 THEN t % 3 END, CASE WHEN st THEN 20 END) ELSE h END AS et, CASE WHEN r = mr THEN coalesce(CASE WHEN has AND t % 2 = 0 THEN 11 END, CASE WHEN st THEN 21 END) ELSE h END AS eb,
+                CASE WHEN c = 0 THEN coalesce(CASE WHEN has AND t % 2 = 1 THEN 12 END, CASE WHEN st THEN 22 END) ELSE v END AS el, CASE WHEN c = mc THEN coalesce(CASE WHEN has AND t % 2 = 1 THEN 13 END, CASE WHEN st THEN 23 END) ELSE v END AS er
+            FROM (SELECT *, coalesce(CASE WHEN has AND t % 5 = 0 THEN 0 END, CASE WHEN st THEN 24 END) AS h, coalesce(CASE WHEN has AND t % 5 = 1 THEN 14 END, CASE WHEN st THEN 25 END) AS v FROM z)),
+        d AS (SELECT t, 'h' AS edge, r AS line, c AS place, r, c, 0 AS k, CASE WHEN top > 0 THEN top WHEN et > 0 THEN et END AS w FROM e UNION ALL SELECT t, 'h', r + 1, c, r, c, 1, CASE WHEN bottom > 0 THEN bottom WHEN eb > 0 THEN eb END FROM e
+            UNION ALL SELECT t, 'v', c, r, r, c, 2, CASE WHEN lft > 0 THEN lft WHEN el > 0 THEN el END FROM e UNION ALL SELECT t, 'v', c + 1, r, r, c, 3, CASE WHEN rgt > 0 THEN rgt WHEN er > 0 THEN er END FROM e)
+        SELECT t AS table_id, edge, CAST(line AS BIGINT) AS line, CAST(place AS BIGINT) AS place, w::DOUBLE AS width FROM d WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t, edge, line, place ORDER BY r DESC, c DESC, k DESC) = 1""",
     "child_nodes": """
         WITH r AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS c, o_orderkey AS o FROM customer JOIN orders ON c_custkey = o_custkey), l AS (SELECT DISTINCT doc_id, c, o, l_linenumber FROM r JOIN lineitem ON l_orderkey = o)
         SELECT 'cells' AS which, doc_id, c AS origin, count(*) AS n FROM l GROUP BY doc_id, c UNION ALL SELECT 'rows', doc_id, c, count(*) FROM r GROUP BY doc_id, c
@@ -192,7 +261,7 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (child_nodes, field_folding, cell_grid, level_labels, list_groups, section_lookup, style_chain_recursive, style_cascade, run_formats, styles_in_use, group_boxes)}
+    return {f.__name__: f for f in (child_nodes, field_folding, cell_grid, level_labels, list_groups, section_lookup, style_chain_recursive, style_cascade, run_formats, styles_in_use, group_boxes, page_breaks, column_balance, table_sizes, edge_borders)}
 
 
 def oracle_sql() -> dict[str, str]:
