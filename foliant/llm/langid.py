@@ -15,8 +15,8 @@ from .common import U64, cache_of, mix, slices, tidy
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
-#: Bounds of what fit() reads and keeps: rows it learns from, languages it may meet, hash buckets.
-FIT_ROWS, MOST_LANGUAGES, BUCKETS = 60_000, 200, 1 << 16
+#: Bounds of what fit() reads and keeps: rows it learns from, hash buckets, cells of the matrix (languages times buckets).
+FIT_ROWS, BUCKETS, CELLS = 60_000, 1 << 16, 1 << 24
 ORDERS = (1, 2, 3)
 _SEEDS = mix(np.arange(1, 1 + len(ORDERS), dtype=np.uint64))
 _PIECE = 1 << 21  # characters at a time
@@ -58,7 +58,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     """Learns from labelled rows; rows with null text or language are left out.
 
-    fit_rows bounds what is learned from: with more labelled rows, a share of them chosen by the text's hash. Each task
+    fit_rows bounds what is learned from: with more labelled rows, a share of them chosen by the text's hash. Any number of
+    languages is learned; CELLS bounds the matrix, by fewer buckets for each where there are very many of them. Each task
     sends its non-zero counts, Spark adds them, and the matrix, whose size the bounds on languages and buckets fix, goes to
     the driver by blocks of buckets. No labelled row at all gives a model without languages.
     """
@@ -66,12 +67,11 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     total = rows.count()
     if total > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
-    names = [r.lang for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names.sort()
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())  # no more than rows that are learned from
     if not names:
         return Model([], np.zeros(0), np.zeros((0, buckets), np.float32))
+    # beyond 256 languages, fewer buckets keep the matrix within its bound
+    buckets = min(buckets, 1 << max(1, CELLS // len(names)).bit_length() - 1)
     block = min(buckets, 1 << 13)
 
     @tidy
