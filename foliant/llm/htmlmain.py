@@ -48,6 +48,10 @@ CHROME_WORDS = re.compile(
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
+#: Characters of a path, beyond which deeper elements share their ancestor's: unclosed tags would add up to the square of the page.
+MOST_PATH = 4096
+_WRAPS = re.compile(r"<(?:article|main|h1)(?=[\s/>])", re.I)
+_FORM_ENDS = re.compile(r"</form(?=[\s/>])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -59,17 +63,30 @@ class Element:
     chrome: bool
     path: str
     parent: Element | None
+    told: bool = False  # within an article or main
 
 
-def _element(name: str, attrs: str, parent: Element | None) -> Element:
+def _wraps(page: str, at: int) -> bool:
+    """Whether the form that opens here holds the page rather than fields: an article, main or h1, or most of the page."""
+    end = _FORM_ENDS.search(page, at)
+    stop = end.start() if end else len(page)
+    return 2 * (stop - at) > len(page) or _WRAPS.search(page, at, stop) is not None
+
+
+def _element(name: str, attrs: str, parent: Element | None, page: str, at: int) -> Element:
     label, chrome = name, name in CHROME
+    if name == "form" and _wraps(page, at):
+        chrome = False
+    elif name == "header" and parent is not None and parent.told:  # an article's own header has its headline
+        chrome = False
     if attrs:
         a = {k.lower(): html.unescape(x or y or z or "") for k, x, y, z in _ATTR.findall(attrs)}
         if a.get("class"):
             label += "." + ".".join(a["class"].split())
         named = f"{a.get('class', '')} {a.get('id', '')}"
         chrome = chrome or (name not in ("html", "body", "article", "main") and bool(CHROME_WORDS.search(named))) or a.get("role", "").lower() in CHROME_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-    return Element(name, label, chrome or (parent is not None and parent.chrome), f"{parent.path}/{label}" if parent else label, parent)
+    path = label if parent is None else parent.path if len(parent.path) > MOST_PATH else f"{parent.path}/{label}"
+    return Element(name, label, chrome or (parent is not None and parent.chrome), path, parent, name in ("article", "main") or (parent is not None and parent.told))
 
 
 def events(page: str) -> Iterator[tuple[str, Element, str]]:
@@ -124,7 +141,7 @@ def events(page: str) -> Iterator[tuple[str, Element, str]]:
                         break
             if name not in INLINE:
                 yield "break", stack[-1], name
-            e = _element(name, m.group(3), stack[-1] if stack[-1] is not root else None)
+            e = _element(name, m.group(3), stack[-1] if stack[-1] is not root else None, page, at)
             yield "open", e, name
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
