@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,3 +235,38 @@ def group_boxes(groups: DataFrame, shapes: DataFrame, by: str = "doc_id", unit:
     place = lambda a: F.when(F.col("__in"), F.col(f"off_{a}") + (num(a, zero) - F.col(f"ch_{a}")) * F.col(f"scale_{a}") / unit).otherwise(num(a, zero) / unit)
     extent = lambda a: F.when(F.col("__in"), num(f"c{a}", zero) * F.col(f"scale_{a}") / unit).otherwise(num(f"c{a}", zero) / unit)
     return out.select(*shapes.columns, place("x").alias("left"), place("y").alias("top"), extent("x").alias("width"), extent("y").alias("height"))
+
+
+# --- images
+
+# The file endings of image types; any other gets that of PNG.
+_ENDINGS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/svg+xml": ".svg", "image/tiff": ".tiff"}
+
+
+def image_links(images: DataFrame, by: list[str], order: str = "ord", folder: str = "", alias: str = "", as_base64: bool = False, output_dir: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """images with markdown, the link that stands for each, and file, the path to write its bytes to (null: none).
+
+    images have content (null or empty: linked), source (a file name or address), alt and content_type, null counting as empty.
+    A linked image points at its source. Others are data URIs, unless a folder is named and base64 isn't asked for: then they are
+    files of that folder, by the last part of their source, or numbered over all of a document's files where it has none. Links
+    take the alias instead of the folder; without one they lead there from output_dir, if that is given. Two images with one
+    source name are one file.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    source, alt = part("source"), part("alt")
+    held = F.coalesce(F.length("content") > 0, F.lit(False))
+    named = F.when(alt != "", alt).otherwise(source)
+    linked = F.concat(F.lit("!["), alt, F.lit("]("), link_destination(source, F.lit("")), F.lit(")"))
+    if not folder or as_base64:
+        inline = F.concat(F.lit("!["), named, F.lit("](data:"), part("content_type"), F.lit(";base64,"), F.base64("content"), F.lit(")"))
+        # base64() breaks lines, which a link can't hold
+        return images.withColumn("markdown", F.when(held, F.regexp_replace(inline, "\r\n", "")).otherwise(linked)).withColumn("file", F.lit(None).cast("string"))
+    rows = running(images.withColumn("__held", held.cast("int")), by, [order], {"__number": Scan("sum", F.col("__held"))}, hot_rows)
+    ending = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _ENDINGS.items() for x in pair]), part("content_type")), F.lit(".png"))
+    last = F.element_at(F.split(F.regexp_replace(source, r"(/|(^|/)\.(?=/|$))+$", ""), "/", -1), -1)
+    file = F.when(last != "", last).otherwise(F.concat(F.lit("image"), F.col("__number").cast("string"), ending))
+    at = alias.rstrip("/") if alias else posixpath.relpath(folder, output_dir) if output_dir is not None else folder
+    prefix = "" if not alias and posixpath.normpath(at) == "." else f"{at if alias else posixpath.normpath(at)}/"
+    shown = F.concat(F.lit("!["), named, F.lit("]("), F.lit(prefix), file, F.lit(")"))
+    path = F.concat(F.lit(f"{posixpath.normpath(folder)}/"), file)
+    return rows.select(*images.columns, F.when(held, shown).otherwise(linked).alias("markdown"), F.when(held, path).alias("file"))

@@ -173,7 +173,26 @@ def edge_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table_id", "edge", F.col("line").cast("long").alias("line"), F.col("place").cast("long").alias("place"), F.col("border.line_width").alias("width"))
 
 
+def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as images of their nation's document: as data, as files, and as files under an alias."""
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    images = _t(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("long").alias("doc_id"), k.alias("ord"), F.when(k % 5 > 0, F.col("c_mktsegment").cast("binary")).alias("content"),
+        F.when(k % 3 == 0, F.concat(F.lit("media/pic (1) "), key, F.lit(".gif"))).when(k % 3 == 1, "").alias("source"), F.when(k % 4 > 0, F.concat(F.lit("alt "), key)).alias("alt"), F.when(k % 2 == 0, "image/jpeg").otherwise("image/webp").alias("content_type"),
+    )
+    modes = {"data": {}, "files": {"folder": "out/images", "output_dir": "out"}, "alias": {"folder": "out/images", "alias": "http://cdn.example/i/"}}
+    found = [structure.image_links(images, ["doc_id"], **how).select(F.lit(mode).alias("mode"), "doc_id", "ord", "markdown", F.coalesce("file", F.lit("")).alias("file")) for mode, how in modes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 _SQL = {
+    "image_links": r"""
+        WITH i AS (SELECT CAST(c_nationkey AS BIGINT) AS d, c_custkey AS k, c_custkey % 5 > 0 AS held, c_mktsegment AS m, CASE WHEN c_custkey % 3 = 0 THEN 'media/pic (1) ' || c_custkey || '.gif' ELSE '' END AS s, CASE WHEN c_custkey % 4 > 0 THEN 'alt ' || c_custkey ELSE '' END AS alt, CASE WHEN c_custkey % 2 = 0 THEN 'image/jpeg' ELSE 'image/webp' END AS t FROM customer),
+        n AS (SELECT *, count(*) FILTER (WHERE held) OVER (PARTITION BY d ORDER BY k) AS n, CASE WHEN alt = '' THEN s ELSE alt END AS name, '![' || alt || '](' || CASE WHEN s = '' THEN '' ELSE '<' || s || '>' END || ')' AS linked FROM i),
+        f AS (SELECT *, CASE WHEN s <> '' THEN 'pic (1) ' || k || '.gif' ELSE 'image' || n || CASE WHEN k % 2 = 0 THEN '.jpg' ELSE '.png' END END AS file FROM n)
+        SELECT 'data' AS mode, d AS doc_id, k AS ord, CASE WHEN held THEN '![' || name || '](data:' || t || ';base64,' || base64(encode(m)) || ')' ELSE linked END AS markdown, '' AS file FROM f
+        UNION ALL SELECT 'files', d, k, CASE WHEN held THEN '![' || name || '](images/' || file || ')' ELSE linked END, CASE WHEN held THEN 'out/images/' || file ELSE '' END FROM f
+        UNION ALL SELECT 'alias', d, k, CASE WHEN held THEN '![' || name || '](http://cdn.example/i/' || file || ')' ELSE linked END, CASE WHEN held THEN 'out/images/' || file ELSE '' END FROM f""",
     "page_breaks": f"""
         WITH RECURSIVE b AS (SELECT s AS supplier, doc_id * 10 + ord AS ord, q * CASE WHEN p % 50 = 0 THEN 9 ELSE 1 END AS height, row_number() OVER (PARTITION BY s ORDER BY doc_id * 10 + ord) AS i FROM {_LINES}),
         w AS (SELECT supplier, ord, height, i, 1 AS page, height AS y FROM b WHERE i = 1
@@ -261,7 +280,7 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (child_nodes, field_folding, cell_grid, level_labels, list_groups, section_lookup, style_chain_recursive, style_cascade, run_formats, styles_in_use, group_boxes, page_breaks, column_balance, table_sizes, edge_borders)}
+    return {f.__name__: f for f in (child_nodes, field_folding, cell_grid, level_labels, list_groups, section_lookup, style_chain_recursive, style_cascade, run_formats, styles_in_use, group_boxes, page_breaks, column_balance, table_sizes, edge_borders, image_links)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -283,3 +283,22 @@ def test_group_boxes(spark):
             ch = (groups[n][3] or 0, groups[n][4] or 0)
         want = [*(o + (a - c) * s / 8 for o, a, c, s in zip(off, at, ch, scale)), *(e * s / 8 for e, s in zip(ext, scale))]
         assert [x.left, x.top, x.width, x.height] == pytest.approx(want)
+
+
+# --- images
+
+
+@pytest.mark.parametrize("hot", SIZES)
+def test_image_links(spark, hot):
+    data = bytes(range(100))
+    rows = [(1, 0, None, "http://x/a (b)", "A", None), (1, 1, b"", None, None, "image/png"), (1, 2, data, None, None, "image/png"), (1, 3, data, "dir/p.x", "", "image/gif"), (1, 4, data, "dir/..", "up", None), (None, 0, data, "./", "", "image/tiff"), (1, 5, data, "", "n", "image/webp")]
+    df = spark.createDataFrame([(*x, "x") for x in rows], "doc int, ord int, content binary, source string, alt string, content_type string, file string").drop("file")
+    got = lambda **how: {(x.doc, x.ord): (x.markdown, x.file) for x in structure.image_links(df, ["doc"], hot_rows=hot, **how).collect()}
+    inline = got()
+    assert inline[1, 0] == ("![A](<http://x/a (b)>)", None) and inline[1, 1] == ("![]()", None)
+    import base64
+
+    assert inline[1, 2] == (f"![](data:image/png;base64,{base64.b64encode(data).decode()})", None) and inline == got(folder="f", as_base64=True)
+    files = got(folder="out/img", output_dir="out")
+    assert {k: v for k, v in files.items() if v[1]} == {(1, 2): ("![](img/image1.png)", "out/img/image1.png"), (1, 3): ("![dir/p.x](img/p.x)", "out/img/p.x"), (1, 4): ("![up](img/..)", "out/img/.."), (None, 0): ("![./](img/image1.tiff)", "out/img/image1.tiff"), (1, 5): ("![n](img/image4.png)", "out/img/image4.png")}
+    assert got(folder="out", output_dir="out")[1, 3][0] == "![dir/p.x](p.x)" and got(folder="out/img")[1, 3][0] == "![dir/p.x](out/img/p.x)" and got(folder="out", alias="cdn/")[1, 3] == ("![dir/p.x](cdn/p.x)", "out/p.x")
