@@ -18,15 +18,17 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, raw, slices, tidy, work_dir
+from .common import cache_of, parts, raw, slices, tidy, work_dir
 
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
@@ -321,24 +323,38 @@ def _encoder(path: str, end_id: int) -> Encoder:
 SLICE = 8 << 20
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None) -> DataFrame:
-    """Rows (part, doc_id, ids): ids is binary, little-endian, 2 bytes an id if the vocabulary allows, else 4.
+@dataclass(frozen=True)
+class Layout:
+    """Parts of an order by (doc_id, null first, a hash of the record): between neighbouring edges of doc_id one part, or, where an id has very many rows, several."""
 
-    Null text counts as empty; part is the number of cuts below doc_id (null: 0).
+    edges: np.ndarray  # of doc_id, ascending; an id belongs below the first edge that is not less
+    shares: np.ndarray  # parts of null, and of each place between edges
+
+    def parts(self, doc_id: np.ndarray, valid: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        place = np.where(valid, np.searchsorted(self.edges, doc_id) + 1, 0)
+        first = np.concatenate([[0], np.cumsum(self.shares)])
+        return first[place] + ((tie >> 31) * self.shares[place] >> 32)
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", layout: Layout | None = None) -> DataFrame:
+    """Rows (part, doc_id, tie, ids): ids is binary, little-endian, 2 bytes an id if the vocabulary allows, else 4; tie is a hash of it.
+
+    Null text counts as empty; part is that of the layout (none: 0).
     """
-    edges = np.array(cuts or [], np.int64)
+    layout = layout or Layout(np.empty(0, np.int64), np.ones(2, np.int64))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer, end_id)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                ids = e.encode(part.column(1))
+                ids = e.encode(part.column(1)).cast(pa.binary())
                 doc = part.column(0)
-                where = np.where(np.asarray(doc.is_valid()), np.searchsorted(edges, np.asarray(doc.fill_null(0))), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), doc, ids.cast(pa.binary())], ["part", "doc_id", "ids"])
+                tie = np.array([xxhash.xxh64_intdigest(x.as_buffer()) >> 1 for x in ids], np.int64)
+                where = layout.parts(np.asarray(doc.fill_null(0)), np.asarray(doc.is_valid()), tie)
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), doc, pa.array(tie), ids], ["part", "doc_id", "tie", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, tie long, ids binary")
 
 
 # ---- files ---------------------------------------------------------------------------------------------------
@@ -347,24 +363,42 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
 
 
-def bounds_of(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[int]:
-    """At most n - 1 cut points of doc_id that deal the rows about evenly; reads that column alone."""
-    q = docs.select(F.col(id_col).cast("long").alias("i")).agg(F.percentile_approx("i", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    return sorted(set(q or []))
+#: Bytes of input, as Spark estimates it, for each part at least where it is large.
+PART_BYTES = 256 << 20
+
+
+def part_count(docs: DataFrame) -> int:
+    """Parts to write: as many as shuffles have, or more for large inputs."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parts(docs.sparkSession), size // PART_BYTES if size < 1 << 56 else 1)  # beyond that the size is not known
+
+
+def layout_of(docs: DataFrame, n: int, id_col: str = "doc_id") -> Layout:
+    """About n parts of about as many rows each; reads the ids alone. An id, or null, with more rows than that has several."""
+    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+    cuts = ids.agg(F.percentile_approx("i", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    share = max(1, -(-ids.count() // n))
+    hot = {r.i: -(-r["count"] // share) for r in ids.groupBy("i").count().where(F.col("count") > share).collect()}  # fewer than n
+    alone = [i for i in hot if i is not None]
+    edges = np.array(sorted({*(cuts or []), *alone, *(i - 1 for i in alone if i > -(1 << 63))}), np.int64)
+    shares = np.ones(len(edges) + 2, np.int64)
+    for i, k in hot.items():
+        shares[0 if i is None else int(np.searchsorted(edges, i)) + 1] = k
+    return Layout(edges, shares)
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> tuple[str, list[Row]]:
     """Encodes every whole text and writes record files and their indexes to `path`, a folder that all machines share.
 
     Ascending doc_id, first within a file and then from file to file; null doc_id comes first, rows of one doc_id are
-    ordered by their ids' bytes. Null text counts as empty and gives the end id alone. An empty table gives no file.
+    ordered by a hash of their ids, and by the ids' bytes where that is equal. An id with very many rows, or null, is dealt to
+    several files by that hash; rows that are equal in all share one. Null text counts as empty and gives the end id alone. An empty table gives no file.
     Other columns are ignored. A file is written under a name of its own try and renamed when complete, so a task may run twice.
     Returns the folder and one row for each file (part, records, ids, bytes).
     """
     spark = docs.sparkSession
     path = path or work_dir(spark, "tokens")
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = bounds_of(docs, n, id_col)
+    layout = layout_of(docs, partitions or part_count(docs), id_col)
     width = _encoder(tokenizer, end_id).width
 
     @tidy
@@ -395,8 +429,8 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_
                 fs.move(t, f"{name}.{x}")
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(made, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "records", "ids", "bytes"])
 
-    rows = encoded(docs, tokenizer, end_id, id_col, text_col, cuts).repartitionById(len(cuts) + 1, F.col("part"))
-    made = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(write, "part int, records long, ids long, bytes long")
+    rows = encoded(docs, tokenizer, end_id, id_col, text_col, layout).repartitionById(int(layout.shares.sum()), F.col("part"))
+    made = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids").mapInArrow(write, "part int, records long, ids long, bytes long")
     return path, sorted(made.collect())  # a row for each file
 
 
