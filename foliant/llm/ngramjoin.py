@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, bitmap, cache_of, cut, held, mix, parts, raw, runs, slices, tidy
+from .common import MOST_BITS, U64, Rolling, bitmap, cache_of, cut, held, mix, parts, raw, runs, slices, tidy
 
 #: Numbers of empty segments that a band's sets may skip.
 SLACKS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -239,6 +239,8 @@ def _roots(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
         cache_of("ngramjoin")
         bands, layout = _by_band(counts, num, den)
         for batch in batches:
+            if known is not None and batch.num_rows:
+                batch = batch.filter(pa.array(known.value.has(np.asarray(batch.column("key")).view(np.uint64))))
             for part in slices(batch, "text", 1 << 20) if batch.num_rows else []:
                 data, off, _ = raw(part.column("text"))
                 h, edge = shingle_sets(data, off, n)
@@ -255,10 +257,15 @@ def _roots(base: DataFrame, classes: DataFrame, counts: dict[int, int], n: int,
                     w = np.concatenate(who)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids[w]), pa.array(size[w].astype(np.int32))], ["sig", "id", "size"])
 
-    reps = classes.select("rep").distinct()
+    # Only representatives sign. A bitmap tells them where texts are read, as far as it can tell them apart; the few others that
+    # it lets through come after their own representative in each run, and have no shape below. Beyond that a join tells them.
+    reps = cut(classes.select("rep").distinct())
+    fits = reps.count() * 16 <= MOST_BITS
+    known = spark.sparkContext.broadcast(bitmap(reps.select(F.xxhash64("rep").alias("key")))) if fits else None
 
     def signed(of: DataFrame) -> DataFrame:
-        return of.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(sign, "sig long, id long, size int")
+        of = of if fits else of.join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
+        return of.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(sign, "sig long, id long, size int")
 
     @tidy
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
