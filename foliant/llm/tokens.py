@@ -320,7 +320,7 @@ def _encoder(path: str, end_id: int) -> Encoder:
 
 
 #: Bytes of text that are encoded at a time; a longer text stands alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 @dataclass(frozen=True)
