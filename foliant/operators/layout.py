@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.running import HOT_ROWS, Scan, cut, nearest_before, running
+from foliant.operators.running import HOT_ROWS, Scan, cut, nearest_before, reached, running
 
 # A row's least height, a line's height and a cell's paddings in a table, in millimetres.
 LEAST_ROW, LINE, PAD_TOP, PAD_LEFT = 11 * 0.5, 11 * 0.42, 0.5, 1.0
@@ -97,13 +97,7 @@ def page_numbers(blocks: DataFrame, by: list[str], order: str, page_height: floa
     # keys as structs, which are equal where both hold null
     flat = rows.select(*[F.struct(F.col(b)).alias(n) for b, n in zip(by, names, strict=True)], F.col("__i").alias("i"), "__before", (F.col("__before") + F.col("__h")).alias("end"))
     fit = nearest_before(flat.select(*names, "i", (F.col("__before") + page_height).alias("place")), flat.select(*names, F.col("end").alias("place"), F.col("i").alias("last")), names, "place", ["last"], hot_rows)
-    size = flat.groupBy(*names).agg(F.max("i").alias("n"))
-    jump = fit.select(*names, "i", F.greatest(F.col("i") + 1, F.coalesce(F.col("last"), F.lit(0)) + 1).alias("to")).join(size, names).where(F.col("to") <= F.col("n")).drop("n")
-    jump, begins = cut(jump), cut(flat.where("i = 1").select(*names, "i"))
-    while not jump.isEmpty():
-        more = begins.join(jump, [*names, "i"]).select(*names, F.col("to").alias("i"))
-        begins = cut(begins.unionByName(more).distinct())
-        jump = cut(jump.join(jump.select(*names, F.col("i").alias("to"), F.col("to").alias("further")), [*names, "to"]).select(*names, "i", F.col("further").alias("to")))
+    begins = reached(fit.select(*names, "i", F.greatest(F.col("i") + 1, F.coalesce(F.col("last"), F.lit(0)) + 1).alias("to")), names)
     found = begins.select(*[F.col(f"{n}.{b}").alias(f"__at_key{k}") for k, (n, b) in enumerate(zip(names, by, strict=True))], F.col("i").alias("__at"), F.lit(1).alias("__begins"))
     marked = rows.join(found, [*[F.col(b).eqNullSafe(F.col(f"__at_key{k}")) for k, b in enumerate(by)], F.col("__i") == F.col("__at")], "left")
     return running(marked, by, [order], {"page": Scan("sum", F.col("__begins"))}, hot_rows).select(*blocks.columns, "page")

@@ -60,10 +60,10 @@ def _over(scan: Scan, value: Column, window: W) -> Column:
 def running(rows: DataFrame, by: list[str], order: list[str], scans: dict[str, Scan], hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows with a column for each scan, over the rows of equal `by` in the order of `order` (nulls first), which no two of them share.
 
-    Nulls in `by` are one key. An empty table stays empty.
+    Nulls in `by` are one key. An empty table stays empty. With hot_rows infinite, keys are known to be small and aren't counted.
     """
-    size = rows.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).head()
-    if (size.most or 0) <= hot_rows:
+    size = None if hot_rows == math.inf else rows.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).head()
+    if size is None or (size.most or 0) <= hot_rows:
         w = W.partitionBy(*by).orderBy(*order)
         return rows.select("*", *[_over(s, s.value, w.rowsBetween(W.unboundedPreceding, -1 if s.before else 0)).alias(c) for c, s in scans.items()])
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size.all / hot_rows))
@@ -121,3 +121,18 @@ def along_ancestors(nodes: DataFrame, by: list[str], node: str, parent: str, fol
         state = cut(done.select(*went.columns).unionByName(went))
     found = state.select(*key, *[F.when(F.col("__up").isNull(), F.col(c)).alias(c) for c in folds])
     return nodes.drop(*folds).join(found, key, "left")
+
+
+def reached(jump: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i): the places that are reached from place 1 of each key by jumps (by, i, to), which lead upwards; by doubling.
+
+    Place 1 itself is reached; a jump beyond the places that have one ends the way. Keys are not null, or structs.
+    """
+    begins = cut(jump.where("i = 1").select(*by, "i"))
+    known = jump.select(*by, F.col("i").alias("to")).distinct()
+    jump = cut(jump.select(*by, "i", "to").join(known, [*by, "to"], "left_semi").select(*by, "i", "to"))
+    while not jump.isEmpty():
+        more = begins.join(jump, [*by, "i"]).select(*by, F.col("to").alias("i"))
+        begins = cut(begins.unionByName(more).distinct())
+        jump = cut(jump.join(jump.select(*by, F.col("i").alias("to"), F.col("to").alias("further")), [*by, "to"]).select(*by, "i", F.col("further").alias("to")))
+    return begins

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators import cascading, layout, running, structure
+from foliant.functions import text as tx
+from foliant.operators import cascading, layout, markdown_blocks, running, structure
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,7 +186,45 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def _text_lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(tx.split_lines(F.col("text"))).alias("ord", "text"))
+
+
+def md_block_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of each supplier with blocks of every kind, nested ones too: all blocks by their paths, from rows of lines."""
+    s = _t(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey").cast("string"))
+    text = F.concat(
+        F.lit("Title "), "k", F.lit("\nof it\n=====\n\nSee `code` and\n  [Text][ref]\n\n> quoted "), "k", F.lit("\nlazy\n> > deeper\n> ```\n> x\n\n3. three\n\n   still three\n4. four\n   - inner\n     > "), "k",
+        F.lit("\n\n````py\nx = "), "k", F.lit("\n```\n````\n\n    indented\n\n      more\n\n| a | b |\n|--|--|\n| "), "k", F.lit(" | c\\|d |\n***\nSub\n---\n## Head "), "k",
+        F.lit(" ##\n[REF]:\n  http://r.example/"), "k", F.lit('\n  "T"\n\n[^n]: Body '), "k", F.lit("\n\n    of it\n<div>\nraw\n\nend\n~~~~\nopen"),
+    )
+    found = markdown_blocks.markdown_blocks(_text_lines(s.select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))))
+    return found.select("doc_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "kind", "text", F.col("level").cast("long").alias("level"), "info")
+
+
+_BLOCKS = (
+    ("0", "setext", "'Title ' || k || chr(10) || 'of it'", 1, ""), ("1", "paragraph", "'See `code` and' || chr(10) || '[Text][ref]'", 0, ""), ("2", "quote", "''", 0, ""), ("2.0", "paragraph", "'quoted ' || k || chr(10) || 'lazy'", 0, ""), ("2.1", "quote", "''", 0, ""),
+    ("2.1.0", "paragraph", "'deeper'", 0, ""), ("2.2", "fence", "'x'", 0, ""), ("3", "item", "''", 1, "."), ("3.0", "paragraph", "'three'", 0, ""), ("3.1", "paragraph", "'still three'", 0, ""), ("4", "item", "''", 1, "."), ("4.0", "paragraph", "'four'", 0, ""), ("4.1", "item", "''", 0, "-"),
+    ("4.1.0", "paragraph", "'inner'", 0, ""), ("4.1.1", "quote", "''", 0, ""), ("4.1.1.0", "paragraph", "k", 0, ""), ("5", "fence", "'x = ' || k || chr(10) || '```'", 0, "py"), ("6", "code", "'indented' || chr(10) || chr(10) || '  more'", 0, ""),
+    ("7", "table", "'a' || chr(9) || 'b' || chr(10) || k || chr(9) || 'c|d'", 0, ""), ("8", "rule", "''", 0, ""), ("9", "setext", "'Sub'", 2, ""), ("10", "heading", "'Head ' || k", 2, ""), ("11", "definition", "''", 0, ""), ("12", "footnote", "''", 0, "n"), ("12.0", "paragraph", "'Body ' || k", 0, ""),
+    ("12.1", "paragraph", "'of it'", 0, ""), ("13", "html", "'<div>' || chr(10) || 'raw'", 0, ""), ("14", "paragraph", "'end'", 0, ""), ("15", "fence", "'open'", 1, ""),
+)
+
+
+def md_table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipe table of each customer's orders, read back as rows of its block."""
+    o = _t(spark, sf_dir, "orders")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), F.lit(" |"))
+    rows = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), row.alias("text"))
+    head = o.select(F.col("o_custkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("ord"), F.lit(t).alias("text")) for k, t in ((-2, "| key | status | priority |"), (-1, "|--:|:-:|---|"))])).alias("h")).select("doc_id", "h.*")
+    tables = markdown_blocks.markdown_blocks(head.unionByName(rows)).where("kind = 'table'")
+    cells = tables.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "row")).where("n > 0")
+    return cells.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.sum(F.split("row", "\t")[0].cast("long")).alias("sum_keys"))
+
+
 _SQL = {
+    "md_block_structure": " UNION ALL ".join(f"SELECT s_suppkey AS doc_id, '{p}' AS path, '{kind}' AS kind, {text} AS text, CAST({level} AS BIGINT) AS level, '{info}' AS info FROM (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS k FROM supplier)" for p, kind, text, level, info in _BLOCKS),
+    "md_table_blocks": "SELECT o_custkey AS doc_id, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS sum_keys FROM orders GROUP BY 1",
     "image_links": r"""
         WITH i AS (SELECT CAST(c_nationkey AS BIGINT) AS d, c_custkey AS k, c_custkey % 5 > 0 AS held, c_mktsegment AS m, CASE WHEN c_custkey % 3 = 0 THEN 'media/pic (1) ' || c_custkey || '.gif' ELSE '' END AS s, CASE WHEN c_custkey % 4 > 0 THEN 'alt ' || c_custkey ELSE '' END AS alt, CASE WHEN c_custkey % 2 = 0 THEN 'image/jpeg' ELSE 'image/webp' END AS t FROM customer),
         n AS (SELECT *, count(*) FILTER (WHERE held) OVER (PARTITION BY d ORDER BY k) AS n, CASE WHEN alt = '' THEN s ELSE alt END AS name, '![' || alt || '](' || CASE WHEN s = '' THEN '' ELSE '<' || s || '>' END || ')' AS linked FROM i),
@@ -280,7 +319,7 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (child_nodes, field_folding, cell_grid, level_labels, list_groups, section_lookup, style_chain_recursive, style_cascade, run_formats, styles_in_use, group_boxes, page_breaks, column_balance, table_sizes, edge_borders, image_links)}
+    return {f.__name__: f for f in (child_nodes, field_folding, cell_grid, level_labels, list_groups, section_lookup, style_chain_recursive, style_cascade, run_formats, styles_in_use, group_boxes, page_breaks, column_balance, table_sizes, edge_borders, image_links, md_block_structure, md_table_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
