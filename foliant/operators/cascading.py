@@ -63,15 +63,27 @@ def resolved_runs(runs: DataFrame, styles: DataFrame, fields: list[str], default
 def used_styles(used: DataFrame, styles: DataFrame, edges: list[str], by: str = "doc_id") -> DataFrame:
     """(doc, name) of all styles that the used ones reach by any of the edge columns (base, next, linked style): a frontier of joins until nothing is new.
 
-    Edges to styles that aren't defined lead nowhere; cycles end by themselves.
+    Edges to styles that aren't defined lead nowhere; cycles end by themselves. Beside single edges the frontier takes those of 2,
+    4, 8, ... steps along one column, so that a chain costs rounds in proportion to the logarithm of its length.
     """
     known = styles.select(by, "name").distinct()
-    to = styles.select(by, F.col("name").alias("from"), F.explode(F.array(*edges)).alias("name")).where("name is not null").distinct().join(known, [by, "name"], "left_semi")
-    to = cut(to)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(e).alias("name")) for k, e in enumerate(edges)])).alias("to")
+    to = styles.select(by, F.col("name").alias("from"), each).select(by, "from", "to.column", "to.name").where("name is not null").distinct()
+    to = cut(to.join(known, [by, "name"], "left_semi").select(by, "from", "column", "name"))
+    # of styles of one name one edge a column is followed further: shortcuts stay as many as styles
+    jumps, every, step = cut(to.groupBy(by, "from", "column").agg(F.min("name").alias("name"))), to.select(by, "from", "name"), 2
+    most = known.groupBy(by).count().agg(F.max("count")).head()[0] or 0
+    while step < most:
+        next_jumps = jumps.select(by, F.col("from").alias("name"), "column", F.col("name").alias("further"))
+        jumps = cut(jumps.join(next_jumps, [by, "name", "column"]).select(by, "from", "column", F.col("further").alias("name")))
+        if jumps.isEmpty():
+            break
+        every, step = every.unionByName(jumps.select(by, "from", "name")), step * 2
+    every = cut(every.distinct())
     reached = cut(used.select(by, "name").distinct().join(known, [by, "name"], "left_semi"))
     frontier = reached
     while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("name", "from").join(to, [by, "from"]).select(by, "name").distinct()
-        frontier = cut(step.join(reached, [by, "name"], "left_anti"))
+        found = frontier.withColumnRenamed("name", "from").join(every, [by, "from"]).select(by, "name").distinct()
+        frontier = cut(found.join(reached, [by, "name"], "left_anti"))
         reached = cut(reached.unionByName(frontier))
     return reached

@@ -169,6 +169,17 @@ def test_used_styles(spark):
     assert cascading.used_styles(used.where("false"), styles, ["base"]).count() == 0
 
 
+def test_used_styles_of_long_chains(spark, monkeypatch):
+    """A chain of 120 styles, and one whose end is a cycle, cost a few dozen rounds at most, not one for each style."""
+    rounds = []
+    monkeypatch.setattr(cascading, "cut", lambda df: rounds.append(1) or running.cut(df))
+    rows = [(1, f"s{n}", f"s{n + 1}" if n < 119 else None, None) for n in range(120)] + [(2, f"s{n}", f"s{(n + 1) % 60}", f"s{n // 2}") for n in range(60)] + [(2, "apart", "s0", "apart")]
+    used = spark.createDataFrame([(1, "s7"), (2, "s3")], "doc_id int, name string")
+    found = cascading.used_styles(used, spark.createDataFrame(rows, "doc_id int, name string, base string, next string"), ["base", "next"]).collect()
+    assert sorted((x.doc_id, x.name) for x in found) == sorted([(1, f"s{n}") for n in range(7, 120)] + [(2, f"s{n}") for n in range(60)])
+    assert len(rounds) < 40
+
+
 # --- tables
 
 
