@@ -192,8 +192,15 @@ def _shared(x: Column, y: Column) -> Column:
     return _let(F.least(F.length(x), F.length(y)), find)
 
 
+def _aligned(x: Column, y: Column, most: Column) -> Column:
+    """Whether changing the words that differ, place by place, takes at most `most` edits: then the edit distance is no greater."""
+    changed = F.zip_with(F.split(x, " "), F.split(y, " "), lambda u, v: F.when(u == v, 0).otherwise(F.greatest(F.length(u), F.length(v))))
+    same_count = F.length(F.translate(x, " ", "")) - F.length(x) == F.length(F.translate(y, " ", "")) - F.length(y)
+    return F.when(same_count, F.aggregate(changed, F.lit(0), lambda a, c: a + c) <= most).otherwise(False)
+
+
 def _within(x: Column, y: Column, most: Column) -> Column:
-    """Whether the edit distance is at most `most`; only what lies between the strings' shared ends is compared."""
+    """Whether the edit distance is at most `most`; only what lies between the strings' shared ends is compared, and nothing where words in place prove it."""
 
     def trimmed(p: Column, then) -> Column:  # reversed, so that the other end comes next
         def tail(s: Column) -> Column:
@@ -205,7 +212,7 @@ def _within(x: Column, y: Column, most: Column) -> Column:
         tries = [F.call_function("levenshtein", p["x"], p["y"], F.floor(most / part).cast("int")) >= 0 for part in BANDS]
         return functools.reduce(Column.__or__, tries)
 
-    return _let(F.struct(x.alias("x"), y.alias("y")), lambda p: trimmed(p, lambda q: trimmed(q, near)))
+    return _aligned(x, y, most) | _let(F.struct(x.alias("x"), y.alias("y")), lambda p: trimmed(p, lambda q: trimmed(q, near)))
 
 
 #: Copies of a repeated row that one array may stand for.
