@@ -69,6 +69,12 @@ def save(doc: Document, to: str, **options) -> bytes:
     raise UnsupportedFormat(f"no writer for {to}")
 
 
+def _spread(raw: DataFrame) -> DataFrame:
+    """The same rows over all cores: parsing takes far longer than reading, and few bytes, a small table say, come as one task."""
+    spark = raw.sparkSession
+    return raw.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _nodes(raw: DataFrame, schema: str, rows, **options) -> DataFrame:
     """Node rows of each document; one that can't be read gives one row with its error."""
     kind = raw.schema["doc_id"].dataType.simpleString()
@@ -89,7 +95,7 @@ def _nodes(raw: DataFrame, schema: str, rows, **options) -> DataFrame:
                     made = []
         yield pa.RecordBatch.from_pylist(made, arrow)
 
-    return raw.select("doc_id", "format", "content").mapInArrow(run, out)
+    return _spread(raw.select("doc_id", "format", "content")).mapInArrow(run, out)
 
 
 def _arrow(schema) -> pa.Schema:
@@ -139,7 +145,7 @@ def convert(raw: DataFrame, to: str, load_options: dict | None = None, **options
                     yield pa.RecordBatch.from_arrays([ids.slice(since, len(made)), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], ["doc_id", "content", "error"])
                     made, size, since = [], 0, k + 1
 
-    return raw.select("doc_id", "format", "content").mapInArrow(run, f"doc_id {kind}, content binary, error string")
+    return _spread(raw.select("doc_id", "format", "content")).mapInArrow(run, f"doc_id {kind}, content binary, error string")
 
 
 def write_files(converted: DataFrame, folder: str, suffix: str) -> DataFrame:

@@ -259,3 +259,12 @@ def test_image_sizes(spark):
     jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + bytes(10) + b"\xff\xc0\x00\x11\x08\x00\x20\x00\x40\x03" + bytes(20)
     got = spark.createDataFrame([(1, jpeg), (2, b"GIF89a\x08\x00\x04\x00"), (3, b"x"), (4, None)], "k int, c binary").select("k", formats.image_size(F.col("c")).alias("s")).orderBy("k").collect()
     assert [(r.s.width, r.s.height) if r.s else None for r in got] == [(48.0, 24.0), (6.0, 3.0), None, None]
+
+
+def test_parsing_is_spread(spark):
+    """Rows that come as one task, as those of a small table do, are parsed and written by several."""
+    one = src.text_documents(spark.range(64).coalesce(1).selectExpr("id AS doc_id", "concat('# h\n\n', id) AS text"), "markdown")
+    parsed, made = src.paragraphs(one), src.convert(one, "pdf")
+    for df in (parsed, made):
+        tasks = df.select("doc_id", F.spark_partition_id().alias("task")).distinct().collect()
+        assert {x.doc_id for x in tasks} == set(range(64)) and len({x.task for x in tasks}) == 4
