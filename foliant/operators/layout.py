@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.running import HOT_ROWS, Scan, cut, nearest_before, reached, running
+from foliant.operators.running import HOT_ROWS, Scan, cut, dealt, nearest_before, reached, running
 
 # A row's least height, a line's height and a cell's paddings in a table, in millimetres.
 LEAST_ROW, LINE, PAD_TOP, PAD_LEFT = 11 * 0.5, 11 * 0.42, 0.5, 1.0
@@ -124,6 +124,7 @@ def edge_borders(cells: DataFrame, tables: DataFrame, by: list[str]) -> DataFram
     line left of a column and the row. A table that isn't in tables has no layers.
     """
     visible = lambda b: (F.coalesce(b["line_style"], F.lit(0)) != 0) | (F.coalesce(b["line_width"], F.lit(0.0)) > 0)
+    cells = dealt(cells, by)
     size = cells.groupBy(*by).agg(F.max("row_idx").alias("__r"), F.max("col_idx").alias("__c"))
     met = cells.join(size, by).join(tables.select(*by, "own", "style"), by, "left")
     outer = {"top": F.col("row_idx") == 0, "bottom": F.col("row_idx") == F.col("__r"), "left": F.col("col_idx") == 0, "right": F.col("col_idx") == F.col("__c")}

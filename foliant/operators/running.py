@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 HOT_ROWS = 5_000_000
 
 
+#: Rows of an operator's input that one task may take, as far as keys let them be parted.
+TASK_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where none is named and Spark runs on this machine alone."""
     jsc = spark.sparkContext._jsc.sc()
@@ -38,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(rows: DataFrame, by: list[str], count: int | None = None, task_rows: int = 0) -> DataFrame:
+    """The same rows, those of a key together, in as many tasks as they need: more than the session's shuffles have, if there are many.
+
+    What a task sorts and holds then doesn't grow with the input. Windows, joins and groups of these keys keep the division.
+    """
+    tasks = math.ceil((rows.count() if count is None else count) / (task_rows or TASK_ROWS))
+    return rows.repartition(tasks, *by) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 @dataclass(frozen=True)
 class Scan:
     """kind: sum (nulls count 0), min or last (the last value that isn't null), of all rows so far; `before`: without the row itself."""
