@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.relational import BULLET, list_label, ordered_text, overlapping
-from foliant.operators.running import HOT_ROWS, Scan, along_ancestors, cut, running
+from foliant.operators.running import HOT_ROWS, Scan, along_ancestors, cut, dealt, running
 
 # --- node trees
 
@@ -168,7 +168,7 @@ def level_labels(items: DataFrame, lists: DataFrame, by: str = "doc_id", order:
     For each level two running sums give the number: its items so far, less those before the last item of a higher level.
     """
     known = lists.groupBy(by, "list_id").agg(F.first("levels").alias("__levels"))
-    rows = items.join(known, [by, "list_id"], "left")
+    rows = dealt(items, [by]).join(known, [by, "list_id"], "left")
     rows = rows.withColumn("__k", F.least(F.col("level"), F.size("__levels") - 1))
     rows = rows.withColumn("__own", F.get("__levels", F.col("__k")))
     own_style = F.coalesce(F.col("__own.number_style"), F.lit(0))

@@ -180,6 +180,18 @@ def test_used_styles_of_long_chains(spark, monkeypatch):
     assert len(rounds) < 40
 
 
+def test_rows_of_a_task_stay_bounded(spark, monkeypatch):
+    """Many rows are dealt to more tasks than the session's shuffles have; few are left as they are."""
+    monkeypatch.setattr(running, "TASK_ROWS", 100)
+    items = spark.range(3000).selectExpr("id % 500 AS doc_id", "1 AS list_id", "id AS ord", "CAST(id % 2 AS INT) AS level")
+    levels = spark.range(500).selectExpr("id AS doc_id", "1 AS list_id", "array(named_struct('number_style', 0, 'number_format', '%1.', 'start_at', 1)) AS levels")
+    found = structure.level_labels(items, levels).withColumn("task", F.spark_partition_id()).collect()
+    assert {(x.doc_id, x.ord, x.label) for x in found} == {(k % 500, k, f"{k // 500 + 1}.") for k in range(3000)}
+    assert max(sum(x.task == t for x in found) for t in {x.task for x in found}) < 300
+    few = items.limit(50)
+    assert running.dealt(few, ["doc_id"]) is few
+
+
 # --- tables
 
 
