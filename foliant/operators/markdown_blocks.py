@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators.relational import ordered_text
-from foliant.operators.running import HOT_ROWS, Scan, cut, reached, running
+from foliant.operators.running import HOT_ROWS, Scan, cut, dealt, reached, running
 
 # The line patterns of the grammar.
 FENCE = r"^( {0,3})(`{3,}(?=[^`]*$)|~{3,})[ \t]*(.*?)[ \t]*$"
@@ -189,9 +189,10 @@ def markdown_blocks(lines: DataFrame, by: str = "doc_id", hot_rows: float = HOT_
     keys = [by, "path"]
     todo = lines.where(F.col(by).isNotNull()).select(by, F.array().cast("array<int>").alias("path"), F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     todo, made = cut(todo), None
-    while (most := todo.groupBy(*keys).count().agg(F.max("count")).head()[0]) is not None:
-        hot_rows = math.inf if most <= hot_rows else hot_rows  # texts only get shorter
-        rows = _definitions(_marked(todo, keys, hot_rows), keys, hot_rows)
+    while (size := todo.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).head()).most is not None:
+        small = size.most <= hot_rows
+        hot_rows = math.inf if small else hot_rows  # texts only get shorter
+        rows = _definitions(_marked(dealt(todo, keys, size.all) if small else todo, keys, hot_rows), keys, hot_rows)
         rows = cut(_resolved(cut(_ends(rows, keys, hot_rows)), keys, hot_rows).select(*keys, "ord", "n", "text", "kind", "end", "width", "gap", "rest", "fence", "blank", "indent", "is_quote"))
         begins = reached(rows.select(*keys, F.col("n").alias("i"), F.col("end").cast("long").alias("to")), keys)
         starts = rows.join(begins.withColumn("begins", F.lit(True)).withColumnRenamed("i", "n"), [*keys, "n"], "left")
