@@ -30,13 +30,41 @@ def intervals(nodes: DataFrame, by: str = "doc_id", path: str = "path", hot_rows
     return counted.groupBy(by, path).agg(F.first("type").alias("type"), number(1).alias("pre"), number(0).alias("last"))
 
 
-def child_nodes(nodes: DataFrame, origin_type: str, node_type: str | None = None, deep: bool = False, by: str = "doc_id", path: str = "path", hot_rows: int = HOT_ROWS) -> DataFrame:
+def distinct_nodes(nodes: DataFrame, by: str = "doc_id", path: str = "path") -> DataFrame:
+    """(by, path, type) of each node once, of the smallest type, held in the shared folder for all that is asked of the tree."""
+    return cut(nodes.repartition(by, path).groupBy(by, path).agg(F.min("type").alias("type")))
+
+
+#: Depths that origins may have for their descendants to be found by the beginnings of paths.
+DEPTHS = 8
+#: Places in all paths of a depth's origins that a broadcast may hold.
+PLACES = 1_000_000
+
+
+def child_nodes(nodes: DataFrame, origin_type: str, node_type: str | None = None, deep: bool = False, by: str = "doc_id", path: str = "path", hot_rows: int = HOT_ROWS, distinct: bool = False) -> DataFrame:
     """(by, origin, path, type): for each node of origin_type its children, or with `deep` all descendants; of node_type, or any.
 
-    Descendants are found by the containment of intervals, without walking; nested origins each have theirs.
+    With `distinct`, nodes are known not to repeat a path (see distinct_nodes). Where origins lie at few depths, a descendant's
+    path begins with its origin's: one join for each depth. Else descendants are found by the containment of intervals, without
+    walking; nested origins each have theirs.
     """
     if not deep:
-        one = nodes.groupBy(by, path).agg(F.min("type").alias("type"))
+        one = nodes.select(by, path, "type") if distinct else nodes.groupBy(by, path).agg(F.min("type").alias("type"))
+    if deep:
+        one = nodes.select(by, path, "type") if distinct else distinct_nodes(nodes, by, path)
+        origins = one.where(F.col("type") == origin_type).select(by, F.col(path).alias("origin"))
+        depths = origins.groupBy(F.size("origin").alias("depth")).count().limit(DEPTHS + 1).collect()
+        if len(depths) <= DEPTHS:
+            kids = one if node_type is None else one.where(F.col("type") == node_type)
+            found = kids.where(F.lit(False)).select(by, F.col(path).alias("origin"), path, "type")
+            for depth, n in depths:
+                below = kids.where(F.size(path) > depth).withColumn("origin", F.slice(path, 1, depth))
+                tops = origins.where(F.size("origin") == depth)
+                # few origins may have most nodes below them: these aren't dealt by origin then
+                tops = F.broadcast(tops) if n * (depth + 1) <= PLACES else tops
+                found = found.unionByName(below.join(tops, [by, "origin"]).select(by, "origin", path, "type"))
+            return found
+        nodes = one
         kids = one.where(F.size(path) > 0).withColumn("origin", F.slice(path, F.lit(1), F.size(path) - 1))
         kids = kids if node_type is None else kids.where(F.col("type") == node_type)
         return kids.join(one.where(F.col("type") == origin_type).select(by, F.col(path).alias("origin")), [by, "origin"], "left_semi").select(by, "origin", path, "type")

@@ -34,7 +34,8 @@ def child_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda rows, kind, *keys: rows.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.array(*[F.col(k).cast("int") for k in keys]).alias("path"), F.lit(kind).alias("type"))
     nodes = node(c, "table", "c_custkey").unionByName(node(row, "row", "c_custkey", "o_orderkey")).unionByName(node(cell, "cell", "c_custkey", "o_orderkey", "l_linenumber"))
     nodes = nodes.unionByName(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.array().cast("array<int>").alias("path"), F.lit("document").alias("type")))
-    found = [structure.child_nodes(nodes, *a).withColumn("which", F.lit(w)) for w, a in (("cells", ("table", "cell", True)), ("rows", ("table", "row", False)), ("all", ("document", None, True)))]
+    nodes = structure.distinct_nodes(nodes)
+    found = [structure.child_nodes(nodes, *a, distinct=True).withColumn("which", F.lit(w)) for w, a in (("cells", ("table", "cell", True)), ("rows", ("table", "row", False)), ("all", ("document", None, True)))]
     both = found[0].unionByName(found[1]).unionByName(found[2])
     return both.groupBy("which", "doc_id", F.coalesce(F.get("origin", F.lit(0)), F.lit(-1)).cast("long").alias("origin")).agg(F.count("*").alias("n"))
 
