@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ LEAST_ROW, LINE, PAD_TOP, PAD_LEFT = 11 * 0.5, 11 * 0.42, 0.5, 1.0
 SLACK = 1e-6
 #: Columns that a section can have.
 MOST_COLUMNS = 45
+#: Blocks of a key whose pages are found in one array.
+FOLD_ROWS = 4096
 
 
 def column_widths(cells: DataFrame, by: list[str], usable: float) -> DataFrame:
@@ -88,10 +92,46 @@ def balanced_columns(blocks: DataFrame, by: list[str], order: str, start: float,
 def page_numbers(blocks: DataFrame, by: list[str], order: str, page_height: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """blocks with page, from 1: each page takes blocks in order as long as they fit; a block taller than a page has one of its own.
 
-    blocks have height (null or below 0: 0). What page begins after a page that begins with some block is one look-up in the
-    running heights, for all blocks at once; which of these beginnings are real is found from the first block on, by doubling.
+    blocks have height (null or below 0: 0). Keys of at most FOLD_ROWS blocks are walked as arrays. For larger ones, what page
+    begins after a page that begins with some block is one look-up in the running heights, for all blocks at once; which of these
+    beginnings are real is found from the first block on, by doubling.
     """
     h = F.greatest(F.coalesce(F.col("height"), F.lit(0)), F.lit(0)).cast("double")
+    blocks, few = cut(blocks), min(FOLD_ROWS, hot_rows)
+    sizes = blocks.groupBy(*by).count()
+    most = sizes.agg(F.max("count")).head()[0] or 0
+    if not re.search("map<|variant", blocks.schema.simpleString()):  # these can't be sorted along
+        if most <= few:
+            return _folded_pages(blocks, h, by, order, page_height)
+        large = cut(sizes.where(F.col("count") > few).select(*[F.col(b).alias(f"__large{k}") for k, b in enumerate(by)]))
+        same = [F.col(b).eqNullSafe(F.col(f"__large{k}")) for k, b in enumerate(by)]
+        small = blocks.join(large, same, "left_anti")
+        return _folded_pages(small, h, by, order, page_height).unionByName(_doubled_pages(blocks.join(large, same, "left_semi"), h, by, order, page_height, hot_rows))
+    return _doubled_pages(blocks, h, by, order, page_height, hot_rows)
+
+
+def _folded_pages(blocks: DataFrame, h: Column, by: list[str], order: str, page_height: float) -> DataFrame:
+    """Pages of keys that each fit in an array, which is walked once; then it is cut where pages begin."""
+    keys = [F.struct(F.col(b)).alias(f"__key{k}") for k, b in enumerate(by)]
+    all_of = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), h.alias("h"), F.struct(*blocks.columns).alias("row"))))
+    lists = blocks.groupBy(*keys).agg(all_of.alias("rows"))
+    zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("base"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("begins"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["before"] + x["h"]
+        begins = (a["i"] == 1) | (end > a["base"] + F.lit(float(page_height)))
+        on = lambda base, at: F.struct(end.alias("before"), base.alias("base"), (a["i"] + 1).alias("i"), at.alias("begins"))
+        return F.when(begins, on(a["before"], F.concat(a["begins"], F.array(a["i"])))).otherwise(on(a["base"], a["begins"]))
+
+    lists = lists.withColumn("begins", F.aggregate("rows", zero, step, lambda a: F.concat(a["begins"], F.array(a["i"]))))
+    pages = lists.select("rows", "begins", F.explode(F.sequence(F.lit(1), F.size("begins") - 1)).alias("page"))
+    begin, after = F.element_at("begins", F.col("page")), F.element_at("begins", F.col("page") + 1)
+    shown = pages.select(F.col("page").cast("long").alias("page"), F.explode(F.slice("rows", begin, after - begin)).alias("r"))
+    return shown.select(*[F.col("r.row")[c].alias(c) for c in blocks.columns], "page")
+
+
+def _doubled_pages(blocks: DataFrame, h: Column, by: list[str], order: str, page_height: float, hot_rows: int) -> DataFrame:
+    """Pages of keys of any size."""
     rows = cut(running(blocks.withColumn("__h", h), by, [order], {"__before": Scan("sum", F.col("__h"), True), "__i": Scan("sum", F.lit(1))}, hot_rows))
     names = [f"__key{k}" for k in range(len(by))]
     # keys as structs, which are equal where both hold null

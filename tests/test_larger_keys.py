@@ -31,6 +31,18 @@ def _passes(monkeypatch, df_of):
     return calls
 
 
+def test_small_keys_are_folded(spark, monkeypatch):
+    calls = _counted(monkeypatch, layout)
+    rng = random.Random(5)
+    rows = [(k if k else None, n, rng.choice([None, -1.0, 0.0, 0.125, 2.5, 7.25, 30.0]), f"x{n}") for k in range(12) for n in rng.sample(range(900), 40 + 7 * k)]
+    df = spark.createDataFrame(rows, "doc int, ord int, height double, note string")
+    folded = sorted(map(str, layout.page_numbers(df, ["doc"], "ord", 10.0).collect()))
+    assert not calls
+    mixed = sorted(map(str, layout.page_numbers(df, ["doc"], "ord", 10.0, 80).collect()))
+    doubled = sorted(map(str, layout.page_numbers(df, ["doc"], "ord", 10.0, 1).collect()))
+    assert calls and folded == mixed == doubled and len(folded) == len(rows)
+
+
 def test_descendants_by_beginnings(spark, monkeypatch):
     calls = _counted(monkeypatch, structure)
     rng = random.Random(6)
