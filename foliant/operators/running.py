@@ -51,6 +51,21 @@ def dealt(rows: DataFrame, by: list[str], count: int | None = None, task_rows: i
     return rows.repartition(tasks, *by) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
+def gathered(rows: DataFrame, by: list[str], hot_rows: float = HOT_ROWS) -> tuple[DataFrame, float]:
+    """rows and the hot_rows for what follows: where no key is larger, rows of a key lie together and nothing need be counted any more.
+
+    Windows and groups of these keys, and of any finer ones, then need neither a count nor a shuffle of their own.
+    """
+    if hot_rows == math.inf:
+        return rows, hot_rows
+    size = rows.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).head()
+    if (size.most or 0) > hot_rows:
+        return rows, hot_rows
+    tasks = math.ceil((size.all or 0) / TASK_ROWS)
+    few = tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(*by) if few else rows.repartition(tasks, *by)), math.inf
+
+
 @dataclass(frozen=True)
 class Scan:
     """kind: sum (nulls count 0), min or last (the last value that isn't null), of all rows so far; `before`: without the row itself."""

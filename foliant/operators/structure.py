@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import posixpath
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators.relational import BULLET, list_label, ordered_text, overlapping
-from foliant.operators.running import HOT_ROWS, Scan, along_ancestors, cut, dealt, running
+from foliant.operators.running import HOT_ROWS, Scan, along_ancestors, cut, dealt, gathered, running
 
 # --- node trees
 
@@ -126,6 +128,7 @@ def folded_fields(inlines: DataFrame, by: list[str], order: str = "ord", kind: s
     Starts and ends are matched by depth: of rows at one depth the last start so far is the field they stand in.
     """
     rows = inlines.select(*by, order, F.col(kind).alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows, hot_rows = gathered(rows, by, hot_rows)
     start, stop, part, run = (F.col("kind") == k for k in ("field_start", "field_end", "field_separator", "run"))
     delta = F.when(start, 1).when(stop, -1).otherwise(0)
     rows = running(rows, by, [order], {"s": Scan("sum", delta)}, hot_rows)
@@ -137,14 +140,21 @@ def folded_fields(inlines: DataFrame, by: list[str], order: str = "ord", kind: s
     rows = rows.withColumn("field", F.when(F.col("level") > 0, F.col("field")))
     shown = run & (F.col("field").isNull() | F.coalesce(F.col("parted") > F.col("field"), F.lit(False)))
     # the first start that is never closed: the last one at the first level, if the paragraph ends within it
-    whole = rows.groupBy(*by).agg(F.max_by("depth", order).alias("open"), F.max(F.when(start & (F.col("depth") == 1), F.col(order))).alias("first"))
-    whole = whole.where("open > 0").select(*[F.col(b).alias(f"__{b}") for b in by], "first")
+    opened, first = F.max_by("depth", order), F.max(F.when(start & (F.col("depth") == 1), F.col(order)))
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    rows = rows.join(whole, same, "left").drop(*[f"__{b}" for b in by])
+    if hot_rows == math.inf:
+        w = W.partitionBy(*by)
+        rows = rows.withColumn("open", opened.over(w)).withColumn("first", first.over(w))
+        rows = rows.withColumn("first", F.when(F.col("open") > 0, F.col("first"))).drop("open")
+    else:
+        whole = rows.groupBy(*by).agg(opened.alias("open"), first.alias("first"))
+        whole = whole.where("open > 0").select(*[F.col(b).alias(f"__{b}") for b in by], "first")
+        rows = rows.join(whole, same, "left").drop(*[f"__{b}" for b in by])
     rows = rows.withColumn("shown", shown & F.coalesce(F.col(order) < F.col("first"), F.lit(True)))
     rows = running(rows, by, [order], {"length": Scan("sum", F.when(F.col("shown"), F.length("text")).otherwise(0))}, hot_rows)
+    rows = cut(rows)  # fields, their ends and the words all read them
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(run & ~F.col("shown"), F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))), lambda p: p["t"]), "")
     fields = rows.where("field is not null").groupBy(*by, "field").agg(code.alias("code"), F.max(F.when(stop, F.col("length"))).alias("upto"), F.max(F.when(start, F.col("length"))).alias("since"))
     links = fields.where("upto > since").withColumn("target", hyperlink_target(F.col("code"))).where("target.address <> ''")

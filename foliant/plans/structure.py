@@ -17,9 +17,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines, one for each order and line number."""
+    """Order lines, one for each order and line number; an order's lie together."""
     keys = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*keys)).alias("s"))
+    li = _t(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*keys)).alias("s"))
     return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.col("s.l_partkey").alias("p"), F.col("s.l_suppkey").alias("s"), F.col("s.l_quantity").cast("int").alias("q"), F.col("s.l_returnflag").alias("f"))
 
 

@@ -31,6 +31,12 @@ def _passes(monkeypatch, df_of):
     return calls
 
 
+def test_folded_fields_counts_once(spark, monkeypatch):
+    calls = _passes(monkeypatch, spark.range(1))
+    plans.field_folding(spark, SF)
+    assert len(calls) == 1
+
+
 def test_small_keys_are_folded(spark, monkeypatch):
     calls = _counted(monkeypatch, layout)
     rng = random.Random(5)
@@ -58,3 +64,10 @@ def test_descendants_by_beginnings(spark, monkeypatch):
             found = structure.child_nodes(df, "table", kind, True).collect()
             assert sorted((x.doc_id, tuple(x.origin), tuple(x.path)) for x in found) == want
             assert bool(calls) == (depths == 0)
+
+
+def test_gathered_leaves_large_keys(spark):
+    df = spark.createDataFrame([(1, k) for k in range(9)] + [(2, 0)], "a int, b int")
+    assert running.gathered(df, ["a"], 8)[1] == 8
+    assert running.gathered(df, ["a"], 9)[1] == float("inf")
+    assert running.gathered(df.where("false"), ["a"], 9)[0].count() == 0
