@@ -50,8 +50,6 @@ def child_nodes(nodes: DataFrame, origin_type: str, node_type: str | None = None
     path begins with its origin's: one join for each depth. Else descendants are found by the containment of intervals, without
     walking; nested origins each have theirs.
     """
-    if not deep:
-        one = nodes.select(by, path, "type") if distinct else nodes.groupBy(by, path).agg(F.min("type").alias("type"))
     if deep:
         one = nodes.select(by, path, "type") if distinct else distinct_nodes(nodes, by, path)
         origins = one.where(F.col("type") == origin_type).select(by, F.col(path).alias("origin"))
@@ -67,6 +65,8 @@ def child_nodes(nodes: DataFrame, origin_type: str, node_type: str | None = None
                 found = found.unionByName(below.join(tops, [by, "origin"]).select(by, "origin", path, "type"))
             return found
         nodes = one
+    if not deep:
+        one = nodes.select(by, path, "type") if distinct else nodes.groupBy(by, path).agg(F.min("type").alias("type"))
         kids = one.where(F.size(path) > 0).withColumn("origin", F.slice(path, F.lit(1), F.size(path) - 1))
         kids = kids if node_type is None else kids.where(F.col("type") == node_type)
         return kids.join(one.where(F.col("type") == origin_type).select(by, F.col(path).alias("origin")), [by, "origin"], "left_semi").select(by, "origin", path, "type")
@@ -176,6 +176,7 @@ def cell_grid(cells: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> Data
     restart, continue or null. A cell that continues belongs to the merged cell above it, in the row before, at the same grid
     column; where there is none it stands for itself, and opens a merge as a restart does.
     """
+    cells, hot_rows = gathered(cells, by, hot_rows)
     one = cells.groupBy(*by, "row_idx", "col_idx").agg(F.max(F.struct(F.greatest(F.coalesce("grid_span", F.lit(1)), F.lit(1)).alias("s"), F.col("v_merge").alias("m"))).alias("c"))
     one = one.select(*by, "row_idx", "col_idx", F.col("c.s").alias("col_span"), F.col("c.m").alias("merge"))
     placed = running(one, [*by, "row_idx"], ["col_idx"], {"grid_col": Scan("sum", F.col("col_span"), True)}, hot_rows)
@@ -184,8 +185,9 @@ def cell_grid(cells: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> Data
     goes_on = (F.col("merge") == "continue") & (F.col("above.row_idx") == F.col("row_idx") - 1) & F.col("above.merge").isNotNull()
     marked = above.withColumn("top", F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.struct("row_idx", "col_idx", "col_span")))
     marked = running(marked.drop("above"), column, ["row_idx"], {"anchor": Scan("last", F.col("top"))}, hot_rows)
-    spans = marked.groupBy(*column, F.col("anchor.row_idx").alias("row_idx")).agg(F.first("anchor").alias("a"), F.count("*").alias("row_span"))
-    return spans.select(*by, "row_idx", F.col("a.col_idx").alias("col_idx"), "grid_col", "row_span", F.col("a.col_span").alias("col_span"))
+    anchor = [F.col(f"anchor.{c}").alias(c) for c in ("row_idx", "col_idx", "col_span")]
+    spans = marked.groupBy(*column, *anchor).agg(F.count("*").alias("row_span"))
+    return spans.select(*by, "row_idx", "col_idx", "grid_col", "row_span", "col_span")
 
 
 # --- lists

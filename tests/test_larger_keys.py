@@ -31,6 +31,11 @@ def _passes(monkeypatch, df_of):
     return calls
 
 
+def test_cell_grid_shuffles_once(spark):
+    found = plans.cell_grid(spark, SF)
+    assert _plan(found).count("Exchange hash") <= 2  # lines of an order, rows of a table
+
+
 def test_folded_fields_counts_once(spark, monkeypatch):
     calls = _passes(monkeypatch, spark.range(1))
     plans.field_folding(spark, SF)
