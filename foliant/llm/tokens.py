@@ -135,18 +135,25 @@ class BadRecord(ValueError):
     """A record file is cut short or a checksum does not hold."""
 
 
-def records(stream, most: int = 8 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
+#: Bytes of a file that are framed or read at a time; what places each byte takes many times as much memory.
+PIECE = 1 << 20
+#: Bytes that a long record is read by.
+READ_AHEAD = 64 << 20
+
+
+def records(stream, most: int = PIECE) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each record; every checksum is verified. Holds about `most` bytes, or the longest record."""
-    rest = b""
+    rest, wanted = b"", 0
     while True:
-        got = stream.read(max(most, 1))
+        got = stream.read(max(most, wanted, 1))
         rest += got
-        buf, at, found = np.frombuffer(rest, np.uint8), 0, []
+        buf, at, found, wanted = np.frombuffer(rest, np.uint8), 0, [], 0
         while len(rest) - at >= 12:
             n = int.from_bytes(rest[at : at + 8], "little")
             if n > 1 << 40:
                 raise BadRecord("a length is out of range")
             if len(rest) - at < n + 16:
+                wanted = min(n + 16 - (len(rest) - at), READ_AHEAD)  # a long record is not put together from many small reads
                 break
             found.append((at, n))
             at += n + 16
@@ -406,7 +413,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_
         fs, base = _open(path)
         made = None
         for batch in batches:
-            for part in slices(batch, "ids", 4 << 20):
+            for part in slices(batch, "ids", PIECE):
                 if not part.num_rows:
                     continue
                 if made is None:
