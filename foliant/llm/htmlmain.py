@@ -89,8 +89,14 @@ def _element(name: str, attrs: str, parent: Element | None, page: str, at: int)
     return Element(name, label, chrome or (parent is not None and parent.chrome), path, parent, name in ("article", "main") or (parent is not None and parent.told))
 
 
-def events(page: str) -> Iterator[tuple[str, Element, str]]:
-    """("open" | "break" | "text", element, text) in page order; missing end tags are implied as browsers do."""
+def bare(name: str, attributes: str | None, parent: Element | None, page: str, at: int) -> Element:
+    """An element of which nothing but its name is asked."""
+    return Element(name, "", False, "", parent)
+
+
+def events(page: str, element=None) -> Iterator[tuple[str, Element, str]]:
+    """("open" | "break" | "text", element, text) in page order; missing end tags are implied as browsers do. `element` makes one."""
+    element = element or _element
     root = Element("", "", False, "", None)
     stack = [root]
     at, n = 0, len(page)
@@ -141,7 +147,7 @@ def events(page: str) -> Iterator[tuple[str, Element, str]]:
                         break
             if name not in INLINE:
                 yield "break", stack[-1], name
-            e = _element(name, m.group(3), stack[-1] if stack[-1] is not root else None, page, at)
+            e = element(name, m.group(3), stack[-1] if stack[-1] is not root else None, page, at)
             yield "open", e, name
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)

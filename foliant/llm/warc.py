@@ -7,7 +7,6 @@ WARC-Refers-To-Payload-Digest, and a digest of their own block. Files: one gzip
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import html
 import io
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, tidy, work_dir
-from .htmlmain import INLINE, RAW, events
+from .htmlmain import RAW, bare, events
 
 #: Namespace of the ids that are derived from a source id, so that a rerun gives the same ids.
 SPACE = uuid.UUID("6f1c2a34-90d5-5d0c-8a53-3b9d2c1f7e10")
@@ -32,8 +31,14 @@ HEADERS = "array<struct<name:string,value:string>>"
 Headers = list[tuple[str, str]]
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base 32 by two letters at a time.
+_PAIRS = [a + b for a in _LETTERS for b in _LETTERS]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    n = int(hashlib.sha1(data).hexdigest(), 16)
+    return "sha1:" + "".join([_PAIRS[n >> k & 1023] for k in range(150, -10, -10)])
 
 
 def derived_id(kind: str, source: str) -> str:
@@ -46,7 +51,8 @@ def value(headers: Headers, name: str) -> str | None:
 
 def record(headers: Headers, block: bytes) -> bytes:
     """One record as a gzip member; Content-Length is set here."""
-    lines = ["WARC/1.1", *(f"{n}: {re.sub(r'[\r\n]+', ' ', v)}" for n, v in headers if n.lower() != "content-length"), f"Content-Length: {len(block)}", "", ""]
+    flat = lambda v: re.sub(r"[\r\n]+", " ", v) if "\n" in v or "\r" in v else v
+    lines = ["WARC/1.1", *[f"{n}: {flat(v)}" for n, v in headers if n.lower() != "content-length"], f"Content-Length: {len(block)}", "", ""]
     z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + z.flush()
 
@@ -85,7 +91,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 def plain(page: str) -> tuple[str, str, list[str]]:
     """(title, text with a line for each block, link targets) of a page; scripts and styles are left out."""
     title, lines, links = "", [[]], []
-    for kind, e, text in events(page):
+    for kind, e, text in events(page, bare):
         if kind == "open":
             if e.name == "title":
                 lines.append([])
