@@ -15,10 +15,12 @@ number of ids, each a signed 64-bit integer. A shuffled reader opens the index a
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +230,8 @@ class Encoder:
     """Ids of whole texts. Where the tokenizer's file proves that words encode alone, each distinct word of a slice is encoded once."""
 
     def __init__(self, path: str, end_id: int):
+        # threads of the library's own would each keep an arena, and a task has one core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -264,11 +268,15 @@ class Encoder:
         split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
         off = np.asarray(split.offsets).astype(np.int64)
         words = split.flatten().dictionary_encode()
+        del split  # its words are in the dictionary, and what follows takes more memory
         # each text's words, then one more entry of the dictionary: the end id
-        n, counts = len(texts), np.diff(off)
+        n = len(texts)
         which = np.full(int(off[-1] - off[0]) + n, len(words.dictionary), np.int32)
-        which[np.arange(int(off[-1] - off[0])) + np.repeat(np.arange(n), counts)] = np.asarray(words.indices)
-        ids = self._words(words.dictionary).take(pa.array(which))
+        own = np.ones(len(which), bool)
+        own[off[1:] - off[0] + np.arange(n)] = False
+        which[own] = np.asarray(words.indices)
+        words = words.dictionary
+        ids = self._words(words).take(pa.array(which))
         _, ends, data = ids.buffers()
         ends = np.frombuffer(ends, np.int64)[: len(which) + 1][off - off[0] + np.arange(n + 1)]
         return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(ends)), data])
@@ -291,26 +299,24 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(size * self.width)])
         return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
 
-    def _flat(self, texts: list[str]) -> np.ndarray:
+    def _flat(self, texts: Iterable[str]) -> np.ndarray:
         """Ids of all texts, one after another; few at a time, as what the library returns is much larger than the ids."""
-        made = [np.array(e.ids, self.kind) for k in range(0, len(texts), 16) for e in self.t.encode_batch_fast(texts[k : k + 16], add_special_tokens=False)]
+        made = [np.array(e.ids, self.kind) for some in batched(texts, 16) for e in self.t.encode_batch_fast(list(some), add_special_tokens=False)]
         return np.concatenate(made) if made else np.empty(0, self.kind)
 
     def _letters(self, words: pa.Array) -> pa.Array:
         """Words of small letters: each is one token of the split, whose last id ends a word."""
-        many = words.to_pylist()
         few, all_steps = self.plain
         self.t.normalizer, self.t.pre_tokenizer = few
         try:
-            ids = self._flat([" ".join(many[k : k + _TOGETHER]) for k in range(0, len(many), _TOGETHER)])
+            ids = self._flat(" ".join(many) for many in _few(words))
         finally:
             self.t.normalizer, self.t.pre_tokenizer = all_steps
         return self._packed(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
 
     def _others(self, words: pa.Array) -> pa.Array:
         apart = np.asarray(pc.match_substring(words, _BETWEEN))
-        many = words.filter(pa.array(~apart)).to_pylist()
-        ids = self._flat([f" {_BETWEEN} ".join(many[k : k + _TOGETHER]) + f" {_BETWEEN}" for k in range(0, len(many), _TOGETHER)])
+        ids = self._flat(f" {_BETWEEN} ".join(many) + f" {_BETWEEN}" for many in _few(words.filter(pa.array(~apart))))
         stop = ids == self.between
         made = self._packed(ids[~stop], np.diff(np.flatnonzero(stop), prepend=-1) - 1)
         own = [np.array(self.t.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words.filter(pa.array(apart)).to_pylist()]
@@ -319,6 +325,11 @@ class Encoder:
         return pa.concat_arrays([made, pa.array(own, pa.large_binary())]).take(pa.array(where))
 
 
+def _few(words: pa.Array) -> Iterator[list[str]]:
+    """Words that are encoded as one text, as Python strings, which take many times the words' memory."""
+    return (words.slice(k, _TOGETHER).to_pylist() for k in range(0, len(words), _TOGETHER))
+
+
 def _encoder(path: str, end_id: int) -> Encoder:
     kept = cache_of("tokens")
     if not kept or kept[0] != (path, end_id):
