@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MOST_BITS, U64, Rolling, bitmap, cache_of, cut, held, mix, parts, raw, runs, slices, tidy
+from .common import MOST_BITS, U64, Rolling, bitmap, cache_of, cut, dropped, held, mix, parts, raw, runs, slices, stored, tidy, work_dir
 
 #: Numbers of empty segments that a band's sets may skip.
 SLACKS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -451,10 +451,11 @@ def connect(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an edge: root is the smallest node that edges reach.
 
     Each round every node takes the smallest root among its neighbours' and its own, and then its root's root, so long
-    chains halve; it ends when a round changes nothing. Each round is held in the shared folder.
+    chains halve; it ends when a round changes nothing. Each round is written to the shared folder, and the one before it goes.
     """
-    both = held(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    roots = held(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    spark, path, k = edges.sparkSession, work_dir(edges.sparkSession, "links"), 0
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{path}/both")
+    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{path}/{k}")
     if not roots.take(1):
         return roots
     while True:
@@ -462,7 +463,10 @@ def connect(edges: DataFrame) -> DataFrame:
         near = both.join(r, "b").groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("near"))
         step = roots.join(near, "node", "left").select("node", "root", F.least("root", "near").alias("next"))
         jump = roots.select(F.col("node").alias("next"), F.col("root").alias("over"))
-        step = held(step.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("over", "next")).alias("root")))
+        k += 1
+        step = stored(step.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("over", "next")).alias("root")), f"{path}/{k}")
+        dropped(spark, f"{path}/{k - 1}")
         roots = step.select("node", "root")
         if not step.where("was <> root").take(1):
+            dropped(spark, f"{path}/both")
             return roots
