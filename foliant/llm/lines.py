@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, dropped, release, stored, work_dir
 from .ngramjoin import connect
 
 DISTANCE, SIMILARITY = 3, (4, 5)
 #: Parts of the largest distance allowed that are tried in turn.
-BANDS = (16, 1)
+BANDS = (16, 4, 1)
 #: Lines under test are first found by a broadcast bitmap of at most so many words of 64 bits.
 BITMAP_WORDS = 1 << 18
 #: Words whose bits one sum of 8-bit lanes can count, with room for the comparison.
@@ -38,40 +38,67 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _lane(h: Column, k: int) -> Column:
+    """Bits k, k + 8, ... of a hash, each in a lane of its own."""
+    return F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))
+
+
+def _above_half(n: Column, sums: list[Column]) -> Column:
+    """For each of 64 bits, whether more than half of n hashes have it, n at most PIECE; eight counts are in each of eight sums."""
+    least = F.lit(PIECE).cast("long") - F.shiftrightunsigned(n, 1)
+    out = None
+    for k, s in enumerate(sums):  # bit 0 of each lane: whether its count is above half; the top lane apart, as a long has a sign
+        low = F.shiftrightunsigned(s.bitwiseAND(F.lit((1 << 56) - 1)) + least * F.lit(_LANES >> 8), 7).bitwiseAND(F.lit(_LANES >> 8))
+        above = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned(s, 56) + least, 7), 56))
+        out = F.shiftleft(above, k) if out is None else out.bitwiseOR(F.shiftleft(above, k))
+    return out
+
+
 def _majority(hashes: Column) -> Column:
-    """For each of 64 bits, whether more than half of at most PIECE hashes have it; eight counts go in each of eight sums."""
+    """For each of 64 bits, whether more than half of at most PIECE hashes have it."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0).cast("long").alias(f"s{k}") for k in range(8)])
 
     def add(a: Column, h: Column) -> Column:
-        return F.struct((a["n"] + 1).alias("n"), *[(a[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(8)])
+        return F.struct((a["n"] + 1).alias("n"), *[(a[f"s{k}"] + _lane(h, k)).alias(f"s{k}") for k in range(8)])
 
-    def bits(a: Column) -> Column:
-        least = F.lit(PIECE).cast("long") - F.shiftrightunsigned(a["n"], 1)
-        out = None
-        for k in range(8):  # bit 0 of each lane: whether its count is above half; the top lane apart, as a long has a sign
-            low = F.shiftrightunsigned(a[f"s{k}"].bitwiseAND(F.lit((1 << 56) - 1)) + least * F.lit(_LANES >> 8), 7).bitwiseAND(F.lit(_LANES >> 8))
-            above = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned(a[f"s{k}"], 56) + least, 7), 56))
-            out = F.shiftleft(above, k) if out is None else out.bitwiseOR(F.shiftleft(above, k))
-        return out
+    return F.aggregate(hashes, zero, add, lambda a: _above_half(a["n"], [a[f"s{k}"] for k in range(8)]))
 
-    return F.aggregate(hashes, zero, add, bits)
+
+def _pieces(hashes: Column) -> Column:
+    """The majorities of runs of PIECE hashes."""
+    at = F.sequence(F.lit(0), F.ceil(F.size(hashes) / PIECE).cast("int") - 1)
+    return F.transform(at, lambda i: _majority(F.slice(hashes, i * PIECE + 1, F.lit(PIECE))))
 
 
 def simhash(text: Column) -> Column:
     """SimHash of the words of a normalised line; a line of more than PIECE words has the majority of its pieces' (and so on)."""
 
-    def pieces(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.ceil(F.size(h) / PIECE).cast("int") - 1)
-        return F.transform(at, lambda i: _majority(F.slice(h, i * PIECE + 1, F.lit(PIECE))))
-
     def of(h: Column) -> Column:
         n = F.size(h)
-        deep = lambda f: _let(pieces(h), f)
-        return F.when(n <= PIECE, _majority(h)).when(n <= PIECE * PIECE, deep(_majority)).otherwise(deep(lambda g: _let(pieces(g), _majority)))
+        deep = lambda f: _let(_pieces(h), f)
+        return F.when(n <= PIECE, _majority(h)).when(n <= PIECE * PIECE, deep(_majority)).otherwise(deep(lambda g: _let(_pieces(g), _majority)))
 
     return _let(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), of)
 
 
+def with_simhash(lines: DataFrame, norm: str = "norm") -> DataFrame:
+    """lines without the column norm, and with `sim`, its `simhash`: words are rows that are summed up, not folded one by one.
+
+    Each row is known by a number, so rows that repeat are summed apart.
+    """
+    keep = [c for c in lines.columns if c != norm]
+    words = lines.select(F.monotonically_increasing_id().alias("_row"), *keep, F.split(norm, " ").alias("_words"))
+    words = words.select("_row", *keep, (F.size("_words") > PIECE).alias("_long"), F.posexplode("_words").alias("_at", "_word"))
+    words = words.select("_row", *keep, "_long", F.floor(F.col("_at") / PIECE).cast("int").alias("_piece"), F.xxhash64("_word").alias("_h"))
+    sums = words.groupBy("_row", *keep, "_long", "_piece").agg(F.count("*").alias("_n"), *[F.sum(_lane(F.col("_h"), k)).alias(f"_s{k}") for k in range(8)])
+    sums = sums.select(F.when(F.col("_long"), F.col("_row")).alias("_row"), *keep, "_long", "_piece", _above_half(F.col("_n"), [F.col(f"_s{k}") for k in range(8)]).alias("sim"))
+    sums = stored(sums, work_dir(lines.sparkSession, "simhash"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("_piece", "sim"))), lambda p: p["sim"])
+    pieces = sums.where("_long").groupBy("_row", *keep).agg(in_order.alias("_sims"))
+    deep = F.when(F.size("_sims") <= PIECE, _majority(F.col("_sims"))).otherwise(_let(_pieces(F.col("_sims")), _majority))
+    return sums.where("not _long").select(*keep, "sim").unionByName(pieces.select(*keep, deep.alias("sim")))
+
+
 def layout(n: int) -> tuple[int, list[tuple[int, ...]]]:
     """Blocks to cut 64 bits into, and the choices of blocks of which one at least agrees within DISTANCE; least cost for n lines.
 
@@ -96,11 +123,16 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.isNull(), doc_id, text)
 
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row_key, line_no, line) of all lines."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), _row_key(F.col(id_col), text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, line_no, norm) of all lines that hold a letter or digit."""
-    text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).alias("doc_id"), _row_key(F.col(id_col), text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "row_key", "line_no", normalised(F.col("line")).alias("norm"))
+    lines = _lines(docs, id_col, text_col).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    return lines.select("doc_id", "row_key", "line_no", normalised(F.col("line")).alias("norm"))
 
 
 def _order() -> Column:
@@ -114,9 +146,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = split_lines(docs, id_col, text_col)
     # two independent hashes stand for a normalised line
-    rows = cut(found.select("doc_id", "row_key", "line_no", F.xxhash64("norm").alias("id"), F.crc32(F.col("norm").cast("binary")).alias("c"), F.length("norm").alias("len"), simhash(F.col("norm")).alias("sim")))
+    rows = found.select("doc_id", "row_key", "line_no", F.xxhash64("norm").alias("id"), F.crc32(F.col("norm").cast("binary")).alias("c"), F.length("norm").alias("len"), "norm")
+    rows = with_simhash(rows)
+    release(docs.sparkSession)
     first = F.min(_order()).alias("first")
-    distinct = cut(rows.groupBy("id", "c").agg(first, F.first("len").alias("len"), F.first("sim").alias("sim")))
+    # the large frames are Parquet files, which take a fraction of a checkpoint's bytes
+    path = work_dir(docs.sparkSession, "lines")
+    distinct = stored(rows.groupBy("id", "c").agg(first, F.first("len").alias("len"), F.first("sim").alias("sim")), f"{path}/distinct")
     _, choices = layout(distinct.count())
     blocks = max(max(c) for c in choices) + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -130,7 +166,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     run = W.partitionBy("key")
     met = signed.withColumn("hub", F.min(F.struct("id", "len", "sim")).over(run)).withColumn("n", F.count("*").over(run)).where("n > 1")
     met = met.select("key", F.struct("id", "len", "sim").alias("x"), "hub")
-    met = cut(met.withColumn("ok", _near("x", "hub")))
+    met = stored(met.withColumn("ok", _near("x", "hub")), f"{path}/met")
     release(docs.sparkSession)
     star = met.where("ok and x.id <> hub.id").select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct()
     x, y = met.select("key", "x", F.col("ok").alias("xo")), met.select("key", F.col("x").alias("y"), F.col("ok").alias("yo"))
@@ -138,18 +174,21 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others = cut(odd.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     star = cut(star)
     ids = cut(star.union(others).select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = _texts(found, ids)
+    texts = _texts(docs, id_col, text_col, distinct.join(ids, "id", "left_semi").select("id", "first.row_key", "first.line_no"))
     release(docs.sparkSession)
     linked = cut(_linked(star, texts))
     roots = connect(linked)
     # members that both came near their run's first, yet are apart: the edit similarity to it was too small
-    who = roots.withColumnsRenamed({"node": "id", "root": "root"})
-    near = met.where("ok").select("key", "x", F.col("x.id").alias("id")).join(who, "id", "left").select("key", "x", F.coalesce("root", "id").alias("r"))
+    who = roots.withColumnsRenamed({"node": "id", "root": "r"})
+    near = met.where("ok").select("key", "x", F.col("x.id").alias("id")).join(who, "id", "left").select("key", "x", F.coalesce("r", "id").alias("r"))
     mixed = near.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("key")
     near = cut(near.join(mixed, "key"))
+    dropped(docs.sparkSession, f"{path}/met")
     u, v = near.select("key", "x", F.col("r").alias("rx")), near.select("key", F.col("x").alias("y"), F.col("r").alias("ry"))
     apart = u.join(v, "key").where((F.col("rx") < F.col("ry")) & _near("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = apart.unionByName(others).distinct().join(star, ["a", "b"], "left_anti")
+    end = lambda k: who.select(F.col("id").alias(k), F.col("r").alias(f"r{k}"))
+    open_ = others.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest = apart.unionByName(open_).distinct().join(star, ["a", "b"], "left_anti")
     roots = connect(cut(linked.unionByName(_linked(rest, texts))))
     release(docs.sparkSession)
     named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "c", "first", F.coalesce("root", "id").alias("root"))
@@ -158,15 +197,15 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(named, (F.col("id") == F.col("i")) & (F.col("c") == F.col("d"))).select("doc_id", "row_key", "line_no", _order().eqNullSafe(F.col("keeper")).alias("keep"))
 
 
-def _texts(found: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, norm) of the lines under test."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_WORDS * 64))
-    one = F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
-    bits = ids.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(one).alias("v"))
-    lines = found.select(F.xxhash64("norm").alias("id"), "norm").withColumn("w", F.floor(slot / 64))
-    maybe = lines.join(F.broadcast(bits), "w").where(F.col("v").bitwiseAND(one) != 0)  # at most BITMAP_WORDS rows
-    # one of each first, which is counted where it is read: a frequent line doesn't fill a task. A left_semi join here would go before the bitmap
-    return cut(maybe.groupBy("id").agg(F.min("norm").alias("norm")).join(ids, "id"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, places: DataFrame) -> DataFrame:
+    """(id, norm) of the lines under test, read at their places (id, row_key, line_no); other lines are not normalised again."""
+    slot = F.pmod(F.xxhash64("row_key", "line_no"), F.lit(BITMAP_WORDS * 64))
+    one = F.expr("shiftleft(1L, cast(pmod(xxhash64(row_key, line_no), 64) as int))")
+    places = cut(places)
+    bits = places.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(one).alias("v"))
+    maybe = _lines(docs, id_col, text_col).withColumn("w", F.floor(slot / 64)).join(F.broadcast(bits), "w").where(F.col("v").bitwiseAND(one) != 0)  # at most BITMAP_WORDS rows
+    read = maybe.select("row_key", "line_no", normalised(F.col("line")).alias("norm")).join(places, ["row_key", "line_no"])
+    return cut(read.groupBy("id").agg(F.min("norm").alias("norm")))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -229,8 +268,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("doc_id"), _row_key(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    lost = F.collect_set(F.when(~F.col("keep"), F.col("line_no")))
-    gone = line_groups(docs, id_col, text_col).groupBy("row_key").agg(lost.alias("gone")).where(F.size("gone") > 0)
+    gone = line_groups(docs, id_col, text_col).where(~F.col("keep")).groupBy("row_key").agg(F.collect_set("line_no").alias("gone"))
     repeated = cut(base.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1"))
     some = not repeated.isEmpty()
 

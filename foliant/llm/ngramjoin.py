@@ -450,23 +450,42 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 def connect(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an edge: root is the smallest node that edges reach.
 
-    Each round every node takes the smallest root among its neighbours' and its own, and then its root's root, so long
-    chains halve; it ends when a round changes nothing. Each round is written to the shared folder, and the one before it goes.
+    Each round every node that has a smaller neighbour goes to the smallest, and on to where that one goes, until it comes to a
+    node that has none; edges are then renamed, and those within one node are gone. So a round sees only what is still apart,
+    and all rounds together make little more rows than the first. What a round makes is written to the shared folder.
     """
     spark, path, k = edges.sparkSession, work_dir(edges.sparkSession, "links"), 0
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{path}/both")
-    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{path}/{k}")
-    if not roots.take(1):
-        return roots
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/links-{k}")
+
+    left, gone = links(edges.select("a", "b")), None
+    while left.take(1):
+        k += 1
+        up = _ends(left.groupBy("a").agg(F.min("b").alias("to")), f"{path}/ends-{k}")
+        over = up.select(F.col("a").alias("b"), F.col("to").alias("over"))
+        left = links(left.join(up, "a").select(F.col("to").alias("a"), "b").join(over, "b", "left").select("a", F.coalesce("over", "b").alias("b")))
+        dropped(spark, f"{path}/links-{k - 1}")
+        moved = up.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        if gone is not None:
+            then = gone.join(up.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            moved = then.unionByName(moved)
+        gone = stored(moved, f"{path}/gone-{k}")
+        dropped(spark, f"{path}/gone-{k - 1}")
+        dropped(spark, f"{path}/ends-{k}")
+    if gone is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return gone.unionByName(gone.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _ends(up: DataFrame, path: str) -> DataFrame:
+    """(a, to) with each `to` replaced by where the steps from it end; they must not run in circles. Distances double each round."""
+    up, k = stored(up, f"{path}/0"), 0
     while True:
-        r = roots.withColumnsRenamed({"node": "b", "root": "rb"})
-        near = both.join(r, "b").groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("near"))
-        step = roots.join(near, "node", "left").select("node", "root", F.least("root", "near").alias("next"))
-        jump = roots.select(F.col("node").alias("next"), F.col("root").alias("over"))
         k += 1
-        step = stored(step.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("over", "next")).alias("root")), f"{path}/{k}")
-        dropped(spark, f"{path}/{k - 1}")
-        roots = step.select("node", "root")
-        if not step.where("was <> root").take(1):
-            dropped(spark, f"{path}/both")
-            return roots
+        over = up.select(F.col("a").alias("to"), F.col("to").alias("over"))
+        further = stored(up.join(over, "to", "left").select("a", F.coalesce("over", "to").alias("to"), F.col("over").isNotNull().alias("went")), f"{path}/{k}")
+        dropped(up.sparkSession, f"{path}/{k - 1}")
+        up = further.select("a", "to")
+        if not further.where("went").take(1):
+            return up
