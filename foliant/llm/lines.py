@@ -26,6 +26,8 @@ BITMAP_WORDS = 1 << 18
 #: Words whose bits one sum of 8-bit lanes can count, with room for the comparison.
 PIECE = 127
 _LANES = 0x0101010101010101
+#: Lines in a run above which these don't meet all of it, but those that agree in every fourth bit too.
+BIG = 512
 
 
 def normalised(line: Column) -> Column:
@@ -118,6 +120,25 @@ def _near(a: str, b: str) -> Column:
     return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DISTANCE) & (short * SIMILARITY[1] >= long * SIMILARITY[0])
 
 
+def _meetings(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Rows of x and y (key, big, a column with sim of their own name) of one run; where this is big, all those within DISTANCE and some more.
+
+    Of four sets of bits, every fourth each, two hashes within DISTANCE = 3 bits agree in one at least; their rows meet in the first.
+    """
+    quarters = [0x1111111111111111 << k for k in range(DISTANCE + 1)]
+    masks = [F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in quarters]
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        parts = F.array(*[F.xxhash64("key", F.lit(k), F.col(name)["sim"].bitwiseAND(m)) for k, m in enumerate(masks)])
+        return rows.where("big").select("*", F.posexplode(parts).alias("nth", "quarter"))
+
+    small = x.where("not big").drop("big").join(y.where("not big").drop("big"), "key")
+    differ = F.col("x.sim").bitwiseXOR(F.col("y.sim"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(m) == 0, F.lit(k)) for k, m in enumerate(masks)])
+    large = dealt(x, "x").drop("big").join(dealt(y, "y").drop("big"), ["key", "nth", "quarter"]).where(first == F.col("nth"))
+    return small.unionByName(large.drop("nth", "quarter"))
+
+
 def _row_key(doc_id: Column, text: Column) -> Column:
     """What tells rows apart: rows with one key have the same id and text."""
     return F.xxhash64(doc_id.isNull(), doc_id, text)
@@ -165,12 +186,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     signed = distinct.select("id", "len", "sim", F.explode(keys).alias("key"))
     run = W.partitionBy("key")
     met = signed.withColumn("hub", F.min(F.struct("id", "len", "sim")).over(run)).withColumn("n", F.count("*").over(run)).where("n > 1")
-    met = met.select("key", F.struct("id", "len", "sim").alias("x"), "hub")
+    met = met.select("key", F.struct("id", "len", "sim").alias("x"), "hub", (F.col("n") > BIG).alias("big"))
     met = stored(met.withColumn("ok", _near("x", "hub")), f"{path}/met")
     release(docs.sparkSession)
     star = met.where("ok and x.id <> hub.id").select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    x, y = met.select("key", "x", F.col("ok").alias("xo")), met.select("key", F.col("x").alias("y"), F.col("ok").alias("yo"))
-    odd = x.where("not xo").join(y, "key").where((F.col("x.id") < F.col("y.id")) | F.col("yo")).where((F.col("x.id") != F.col("y.id")) & _near("x", "y"))
+    x, y = met.where("not ok").select("key", "big", "x"), met.select("key", "big", F.col("x").alias("y"), F.col("ok").alias("yo"))
+    odd = _meetings(x, y).where((F.col("x.id") < F.col("y.id")) | F.col("yo")).where((F.col("x.id") != F.col("y.id")) & _near("x", "y"))
     others = cut(odd.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     star = cut(star)
     ids = cut(star.union(others).select(F.explode(F.array("a", "b")).alias("id")).distinct())
